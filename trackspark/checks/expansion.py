@@ -207,7 +207,7 @@ def _(x):
               sum(q / t * (v - mv) * (v - mv)) AS clus_sigma_vv
        FROM (SELECT *, sum(q) OVER w AS t, sum(q * u) OVER w / sum(q) OVER w AS mu, sum(q * v) OVER w / sum(q) OVER w AS mv
              FROM (SELECT l_suppkey % 10 AS event_id, l_partkey AS measurement_id, l_orderkey % 97 AS u, l_linenumber AS v,
-                          l_quantity AS q FROM lineitem) a
+                          l_extendedprice AS q FROM lineitem) a
              WINDOW w AS (PARTITION BY event_id, measurement_id)) b
        GROUP BY 1, 2""",
 )
@@ -217,7 +217,7 @@ def _(x):
         F.col("l_partkey").alias("measurement_id"),
         (F.col("l_orderkey") % 97).alias("channel0"),
         F.col("l_linenumber").alias("channel1"),
-        F.col("l_quantity").alias("value"),
+        F.col("l_extendedprice").alias("value"),
     )
     return expand.cluster_features(cells)
 
@@ -232,9 +232,9 @@ def _(x):
 )
 def _(x):
     parts = x.table("part").where("p_size > 25")
-    events = x.cand.select("event_id").distinct()
-    clusters = parts.join(events, F.lit(True)).select(
-        "event_id", F.col("p_partkey").alias("measurement_id"), (F.col("p_retailprice") / 10).alias("clus_q_tot")
+    seen = x.cand.select("event_id", F.col("cand_hit_id").alias("measurement_id")).distinct()
+    clusters = seen.join(parts, F.col("p_partkey") == F.col("measurement_id"), "inner").select(
+        "event_id", "measurement_id", (F.col("p_retailprice") / 10).alias("clus_q_tot")
     )
     sensors = x.cand.groupBy("volume_id").agg(
         (F.first("volume_id") / 100).alias("pitch_u"), F.lit(0.05).alias("pitch_v"), F.lit(0.15).alias("thickness")

@@ -60,5 +60,8 @@ OCC_LABEL = (
     "CASE WHEN n_window < 1 THEN NULL WHEN n_window <= 1 THEN 'n=1 (isolated)' WHEN n_window <= 3 THEN 'n=2-3' "
     "WHEN n_window <= 6 THEN 'n=4-6' ELSE 'n=7+' END"
 )
-CHI2P = "greatest(1e-6, least(1e0 - 1e-6, coalesce(exp(-greatest(chi2_inc, 0e0) / 2e0), 0e0)))"
+CHI2P = (
+    "greatest(1e-6, least(1e0 - 1e-6, "
+    "CASE WHEN chi2_inc IS NULL THEN 0e0 ELSE exp(-greatest(chi2_inc, 0e0) / 2e0) END))"
+)
 LOGODDS = f"ln({CHI2P} / (1e0 - {CHI2P}))"

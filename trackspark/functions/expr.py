@@ -85,3 +85,8 @@ def grid_index(c: Column | str, lo: float, hi: float, n: int) -> Column:
         F.when(x < edge(guess), guess - 1).when(x >= edge(guess + 1), guess + 1).otherwise(guess)
     )
     return F.when(x.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(n - 1), fixed)))
+
+
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Put the columns of a one-row table (an aggregate without groups) on every row."""
+    return df.join(F.broadcast(one_row), F.lit(True))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import bin_index, count_if, finite, ratio, true
+from ..functions.expr import beside, bin_index, count_if, finite, ratio, true
 from ..functions.geometry import needed_window, pseudorapidity, transverse_momentum
 from ..functions.stats import wilson
 from ..functions.strata import (
@@ -22,7 +22,7 @@ from ..functions.strata import (
     pt_index,
     sensor_class,
 )
-from .ordered import CHUNK_WIDTH, exact_percentiles, first_n, running
+from .ordered import CHUNK_WIDTH, exact_percentiles, first_n, needs_chunks, running
 
 BRANCH = ("event_id", "seed_id", "branch_id")
 SEED = ("event_id", "seed_id")
@@ -155,7 +155,7 @@ def cube_counters(states: DataFrame, pt: DataFrame) -> DataFrame:
         count_if(F.col("n_true_rows") > 1).alias("n_multi_true"),
         count_if(F.col("pt_gev").isNull()).alias("n_pt_unmatched"),
     )
-    return counts.join(seeds, F.lit(True))
+    return beside(counts, seeds)
 
 
 def slice_cube(
@@ -430,7 +430,7 @@ def outlier_flags(g: DataFrame, columns: Sequence[str], sigmas: float = 2.0) ->
         )
         for c in columns
     ]
-    return g.join(m, F.lit(True)).select(*g.columns, F.concat_ws(", ", *out).alias("outlier_flags"))
+    return beside(g, m).select(*g.columns, F.concat_ws(", ", *out).alias("outlier_flags"))
 
 
 def binned_means(
@@ -479,14 +479,15 @@ def hole_counter_mismatch(states: DataFrame, passive: Sequence[int], width: int
     dead = F.col("volume_id").isin(list(passive))
     s = states.withColumns({"_all": (~hit).cast("long"), "_sens": (~hit & ~dead).cast("long")})
     sums = {"nh_all": "_all", "nh_sensor": "_sens"}
-    s = running(s, BRANCH, "step_k", sums=sums, inclusive=False, width=width)
+    chunked = needs_chunks(s, "step_k", width)
+    s = running(s, BRANCH, "step_k", sums=sums, inclusive=False, width=width, chunked=chunked)
     marks = {
         "_a": F.when(hit, F.col("nh_all")),
         # A passive surface with a candidate count is still no hit under this rule.
         "_b": F.when(hit & ~dead, F.col("nh_sensor")),
         "_c": F.when((hit & ~dead) | dead, F.col("nh_sensor")),
     }
-    s = running(s, BRANCH, "step_k", lasts=marks, inclusive=False, width=width)
+    s = running(s, BRANCH, "step_k", lasts=marks, inclusive=False, width=width, chunked=chunked)
     zero = F.lit(0)
     return s.withColumns(
         {

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import count_if, finite, ratio, true
+from ..functions.expr import beside, count_if, finite, ratio, true
 from ..functions.strata import double_majority
 from .ordered import first_n
 from .truth import mode_by
@@ -54,7 +54,9 @@ def match_summary(matched: DataFrame, states: DataFrame) -> DataFrame:
     """Counts per category with mean purity and completeness (one row)."""
     dm = double_majority("purity", "completeness")
     per_pid = matched.where(dm).select("event_id", "majority_pid").distinct()
-    return (
+    n_tracks = states.select(*TRACK).distinct().agg(F.count(F.lit(1)).alias("n_tracks"))
+    n_particles = per_pid.agg(F.count(F.lit(1)).alias("n_particles"))
+    counts = (
         matched.agg(
             count_if(dm).alias("n_matched"),
             count_if(F.col("category") == "low_purity").alias("n_low_purity"),
@@ -62,9 +64,8 @@ def match_summary(matched: DataFrame, states: DataFrame) -> DataFrame:
             F.avg("purity").alias("mean_purity"),
             F.avg("completeness").alias("mean_completeness"),
         )
-        .join(states.select(*TRACK).distinct().agg(F.count(F.lit(1)).alias("n_tracks")), F.lit(True))
-        .join(per_pid.agg(F.count(F.lit(1)).alias("n_particles")), F.lit(True))
     )
+    return beside(beside(counts, n_tracks), n_particles)
 
 
 def compare_matched(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -370,8 +371,8 @@ def join_diagnosis(
     """
     ck, ak = cand.select(*keys).distinct(), accepted.select(*keys).distinct()
     overlap = ck.join(ak, list(keys), "inner").agg(F.count(F.lit(1)).alias("n_overlap"))
-    sizes = ck.agg(F.count(F.lit(1)).alias("n_cand_states")).join(
-        ak.agg(F.count(F.lit(1)).alias("n_accepted_states")), F.lit(True)
+    sizes = beside(
+        ck.agg(F.count(F.lit(1)).alias("n_cand_states")), ak.agg(F.count(F.lit(1)).alias("n_accepted_states"))
     )
     best = nearest_residuals(cand, accepted, keys)
     fracs = [
@@ -379,7 +380,7 @@ def join_diagnosis(
         for n, c in (("same_sign", "d_minus"), ("opposite_sign", "d_plus"))
         for t in tolerances
     ]
-    return sizes.join(overlap, F.lit(True)).join(best.agg(*fracs), F.lit(True))
+    return beside(beside(sizes, overlap), best.agg(*fracs))
 
 
 def nearest_residuals(cand: DataFrame, accepted: DataFrame, keys) -> DataFrame:

@@ -21,11 +21,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import col
+from ..session import cut_lineage
 
 CHUNK_WIDTH = 65_536
 
 
-def _needs_chunks(df: DataFrame, order: str, width: int) -> bool:
+def needs_chunks(df: DataFrame, order: str, width: int = CHUNK_WIDTH) -> bool:
+    """Is any step outside the first chunk? Reads the order column only.
+
+    Probe a table before windows are added to it (the filter does not pass through
+    a window) and hand the answer to several :func:`running` calls as ``chunked``.
+    """
     o = F.col(order)
     return not df.where((o >= width) | (o < 0)).select(order).isEmpty()
 
@@ -48,6 +54,7 @@ def running(
     inclusive: bool = True,
     descending: bool = False,
     width: int = CHUNK_WIDTH,
+    chunked: bool | None = None,
 ) -> DataFrame:
     """Add running sums (0 on an empty frame), minima and last non-null values.
 
@@ -71,11 +78,14 @@ def running(
         cols |= {n: F.last(col(e), ignorenulls=True).over(w) for n, e in lasts.items()}
         return cols
 
-    if not _needs_chunks(df, order, width):
+    if chunked is None:
+        chunked = needs_chunks(df, order, width)
+    if not chunked:
         return df.withColumns(local(keys))
 
     chunk = "_chunk"
-    df = df.withColumn(chunk, F.floor(F.col(order) / F.lit(width)).cast("long"))
+    # Read twice below (rows and chunk totals): written once instead of computed twice.
+    df = cut_lineage(df.withColumn(chunk, F.floor(F.col(order) / F.lit(width)).cast("long")), "chunks")
     out = df.withColumns(local([*keys, chunk]))
     aggs = [F.sum(col(e)).alias(f"_t_{n}") for n, e in sums.items()]
     aggs += [F.min(col(e)).alias(f"_t_{n}") for n, e in mins.items()]
@@ -111,16 +121,20 @@ def shifted(
     *,
     forward: bool = True,
     width: int = CHUNK_WIDTH,
+    chunked: bool | None = None,
 ) -> DataFrame:
     """Add each value of the next (``forward``) or previous row of the group."""
     keys = list(keys)
-    if not _needs_chunks(df, order, width):
+    if chunked is None:
+        chunked = needs_chunks(df, order, width)
+    if not chunked:
         w = Window.partitionBy(*keys).orderBy(order)
         step = F.lead if forward else F.lag
         return df.withColumns({n: step(col(e)).over(w) for n, e in values.items()})
 
     chunk = "_chunk"
-    df = df.withColumn(chunk, F.floor(F.col(order) / F.lit(width)).cast("long"))
+    # Read twice below (rows and chunk totals): written once instead of computed twice.
+    df = cut_lineage(df.withColumn(chunk, F.floor(F.col(order) / F.lit(width)).cast("long")), "chunks")
     w = Window.partitionBy(*keys, chunk).orderBy(order)
     edge = Window.partitionBy(*keys).orderBy(chunk)
     step = F.lead if forward else F.lag
@@ -206,6 +220,8 @@ def value_prefix(
     and group. Pre-aggregate equal values first, so that no bucket can be hot.
     """
     by = list(by)
+    # Needed for the boundaries, the bucket totals and the rows: computed once.
+    df = cut_lineage(df, "ordered")
     bounds = range_boundaries(df, value, buckets or bucket_count(df))
     b = with_bucket(df, value, bounds)
     names = list(sums)

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import count_if, finite, ratio, true
+from ..functions.expr import beside, count_if, finite, ratio, true
 from ..functions.strata import PASSIVE_VOLUMES, SENSOR_CLASS, SENSOR_CLASS_NAMES, member
-from .ordered import exact_percentiles, first_n, running, shifted
+from .ordered import exact_percentiles, first_n, needs_chunks, running, shifted
 from .truth import mode_by
 
 SEED = ("event_id", "seed_id")
@@ -101,8 +101,9 @@ def volume_presence(rows: DataFrame) -> DataFrame:
 
 def history_consistency(states: DataFrame) -> DataFrame:
     """States whose hit + hole counters differ from their position or fall (one row)."""
-    s = running(states, SEED, "step_k", sums={"_pos": F.lit(1)}, inclusive=False)
-    s = shifted(s, SEED, "step_k", {"_prev": "n_hits"}, forward=False)
+    chunked = needs_chunks(states, "step_k")
+    s = running(states, SEED, "step_k", sums={"_pos": F.lit(1)}, inclusive=False, chunked=chunked)
+    s = shifted(s, SEED, "step_k", {"_prev": "n_hits"}, forward=False, chunked=chunked)
     return s.agg(
         F.count(F.lit(1)).alias("n_states"),
         count_if(F.col("n_hits") + F.col("n_holes") != F.col("_pos")).alias("n_bad_total"),
@@ -139,7 +140,7 @@ def selected_flag(rows: DataFrame, source: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_accepted"),
         F.coalesce(F.avg((F.col("_n") == 1).cast("double")), F.lit(1.0)).alias("joinable"),
     )
-    return multi.join(j, F.lit(True))
+    return beside(multi, j)
 
 
 def target_range(rows: DataFrame, value: str = "vstar_soft") -> DataFrame:
@@ -209,7 +210,7 @@ def audit(
         )
     else:
         r = hole_fraction(reference).withColumnRenamed("hole_fraction", "_r")
-        hr = h.join(r, F.lit(True))
+        hr = beside(h, r)
         checks.append(
             _check(
                 "hole_fraction",
@@ -223,7 +224,7 @@ def audit(
         rs = rs.select(*[F.col(n).alias(f"_r_{n}") for n in SENSOR_CLASS_NAMES])
         gap = F.greatest(*[F.abs(F.col(n) - F.col(f"_r_{n}")) for n in SENSOR_CLASS_NAMES])
         checks.append(
-            _check("candidate_shares", s.join(rs, F.lit(True)), gap <= tolerance, gap, F.lit("largest gap to reference"))
+            _check("candidate_shares", beside(s, rs), gap <= tolerance, gap, F.lit("largest gap to reference"))
         )
     c = history_consistency(states)
     checks.append(
@@ -403,7 +404,7 @@ def differs_from_baseline(df: DataFrame, baseline: DataFrame) -> DataFrame:
     """Rows only in one of two tables, as multisets (one row of counts)."""
     a = df.exceptAll(baseline).agg(F.count(F.lit(1)).alias("n_only_new"))
     b = baseline.exceptAll(df).agg(F.count(F.lit(1)).alias("n_only_baseline"))
-    return a.join(b, F.lit(True))
+    return beside(a, b)
 
 
 def correlation_summary(df: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import count_if, finite
+from ..functions.expr import beside, count_if, finite
 from .ordered import bucket_count, range_boundaries, row_index, value_prefix, with_bucket
 
 CHI2_FLOOR = 1e-3
@@ -118,7 +118,7 @@ def class_counts(before: DataFrame, after: DataFrame, label: str) -> DataFrame:
         y = F.col(label)
         return df.agg(count_if(y == 1).alias(f"n_pos_{suffix}"), count_if(y == 0).alias(f"n_neg_{suffix}"))
 
-    j = counts(before, "orig").join(counts(after, "new"), F.lit(True))
+    j = beside(counts(before, "orig"), counts(after, "new"))
     return j.withColumn("prior_logit_shift", prior_shift("n_pos_orig", "n_neg_orig", "n_pos_new", "n_neg_new"))
 
 
@@ -143,7 +143,7 @@ def draw_diagnostics(df: DataFrame, weight: Column, n_take: int, top: int = 1000
     # -expm1(n log1p(-p)) is written for p < 1; a single item is always reached.
     reach = F.when(p < 1, -F.expm1(F.lit(float(n_take)) * F.log1p(-p))).otherwise(F.lit(1.0))
     distinct = w.agg(F.sum(reach).alias("expected_distinct"))
-    j = t.join(heavy, F.lit(True)).join(distinct, F.lit(True))
+    j = beside(beside(t, heavy), distinct)
     return j.select(
         F.lit(int(n_take)).cast("long").alias("n_take"),
         "n_pool",

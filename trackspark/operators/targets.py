@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import clip, count_if, finite, true
+from ..functions.expr import beside, clip, count_if, finite, true
 from ..functions.geometry import chi2_log_odds, pseudorapidity
 from ..functions.strata import is_hit, member, selected_outcome
-from .ordered import CHUNK_WIDTH, exact_percentiles, first_n, running, shifted
+from ..session import cut_lineage
+from .ordered import CHUNK_WIDTH, exact_percentiles, first_n, needs_chunks, running, shifted
 
 BRANCH = ("event_id", "seed_id", "branch_id")
 STATE = (*BRANCH, "step_k")
@@ -47,11 +48,13 @@ def past_counts(rows: DataFrame, keys=("event_id", "seed_id"), width: int = CHUN
     return out.drop("_c", "_w")
 
 
-def future_counts(steps: DataFrame, flag: str, out: str, keys=BRANCH, width: int = CHUNK_WIDTH):
+def future_counts(
+    steps: DataFrame, flag: str, out: str, keys=BRANCH, width: int = CHUNK_WIDTH, chunked: bool | None = None
+) -> DataFrame:
     """Flagged states strictly after each state."""
     s = steps.withColumn("_f", true(flag).cast("long"))
     return running(
-        s, keys, "step_k", sums={out: "_f"}, inclusive=False, descending=True, width=width
+        s, keys, "step_k", sums={out: "_f"}, inclusive=False, descending=True, width=width, chunked=chunked
     ).drop("_f")
 
 
@@ -62,14 +65,16 @@ def logged_targets(steps: DataFrame, totals: DataFrame, width: int = CHUNK_WIDTH
     """
     t = totals.select("event_id", F.col("particle_id").alias("branch_majority_pid"), "n_total")
     s = steps.withColumn("_m", true("maj_hit_on_surface").cast("long"))
+    chunked = needs_chunks(s, "step_k", width)
     s = running(
         s,
         BRANCH,
         "step_k",
         sums={"n_correct": "sel_correct", "n_wrong": "sel_wrong", "_seen": "_m"},
         width=width,
+        chunked=chunked,
     )
-    s = future_counts(s, "maj_hit_on_surface", "n_findable_t2", width=width)
+    s = future_counts(s, "maj_hit_on_surface", "n_findable_t2", width=width, chunked=chunked)
     s = s.join(t, ["event_id", "branch_majority_pid"], "left")
     left = F.col("n_total") - F.col("_seen")
     s = s.withColumn("n_findable_t1", F.when(left.isNotNull(), F.greatest(left, F.lit(0))))
@@ -299,6 +304,8 @@ def rollout_targets(
         .join(totals.select(*keys, F.col("n_total").alias("n_total_true")), keys, "left")
         .withColumn("_anchor", F.col("state_class").isin(*ANCHORS))
     )
+    s = cut_lineage(s, "rollout")
+    chunked = needs_chunks(s, "step_k", width)
     why = (
         F.when(count_if(F.col("_anchor") & F.col("n_findable").isNull()) > 0, F.lit("missing_rollout"))
         .when(count_if(F.col("n_correct").isNull()) > 0, F.lit("missing_past"))
@@ -317,13 +324,13 @@ def rollout_targets(
         .agg(F.count(F.lit(1)).alias("n_branches"), F.sum("n_states").alias("n_states"))
     )
     good = s.join(branches.where(F.col("reason").isNull()).select(*keys), keys, "left_semi")
-    good = shifted(good, keys, "step_k", {"_child": "sel_hit"}, width=width)
+    good = shifted(good, keys, "step_k", {"_child": "sel_hit"}, width=width, chunked=chunked)
     step = F.when(F.col("_anchor"), F.lit(0)).otherwise(
         F.coalesce((F.col("_child") >= 0).cast("long"), F.lit(0))
     )
-    good = running(good, keys, "step_k", sums={"_sum": step}, descending=True, width=width)
+    good = running(good, keys, "step_k", sums={"_sum": step}, descending=True, width=width, chunked=chunked)
     mark = F.when(F.col("_anchor"), F.col("n_findable") - F.col("_sum"))
-    good = running(good, keys, "step_k", lasts={"_base": mark}, descending=True, width=width)
+    good = running(good, keys, "step_k", lasts={"_base": mark}, descending=True, width=width, chunked=chunked)
     findable = F.col("_base") + F.col("_sum")
     found = F.col("n_correct") + findable
     size = found + F.col("n_wrong")
@@ -359,7 +366,7 @@ def suffix_check(classes: DataFrame, rollout: DataFrame, logged: DataFrame, valu
     n = classes.select(*keys).distinct().join(diverged, keys, "left_anti").agg(
         F.count(F.lit(1)).alias("n_suffix_branches")
     )
-    return stats.join(q, F.lit(True)).join(n, F.lit(True))
+    return beside(beside(stats, q), n)
 
 
 def require_agreement(report: DataFrame, limit: float = 0.01) -> None:

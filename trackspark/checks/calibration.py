@@ -129,12 +129,12 @@ def _(x):
     "edge:l threshold_logit:d tp:l fp:l tpr:d fpr:d precision:d",
     """SELECT edge, -20e0 + edge * 1e-1 AS threshold_logit, tp, fp, tp * 1e0 / np AS tpr, fp * 1e0 / nn AS fpr,
               CASE WHEN tp + fp > 0 THEN tp * 1e0 / (tp + fp) END AS precision
-       FROM (SELECT g.edge, t.np, t.nn, t.np - coalesce(sum(h.p) OVER w, 0) AS tp, t.nn - coalesce(sum(h.q) OVER w, 0) AS fp
-             FROM (SELECT unnest(range(401)) AS edge) g
-             LEFT JOIN (SELECT least(399, floor((logit + 20e0) / 1e-1)) AS edge, count(CASE WHEN label = 1 THEN 1 END) AS p,
-                               count(CASE WHEN label = 0 THEN 1 END) AS q FROM scores GROUP BY 1) h ON h.edge = g.edge,
-             (SELECT sum(label) AS np, sum(1 - label) AS nn FROM scores) t
-             WINDOW w AS (ORDER BY g.edge ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) a""",
+       FROM (SELECT edge, t.np, t.nn, coalesce(sum(p) FILTER (WHERE logit >= -20e0 + edge * 1e-1 AND edge < 400), 0) AS tp,
+                    coalesce(sum(q) FILTER (WHERE logit >= -20e0 + edge * 1e-1 AND edge < 400), 0) AS fp
+             FROM (SELECT unnest(range(401)) AS edge) g,
+                  (SELECT logit, sum(label) AS p, sum(1 - label) AS q FROM scores GROUP BY 1) h,
+                  (SELECT sum(label) AS np, sum(1 - label) AS nn FROM scores) t
+             GROUP BY 1, 2, 3) a""",
     "scores",
 )
 def _(x):

@@ -208,11 +208,13 @@ view("pcov")(
     """
 )
 
+# Probabilities are rounded to nine digits: the engines' exp() may differ in the last bit, which
+# would make equal scores unequal.
 # --- scores ------------------------------------------------------------------------------------
 
 view("scores")(
     """
-    SELECT event_id, logit, 1e0 / (1e0 + exp(-logit)) AS prob, label, n_window, eta, chi2_inc, target, row_part
+    SELECT event_id, logit, round(1e0 / (1e0 + exp(-logit)), 9) AS prob, label, n_window, eta, chi2_inc, target, row_part
     FROM (
         SELECT CAST(year(l_shipdate) AS BIGINT) AS event_id,
                (l_discount - 5e-2) * 4e1 + (l_quantity - 25e0) / 12e0 - 7e-1 AS logit,

@@ -309,15 +309,13 @@ def rebin(hist: DataFrame, fine: int, coarse: int, min_count: int = MIN_BIN_COUN
 
 def unpivot_scores(df: DataFrame, estimators: Sequence[str], strata: Mapping[str, Column | str], label: str):
     """One row per (row, estimator, stratum family) for a single grouped pass."""
-    scores = F.array(*[F.struct(F.lit(e).alias("estimator"), F.col(e).alias("pred")) for e in estimators])
-    groups = F.array(
-        *[F.struct(F.lit(n).alias("family"), col(c).cast("string").alias("stratum")) for n, c in strata.items()]
-    )
-    return (
-        df.select(F.col(label).alias("label"), F.explode(scores).alias("_e"), groups.alias("_g"))
-        .select("label", "_e.estimator", "_e.pred", F.explode("_g").alias("_s"))
-        .select("label", "estimator", "pred", "_s.family", "_s.stratum")
-        .where(F.col("stratum").isNotNull())
+    scores = [v for e in estimators for v in (F.lit(e), F.col(e).cast("double"))]
+    groups = [v for n, c in strata.items() for v in (F.lit(n), col(c).cast("string"))]
+    named = df.select(
+        F.col(label).alias("label"), *[F.col(e) for e in estimators], F.stack(F.lit(len(strata)), *groups).alias("family", "stratum")
+    ).where(F.col("stratum").isNotNull())
+    return named.select(
+        "label", "family", "stratum", F.stack(F.lit(len(estimators)), *scores).alias("estimator", "pred")
     )
 
 

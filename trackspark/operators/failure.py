@@ -359,7 +359,7 @@ def occupancy_by_window(rows: DataFrame, sizes: Sequence[float], cap: int = 200)
             F.array(
                 *[
                     F.struct(
-                        F.lit(float(n)).alias("window"),
+                        F.lit(float(n)).alias("window_n"),
                         count_if(F.col("_d") <= n).alias("size"),
                         F.coalesce(F.sum(F.when(F.col("_d") <= n, F.col("_y"))), F.lit(0)).alias("pos"),
                     )
@@ -369,7 +369,7 @@ def occupancy_by_window(rows: DataFrame, sizes: Sequence[float], cap: int = 200)
         )
     )
     w = per_state.select("is_pixel", F.explode("_w").alias("w")).select("is_pixel", "w.*").where("size > 0")
-    return w.groupBy("window", F.least("size", F.lit(cap - 1)).alias("n_in_window"), "is_pixel").agg(
+    return w.groupBy("window_n", F.least("size", F.lit(cap - 1)).alias("n_in_window"), "is_pixel").agg(
         F.count(F.lit(1)).alias("n_states"), F.sum("size").alias("n_rows"), F.sum("pos").alias("n_pos")
     )
 

@@ -152,9 +152,9 @@ def truth_window_failure(
     w = lambda s: F.sqrt(F.greatest(F.col(s), F.lit(0.0)))
     r0, r1 = F.abs(F.col("truth_l0") - F.col("pred_l0")), F.abs(F.col("truth_l1") - F.col("pred_l1"))
     m = m.select(*by, r0.alias("_r0"), r1.alias("_r1"), w("S00").alias("_w0"), w("S11").alias("_w1"))
-    m = m.withColumn("window", F.explode(F.array(*[F.lit(float(n)) for n in sizes])))
-    out = (F.col("_r0") > F.col("window") * F.col("_w0")) | (F.col("_r1") > F.col("window") * F.col("_w1"))
-    return m.groupBy(*by, "window").agg(
+    m = m.withColumn("window_n", F.explode(F.array(*[F.lit(float(n)) for n in sizes])))
+    out = (F.col("_r0") > F.col("window_n") * F.col("_w0")) | (F.col("_r1") > F.col("window_n") * F.col("_w1"))
+    return m.groupBy(*by, "window_n").agg(
         F.count(F.lit(1)).alias("total"),
         count_if(out).alias("outside"),
         (count_if(out) / F.count(F.lit(1))).alias("rate"),

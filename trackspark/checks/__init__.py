@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("expressions", "expansion", "targets", "calibration", "failure", "modelling", "matching", "sources", "quality")
+MODULES = ("expressions", "expansion", "targets", "calibration", "failure", "modelling", "matching", "sources", "quality", "plans")
 
 
 def load():

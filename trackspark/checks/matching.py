@@ -181,7 +181,7 @@ def _(x):
 
 # --- seeds -------------------------------------------------------------------------------------------
 
-_KEY = "event_id, round(bX, 3) AS bX, round(bY, 3) AS bY, bZ, mX, mY, mZ, tX, tY, tZ"
+_KEY = 'event_id, round(bX, 3) AS bX, round("bY", 3) AS "bY", bZ, mX, mY, mZ, tX, tY, tZ'
 _FILT = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, mX, mY, mZ ORDER BY quality DESC, seed_id) AS rn FROM seeds WHERE pT >= 1) f WHERE rn <= 40"""
 
 
@@ -194,8 +194,8 @@ _REC = f"""
   SELECT event_id, count(t) AS n_tight, count(e) AS n_envelope, count(f) AS n_filtered, count(CASE WHEN t = 1 AND e = 1 THEN 1 END) AS n_tight_in_envelope,
          count(CASE WHEN t = 1 AND f = 1 THEN 1 END) AS n_recovered
   FROM (SELECT DISTINCT {_KEY}, 1 AS t FROM seeds WHERE o_orderpriority < '3') a
-  FULL JOIN (SELECT DISTINCT {_KEY}, 1 AS e FROM seeds) b USING (event_id, bX, bY, bZ, mX, mY, mZ, tX, tY, tZ)
-  LEFT JOIN (SELECT DISTINCT {_KEY}, 1 AS f FROM ({_FILT}) f) c USING (event_id, bX, bY, bZ, mX, mY, mZ, tX, tY, tZ) GROUP BY event_id"""
+  FULL JOIN (SELECT DISTINCT {_KEY}, 1 AS e FROM seeds) b USING (event_id, bX, "bY", bZ, mX, mY, mZ, tX, tY, tZ)
+  LEFT JOIN (SELECT DISTINCT {_KEY}, 1 AS f FROM ({_FILT}) f) c USING (event_id, bX, "bY", bZ, mX, mY, mZ, tX, tY, tZ) GROUP BY event_id"""
 
 
 def _recovery(x):

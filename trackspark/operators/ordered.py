@@ -192,10 +192,10 @@ def with_bucket(df: DataFrame, value: str, boundaries: Sequence[float], out: str
     if len(splits) == 2:
         return df.withColumn(out, F.lit(0))
     tmp = "_bucket_value"
-    done = Bucketizer(splits=splits, inputCol=tmp, outputCol="_b", handleInvalid="keep").transform(
+    done = Bucketizer(splits=splits, inputCol=tmp, outputCol="_bucket_raw", handleInvalid="keep").transform(
         df.withColumn(tmp, F.col(value).cast("double"))
     )
-    return done.withColumn(out, F.col("_b").cast("int")).drop(tmp, "_b")
+    return done.withColumn(out, F.col("_bucket_raw").cast("int")).drop(tmp, "_bucket_raw")
 
 
 def bucket_count(df: DataFrame) -> int:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import bce_with_logits, log_occupancy, sigmoid
+from ..session import cut_lineage
 
 
 @dataclass
@@ -38,6 +39,8 @@ def fit_logistic(
         F.col(label).cast("double").alias("y"),
         w.cast("double").alias("w"),
     )
+    # Every step reads these few columns again, so they are stored once.
+    base = cut_lineage(base, "logistic")
     seen = base.agg(F.min("y").alias("lo"), F.max("y").alias("hi"), F.sum("w").alias("w")).first()
     if seen.w is None or seen.lo > 0.5 or seen.hi <= 0.5:
         raise ValueError("calibration rows must contain both classes")

@@ -12,6 +12,7 @@ from ..functions.features import GATE_FEATURES, collect_stats, gate_features, no
 from ..functions.geometry import chi2_probability, pseudorapidity
 from ..functions.strata import eta_stratum, label_columns, occupancy_stratum
 from ..operators import calibration, platt, sampling, scoring
+from ..session import cut_lineage
 
 CARRY = ("event_id", "row_id", "label", "raw_chi2", "occupancy", "theta")
 
@@ -45,9 +46,13 @@ class GateFit:
 def fit_gate(
     train: DataFrame, valid: DataFrame, cal: DataFrame, features=GATE_FEATURES, per_pos: int | None = None, seed: int = 0
 ) -> GateFit:
-    """Normalise on the training rows, sample, fit, then calibrate on the calibration rows."""
+    """Normalise on the training rows, sample, fit, then calibrate on the calibration rows.
+
+    The inputs should be stored feature tables: training reads them several times.
+    """
     norms = collect_stats(norm_stats(train, features))
     picked = train if per_pos is None else sampling.uniform_subsample(train, "label", "row_id", per_pos, seed)
+    picked = cut_lineage(picked.select("label", *features), "sample")
     w, b, _ = scoring.fit_logit(standardise(picked, norms), standardise(valid, norms), list(features))
     scored = standardise(cal, norms).withColumn("logit", scoring.linear_logit(features, w, b))
     p2 = platt.fit_platt(scored, "logit", "label").params

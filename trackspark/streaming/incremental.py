@@ -3,7 +3,7 @@
 Cubes, reliability sums and histograms are sums over events, so a new event only
 adds rows. Each micro-batch is reduced to one row per (event, cell) and stored
 below its batch number; replaying a batch rewrites the same folder, and an event
-that was stored before is left out, so every event counts once.
+that an earlier batch stored is left out, so every event counts once.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 Reduce = Callable[[DataFrame], DataFrame]
 
@@ -44,7 +44,7 @@ def keep_sums(
 
     def fold(batch: DataFrame, number: int) -> None:
         out = reduce(batch)
-        kept = StructType(out.schema.fields).add("batch", "int")
+        kept = StructType(out.schema.fields).add("batch", IntegerType())
         seen = _stored(spark, path, kept, number).select("event_id").distinct()
         new = out.join(seen, ["event_id"], "left_anti")
         new.write.mode("overwrite").parquet(f"{path}/batch={number}")

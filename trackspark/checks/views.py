@@ -8,6 +8,9 @@ doubles in both engines. Views may build on views listed before them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from ..session import scratch_path
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -48,8 +51,15 @@ def duckdb_sql(names, sql: str) -> str:
     return f"{with_clause(names, lambda t: t, 'list_value')}\n{sql}"
 
 
+_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
 class Inputs:
-    """Views over one folder of tables."""
+    """Views over one folder of tables.
+
+    Operators expect stored tables, so each view is written once per application to
+    the shared folder and read from there.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -60,8 +70,24 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in VIEWS:
             raise AttributeError(name)
-        clause = with_clause([name], lambda t: f"parquet.`{self.dir}/{t}.parquet`", "array")
-        return self.spark.sql(f"{clause} SELECT * FROM {name}")
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _STORED:
+            for needed in VIEWS[name][0]:
+                getattr(self, needed)
+            path = scratch_path(self.spark, f"view-{name}")
+            df = self._derive(name)
+            # Spread evenly, so that a later scan has work for every core.
+            df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)
+            _STORED[key] = (path, df.schema)
+        path, schema = _STORED[key]
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _derive(self, name: str) -> DataFrame:
+        """The view over the given tables and the stored views it needs."""
+        app = self.spark.sparkContext.applicationId
+        stored = [f"{n} AS (SELECT * FROM parquet.`{_STORED[app, self.dir, n][0]}`)" for n in VIEWS[name][0]]
+        text = _render(VIEWS[name][1], lambda t: f"parquet.`{self.dir}/{t}.parquet`", "array")
+        return self.spark.sql((f"WITH {', '.join(stored)} " if stored else "") + f"SELECT * FROM ({text}) v")
 
 
 # --- candidate rows -----------------------------------------------------------------------

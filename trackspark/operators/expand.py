@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import col, count_if, finite, true
 from ..functions.geometry import half_width, in_box, in_radius
+from ..session import cut_lineage
 from .ordered import CHUNK_WIDTH, needs_chunks, running
 
 # Meaning of ``action_taken``.
@@ -30,8 +31,19 @@ class WriteRefused(ValueError):
 
 @dataclass
 class Expansion:
-    candidates: DataFrame  # one row per in-window candidate or hole
-    states: DataFrame  # one row per usable state, with its counts
+    """Usable states with their counts, and the hits inside their windows.
+
+    State-level columns belong on ``states`` before :attr:`candidates` is asked for:
+    there is one row per state there, and many per state afterwards.
+    """
+
+    states: DataFrame
+    hits: DataFrame
+
+    @property
+    def candidates(self) -> DataFrame:
+        """One row per in-window candidate, and a hole row per state without any."""
+        return _candidate_rows(self.states, self.hits)
 
 
 def attach_predicted_covariance(states: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -133,41 +145,44 @@ def expand_states(
 ) -> Expansion:
     """Candidate and hole rows of every usable state.
 
-    One aggregation per state yields both counts, the hole cause and the accepted
-    candidate (closest position, then lowest id), so the wide state columns are
-    shuffled once.
+    The accepted candidate is the closest one, then the one with the lowest id. The pairs and the states with their counts are written
+    to the shared folder: both are read several times below, and the pair join, the
+    largest step of all, must run once.
     """
     if predicted is not None:
         states = attach_predicted_covariance(states, predicted)
     usable = _usable(states)
-    pairs = window_pairs(usable, measurements, n, radius)
-    chosen = F.when(
-        F.col("_in_window") & _selected_match(tolerance),
-        F.struct(F.abs(F.col("local0") - F.col("sel_l0")).alias("d0"), F.col("cand_hit_id").alias("id")),
-    )
+    pairs = cut_lineage(window_pairs(usable, measurements, n, radius), "pairs")
     counts = pairs.groupBy(*STATE).agg(
         count_if(F.col("_in_window")).alias("n_window"),
         count_if(F.col("_in_radius")).alias("geometric_density"),
-        F.min(chosen).alias("_chosen"),
     )
+    # Few pairs match the accepted position; only those go through the struct minimum.
+    match = pairs.where(F.col("_in_window") & _selected_match(tolerance))
+    order = F.struct(F.abs(F.col("local0") - F.col("sel_l0")).alias("d0"), "cand_hit_id")
+    winners = match.groupBy(*STATE).agg(F.min(order).getField("cand_hit_id").alias("_sel_id"))
     on_surface = measurements.groupBy(*SURFACE).agg(F.lit(True).alias("_had_meas"))
     drop = [c for c in ("S00", "S01", "S11", "P00", "P01", "P11") if c in usable.columns]
     per_state = (
         usable.drop(*drop)
         .join(counts, list(STATE), "left")
+        .join(winners, list(STATE), "left")
         .join(on_surface, list(SURFACE), "left")
         .withColumns(
             {
                 "n_window": F.coalesce("n_window", F.lit(0)).cast("long"),
                 "geometric_density": F.coalesce("geometric_density", F.lit(0)).cast("long"),
-                "_sel_id": F.col("_chosen.id"),
             }
         )
-        .drop("_chosen")
     )
+    per_state = cut_lineage(per_state, "states")
     hits = pairs.where("_in_window").select(
         *STATE, "cand_hit_id", "local0", "local1", "var_local0", "var_local1", "S00", "S01", "S11", "is_1d"
     )
+    return Expansion(per_state, hits)
+
+
+def _candidate_rows(per_state: DataFrame, hits: DataFrame) -> DataFrame:
     cand = per_state.join(hits, list(STATE), "inner").select(
         *[per_state[c] for c in per_state.columns if not c.startswith("_")],
         "cand_hit_id",
@@ -195,7 +210,7 @@ def expand_states(
         *[none("double").alias(c) for c in ("S00", "S01", "S11", "var_local0", "var_local1")],
         F.lit(False).alias("is_1d"),
     )
-    return Expansion(cand.unionByName(holes), per_state)
+    return cand.unionByName(holes)
 
 
 def selection_report(expansion: Expansion) -> DataFrame:

@@ -17,6 +17,8 @@ loop stops at the highest priority of a popped branch with too few shared hits
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,42 +55,50 @@ def resolve_shared(rows: DataFrame, max_shared: int = 3, min_hits: int = 7, max_
     owned = cut_lineage(
         hits.join(long_enough, list(BRANCH), "inner").withColumn("fixed", F.lit(False)), "owned"
     )
-    evicted = None
-    bar = None
+    evicted: list[DataFrame] = []
+    stops: list[DataFrame] = []
     for _ in range(max_rounds):
-        state = cut_lineage(_round(owned, bar), "decided")
+        state = cut_lineage(_round(owned, _bar(stops)), "decided")
         counts = state.agg(
             count_if(F.col("decided")).alias("n"), count_if(~F.col("decided")).alias("left")
         ).first()
         if counts.n == 0:
             break
-        stops = state.where(F.col("decided") & (F.col("shared") < max_shared))
-        new_bar = stops.groupBy("event_id").agg(F.max("key").alias("bar"))
-        bar = new_bar if bar is None else bar.unionByName(new_bar).groupBy("event_id").agg(F.max("bar").alias("bar"))
-        bar = cut_lineage(bar, "bar")
-        popped = state.where(F.col("decided") & (F.col("shared") >= max_shared)).select(*BRANCH, "key")
-        evicted = popped if evicted is None else evicted.unionByName(popped)
-        # Popped branches give up their hits; those that stop keep theirs but are settled.
-        settled = state.where(F.col("decided") & (F.col("shared") < max_shared)).select(*BRANCH)
-        rest = owned.join(popped.select(*BRANCH), list(BRANCH), "left_anti")
-        rest = rest.join(settled.withColumn("_now", F.lit(True)), list(BRANCH), "left").withColumn(
-            "fixed", F.col("fixed") | F.coalesce("_now", F.lit(False))
-        ).drop("_now")
-        owned = cut_lineage(rest, "owned")
+        low = F.col("shared") < max_shared
+        stops.append(state.where(F.col("decided") & low).select(*BRANCH, "key"))
+        evicted.append(state.where(F.col("decided") & ~low).select(*BRANCH, "key"))
         if counts.left == 0:
             break
+        # Popped branches give up their hits; those that stop keep theirs but are settled.
+        settled = stops[-1].select(*BRANCH).withColumn("_now", F.lit(True))
+        rest = (
+            owned.join(evicted[-1].select(*BRANCH), list(BRANCH), "left_anti")
+            .join(settled, list(BRANCH), "left")
+            .withColumn("fixed", F.col("fixed") | F.coalesce("_now", F.lit(False)))
+            .drop("_now")
+        )
+        owned = cut_lineage(rest, "owned")
     else:
         raise RuntimeError(f"resolution did not settle in {max_rounds} rounds")
     everyone = rows.select(*BRANCH).distinct()
     keep = long_enough.select(*BRANCH)
-    if evicted is not None:
-        gone = evicted.join(bar, ["event_id"], "left").where(F.col("bar").isNull() | (F.col("key") > F.col("bar")))
+    if evicted:
+        bar = _bar(stops)
+        gone = reduce(DataFrame.unionByName, evicted).join(bar, ["event_id"], "left")
+        gone = gone.where(F.col("bar").isNull() | (F.col("key") > F.col("bar")))
         keep = keep.join(gone.select(*BRANCH), list(BRANCH), "left_anti")
     return everyone.join(keep.withColumn("_k", F.lit(True)), list(BRANCH), "left").select(
         *BRANCH, F.coalesce("_k", F.lit(False)).alias("survived")
     )
 
 
+def _bar(stops: list[DataFrame]) -> DataFrame | None:
+    """Highest priority at which each event's loop would have stopped so far."""
+    if not stops:
+        return None
+    return reduce(DataFrame.unionByName, stops).groupBy("event_id").agg(F.max("key").alias("bar"))
+
+
 def _round(owned: DataFrame, bar: DataFrame | None) -> DataFrame:
     """Present priority of each undecided branch and whether it can be decided now."""
     owners = owned.groupBy("event_id", "cand_hit_id").agg(F.count(F.lit(1)).alias("_owners"))

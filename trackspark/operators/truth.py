@@ -81,19 +81,28 @@ def _with_default(branches: DataFrame, voted: DataFrame, keys) -> DataFrame:
 
 def with_truth(rows: DataFrame, contribs: DataFrame, majority: DataFrame, simhits: DataFrame, branch="track_nr"):
     """Contributor lists, branch majority and the on-surface flag on every row."""
+    return with_contributors(with_majority(rows, majority, simhits, branch), contribs)
+
+
+def with_contributors(rows: DataFrame, contribs: DataFrame) -> DataFrame:
+    """Contributor lists and charge shares of each candidate; empty where there are none."""
     c = contribs.withColumnRenamed("measurement_id", "cand_hit_id")
     empty = lambda t: F.array().cast(f"array<{t}>")
-    j = (
-        rows.join(c, ["event_id", "cand_hit_id"], "left")
-        .join(majority, ["event_id", branch], "left")
-        .withColumns(
-            {
-                "contrib_pids": F.coalesce("contrib_pids", empty("long")),
-                "contrib_charge_frac": F.coalesce("contrib_charge_frac", empty("float")),
-                "branch_majority_pid": F.coalesce("branch_majority_pid", F.lit(-1)).cast("long"),
-                "majority_undefined": F.coalesce("majority_undefined", F.lit(True)),
-            }
-        )
+    return rows.join(c, ["event_id", "cand_hit_id"], "left").withColumns(
+        {
+            "contrib_pids": F.coalesce("contrib_pids", empty("long")),
+            "contrib_charge_frac": F.coalesce("contrib_charge_frac", empty("float")),
+        }
+    )
+
+
+def with_majority(rows: DataFrame, majority: DataFrame, simhits: DataFrame, branch="track_nr") -> DataFrame:
+    """Branch majority and the on-surface flag; both belong to the state, not the candidate."""
+    j = rows.join(majority, ["event_id", branch], "left").withColumns(
+        {
+            "branch_majority_pid": F.coalesce("branch_majority_pid", F.lit(-1)).cast("long"),
+            "majority_undefined": F.coalesce("majority_undefined", F.lit(True)),
+        }
     )
     return with_on_surface(j, simhits)
 

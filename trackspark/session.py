@@ -14,6 +14,8 @@ def build_session(app: str = "trackspark", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Small partitions on one side: hash them rather than sort the large side.
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.compression.codec": "zstd",
@@ -57,5 +59,6 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     table survives executor loss and carries Parquet statistics.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
+    # Written and read once or twice: a fast codec beats a dense one here.
+    df.write.mode("overwrite").option("compression", "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import beside, count_if, finite
+from ..session import cut_lineage
 from .ordered import bucket_count, range_boundaries, row_index, value_prefix, with_bucket
 
 CHI2_FLOOR = 1e-3
@@ -73,17 +74,20 @@ def weighted_subsample(
     if not total:
         return uniform_subsample(df, label, row_id, per_pos, seed)
     slices = 16 * bucket_count(df)
-    spans = value_prefix(live, row_id, {"w": "_w"}).drop("_bucket")
+    # The running count is a unique row number even where row ids collide; written once,
+    # because rows of equal id may be numbered differently by a second evaluation.
+    spans = value_prefix(live, row_id, {"w": "_w", "i": F.lit(1)}).withColumnRenamed("i_before", "_index")
+    spans = cut_lineage(spans.drop("_bucket"), "spans")
     lo = F.least(F.col("w_before") / total, F.lit(1.0))
     hi = F.least((F.col("w_before") + F.col("_w")) / total, F.lit(1.0))
-    spans = spans.withColumns({"_lo": lo, "_hi": hi})
-    bounds = range_boundaries(spans, "_lo", bucket_count(df))
-    ends = with_bucket(with_bucket(spans, "_lo", bounds, "_b0"), "_hi", bounds, "_b1")
+    placed = spans.select("_index", lo.alias("_lo"), hi.alias("_hi"))
+    bounds = range_boundaries(placed, "_lo", bucket_count(df))
+    ends = with_bucket(with_bucket(placed, "_lo", bounds, "_b0"), "_hi", bounds, "_b1")
     cell = lambda c: F.least(F.floor(F.col(c) * slices), F.lit(slices - 1))
     cuts = F.array(*[F.lit(b) for b in bounds]).cast("array<double>")
     # One entry per bucket or slice the interval starts or passes through.
     starts = ends.select(
-        F.col(row_id).alias("_owner"),
+        F.col("_index").alias("_owner"),
         "_lo",
         F.explode(
             F.array_union(
@@ -105,10 +109,10 @@ def weighted_subsample(
     picked = (
         keyed.withColumn("_hit", F.last("_owner", ignorenulls=True).over(w))
         .where(F.col("_draw") == 1)
-        .groupBy(F.col("_hit").alias(row_id))
+        .groupBy(F.col("_hit").alias("_index"))
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
-    return pos.unionByName(_repeat(neg.join(picked, [row_id], "inner"), df.columns))
+    return pos.unionByName(_repeat(spans.join(picked, ["_index"], "inner"), df.columns))
 
 
 def class_counts(before: DataFrame, after: DataFrame, label: str) -> DataFrame:

@@ -369,11 +369,17 @@ def test_weighted_draws_follow_the_weights(spark):
     assert sum(counts.get(i, 0) for i in range(101, 501)) == 0
 
 
-def test_weighted_draws_match_interval_lookup(spark):
+@pytest.mark.parametrize("buckets", ["4", "7"])
+def test_weighted_draws_match_interval_lookup(spark, buckets):
     data = [(i, 1 if i >= 900 else 0, float(1 + i % 13)) for i in range(1000)]
     df = spark.createDataFrame(data, "row_id long, y int, w double")
-    d = sampling.weighted_subsample(df, "y", "row_id", F.col("w"), 3, seed=5).where("y = 0")
-    got = {r.row_id: r["count"] for r in d.groupBy("row_id").count().collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", buckets)
+    try:
+        d = sampling.weighted_subsample(df, "y", "row_id", F.col("w"), 3, seed=5).where("y = 0")
+        got = {r.row_id: r["count"] for r in d.groupBy("row_id").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     keys = spark.createDataFrame([(i, k) for i in range(900, 1000) for k in (1, 2, 3)], "p long, r int")
     us = [r.u for r in keys.select(sampling.uniform_hash(5, "p", "r").alias("u")).collect()]
     w = np.array([x[2] for x in data if x[1] == 0])

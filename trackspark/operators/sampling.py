@@ -73,7 +73,8 @@ def weighted_subsample(
     total = live.agg(F.sum("_w").alias("w")).first().w
     if not total:
         return uniform_subsample(df, label, row_id, per_pos, seed)
-    slices = 16 * bucket_count(df)
+    # A power of two: then s/slices·slices is exactly s, and a cut lands in its own slice.
+    slices = 1 << (16 * bucket_count(df)).bit_length()
     # The running count is a unique row number even where row ids collide; written once,
     # because rows of equal id may be numbered differently by a second evaluation.
     spans = value_prefix(live, row_id, {"w": "_w", "i": F.lit(1)}).withColumnRenamed("i_before", "_index")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import packing, sharding, simhash, token_store, url_filter, warc
+from . import ann, decontaminate, packing, sharding, simhash, suffix_dedup, token_store, toxicity, url_filter, warc
 from .common import cut_lineage, table
 
 RULES = [
@@ -67,10 +67,65 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = toxicity.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), WINDOW, end=1)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _words_sql(text: str) -> str:
+    lowered = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"list_filter(regexp_split_to_array({lowered}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+
+def _op6_sql() -> str:
+    return f"""
+    WITH docs AS (SELECT doc_id, {_words_sql("text")} AS words FROM documents),
+    items AS (SELECT item_id, {_words_sql("text")} AS words FROM benchmark),
+    windows AS (
+        SELECT DISTINCT item_id, size, array_to_string(list_slice(words, pos, pos + size - 1), ' ') AS piece
+        FROM (
+            SELECT item_id, words, least(10, len(words)) AS size,
+                   unnest(generate_series(1, len(words) - least(10, len(words)) + 1)) AS pos
+            FROM items WHERE len(words) > 0
+        ) cut
+    ),
+    sizes AS (SELECT DISTINCT size FROM windows),
+    places AS (
+        SELECT doc_id, size, pos, array_to_string(list_slice(words, pos, pos + size - 1), ' ') AS piece
+        FROM (
+            SELECT doc_id, words, size, unnest(generate_series(1, len(words) - size + 1)) AS pos
+            FROM docs, sizes WHERE len(words) >= size
+        ) cut
+    ),
+    hits AS (SELECT doc_id, p.size, pos, item_id FROM places p JOIN windows w ON p.size = w.size AND p.piece = w.piece),
+    covered AS (
+        SELECT doc_id, count(DISTINCT word) AS n_hit
+        FROM (SELECT doc_id, unnest(generate_series(pos, pos + size - 1)) AS word FROM (SELECT DISTINCT doc_id, size, pos FROM hits) h) w
+        GROUP BY doc_id
+    ),
+    named AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) h GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+           CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+    """
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -103,13 +158,21 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"), from_files=True)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_sharding": op2_sharding,
+    "op3_nearest": op3_nearest,
+    "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
+    "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_warc": op8_warc,
     "op9_token_store": op9_token_store,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLES = {"op1_url_filter": _op1_sql(), "op8_warc": OP8_SQL}
+ORACLES = {"op1_url_filter": _op1_sql(), "op6_decontaminate": _op6_sql(), "op8_warc": OP8_SQL}

@@ -54,10 +54,13 @@ def test_sensor_classes(spark):
 def test_feature_selection_refuses_unknown_names():
     names = features.GATE_FEATURES
     assert len(names) == 26
-    assert features.resolve_features(names, drop=["eta"]) == [n for n in names if n != "eta"]
-    for bad in (dict(drop=["nope"]), dict(keep_groups=["nope"], groups=features.GATE_GROUPS), dict(drop=names)):
+    rows = features.feature_rows()
+    assert features.select_features(rows, without=["eta"]) == [n for n in names if n != "eta"]
+    for bad in (dict(without=["nope"]), dict(groups=["nope"]), dict(without=names)):
         with pytest.raises(ValueError):
-            features.resolve_features(names, **bad)
+            features.select_features(rows, **bad)
+    with pytest.raises(ValueError, match="no group 'a'; no feature 'b'"):
+        features.select_features(rows, groups=["a"], without=["b"])
 
 
 # --- expansion -----------------------------------------------------------------------------

@@ -110,12 +110,18 @@ def test_decision_rules(spark):
         schema.assert_decision_schema(spark.range(1))
 
 
-def test_event_requests():
-    assert manifest.parse_events("", [2, 1]) == [1, 2]
-    assert manifest.parse_events("2, 1,2", [1, 2]) == [1, 2]
+def test_event_requests(spark):
+    splits = spark.createDataFrame([(2, "train"), (1, "val"), (40, manifest.SEALED)], "event_id long, split string")
+
+    def ids(request):
+        return sorted(r.event_id for r in manifest.open_events(splits, request).collect())
+
+    assert ids("") == [1, 2] and ids("2, 1,2") == [1, 2]
     for bad in ("1,x", "1,,2", "9", "40"):
         with pytest.raises(ValueError):
-            manifest.parse_events(bad, [1, 2], sealed=[40])
+            ids(bad)
+    with pytest.raises(ValueError, match="'x': not a number; '40': sealed; '9': unknown"):
+        ids("9, x, 40, 1")
 
 
 def test_sealed_and_ambiguous_events_are_refused(spark):
@@ -139,3 +145,56 @@ def test_stage_of_metric_lines(spark, rows):
     df = spark.createDataFrame([("r", text)], "run string, text string")
     got = [r.name for r in scans.metric_lines(df, "run", "text").orderBy("pos").collect()]
     assert got == ["ckf_efficiency_tracks", "ckf_fake_ratio_tracks", "ckf_efficiency_tracks", "ckf_finding_efficiency_tracks"]
+
+
+def test_files_with_their_own_headers(spark, tmp_path, rows):
+    g = [i << 36 for i in range(11)]
+    (tmp_path / "event000000001-a.csv").write_text(f"# note\nmeasurement_id, geometry_id,local0\n5,{g[7]},0.5\n6,{g[8]},1.5\n")
+    (tmp_path / "event000000001-b.csv").write_text(f'local0,measurement_id,geometry_id\n2.5,9,{g[10]}\n# late note\n\n"3.5",1,{g[2]}\n')
+    (tmp_path / "event000000002-c.csv").write_text(f"geometry_id,var_local0\n{g[3]},0.1\n{g[4]},NaN\n")
+    got = rows(scans.read_measurements(spark, str(tmp_path)), "event_id", "measurement_id", "geometry_id", "local0", "var_local0")
+    want = [(1, 1, g[2], 3.5, None), (1, 5, g[7], 0.5, None), (1, 6, g[8], 1.5, None), (1, 9, g[10], 2.5, None), (2, 0, g[3], None, 0.1), (2, 1, g[4], None, None)]
+    assert got == want
+    swapped = tmp_path / "swapped"
+    swapped.mkdir()
+    (swapped / "event000000001-a.csv").write_text("measurement_id,hit_id\n1,2\n")
+    (swapped / "event000000001-b.csv").write_text("hit_id,measurement_id\n2,3\n")
+    assert rows(scans.read_hit_map(spark, str(swapped)), "measurement_id", "hit_id") == [(1, 2), (3, 2)]
+
+
+def test_stream_keeps_events_that_span_batches(spark, tmp_path):
+    from trackspark.streaming import incremental
+
+    source = str(tmp_path / "in")
+    for part in ([(1, 2)] * 3, [(1, 5)] * 4, [(2, 1), (1, 7)]):
+        spark.createDataFrame(part, "event_id long, v long").coalesce(1).write.mode("append").parquet(source)
+    schema = spark.read.parquet(source).schema
+
+    def reduce(batch):
+        return batch.groupBy("event_id").sum("v").withColumnRenamed("sum(v)", "v")
+
+    path, progress = str(tmp_path / "sums"), str(tmp_path / "progress")
+    for _ in range(2):
+        incremental.keep_sums(spark, source, schema, reduce, path, progress, 1).awaitTermination()
+    got = {r.event_id: r.v for r in incremental.totals(spark, path, ["event_id"]).collect()}
+    assert got == {1: 3 * 2 + 4 * 5 + 7, 2: 1}
+
+
+def test_no_shared_folder_on_a_cluster():
+    from trackspark.session import shared_dir
+
+    class Fake:
+        def __init__(self, master):
+            self.conf = self.sparkContext = self
+            self.master = master
+
+        def get(self, *_):
+            return None
+
+        def getCheckpointDir(self):
+            return None
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Fake("spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Fake("local-cluster[3,2,2000]"))

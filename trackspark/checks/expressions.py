@@ -175,7 +175,7 @@ def _(x):
     return feat.gate_features(x.cand, carry=("event_id", "branch_id", "cand_hit_id"))
 
 
-_SUBSET = feat.resolve_features(feat.GATE_FEATURES, ["kalman", "context"], ["state_qop"], feat.GATE_GROUPS)
+_SUBSET = feat.select_features(feat.feature_rows(), ["kalman", "context"], ["state_qop"])
 
 
 @check(

@@ -17,20 +17,37 @@ from .views import view
 KEYS = STATE.replace(",", "")
 
 
-def _csv_by_event(df, x, kind: str, comment: bool = False) -> str:
-    """Write one file set per event whose name carries the event, as text lines with a header."""
+FILES = 3
+
+
+def _csv_by_event(df, x, kind: str, comment: bool = False, without: str | None = None) -> str:
+    """Write ``FILES`` files per event, dealt by the first column, as text lines with a header.
+
+    The name of a file carries the event, its lines are sorted by the first column, and
+    each file has its columns in another order. ``without`` is left out of the last.
+    """
     path = scratch_path(x.spark, kind)
     cols = [c for c in df.columns if c != "event_id"]
-    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
-    header = ", ".join(cols)
-    for r in df.select("event_id").distinct().collect():  # events of the table: a handful of files
-        part = df.where(F.col("event_id") == r.event_id)
-        body = part.select(F.lit(1).alias("o"), line.alias("value"), *[F.col(cols[0]).alias("k")])
-        head = x.spark.createDataFrame([(0, header, None)], "o int, value string, k long")
-        lines = head.unionByName(body.withColumn("k", F.col("k").cast("long")))
-        if comment:
-            lines = lines.unionByName(x.spark.createDataFrame([(-1, "# written by a test", None)], "o int, value string, k long"))
-        lines.coalesce(1).sortWithinPartitions("o", "k").select("value").write.text(f"{path}/event{r.event_id:09d}-{kind}")
+    key = F.col(cols[0]).cast("long")
+    orders = [cols[i % len(cols) :] + cols[: i % len(cols)] for i in range(FILES)]
+    orders[-1] = [c for c in orders[-1] if c != without]
+    file = F.pmod(F.coalesce(key, F.lit(0)), F.lit(FILES))
+
+    def of_file(make):
+        out = make(orders[0])
+        for i in range(1, FILES):
+            out = F.when(F.col("n") == i, make(orders[i])).otherwise(out)
+        return out
+
+    line = of_file(lambda names: F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]))
+    name = F.format_string(f"event%09d-{kind}-%d", F.col("event_id").cast("long"), F.col("n"))
+    body = df.withColumn("n", file).select(name.alias("f"), "n", F.lit(1).alias("o"), key.alias("k"), line.alias("value"))
+    files = body.select("f", "n").distinct()
+    none = F.lit(None).cast("long")
+    lines = body.drop("n").union(files.select("f", F.lit(0), none, of_file(lambda names: F.lit(", ".join(names)))))
+    if comment:
+        lines = lines.union(files.select("f", F.lit(-1), none, F.lit("# written by a test")))
+    lines.repartition("f").sortWithinPartitions("f", "o", "k").select("f", "value").write.partitionBy("f").text(path)
     return f"{path}/*"
 
 
@@ -70,7 +87,9 @@ def _(x):
 @check(
     "measurement_scan",
     "event_id measurement_id geometry_id:l local0:d var_local1:d",
-    "SELECT event_id, measurement_id, geometry_id << 36 AS geometry_id, local0, var_local1 FROM meas",
+    """SELECT event_id, geometry_id << 36 AS geometry_id, local0, var_local1,
+              CASE WHEN measurement_id % 3 = 2 THEN row_number() OVER (PARTITION BY event_id, measurement_id % 3 ORDER BY measurement_id) - 1
+                   ELSE measurement_id END AS measurement_id FROM meas""",
     "meas",
 )
 def _(x):
@@ -83,7 +102,7 @@ def _(x):
         "var_local0",
         "var_local1",
     )
-    return scans.read_measurements(x.spark, _csv_by_event(d, x, "measurements", comment=True))
+    return scans.read_measurements(x.spark, _csv_by_event(d, x, "measurements", comment=True, without="measurement_id"))
 
 
 @check(
@@ -109,7 +128,7 @@ def _(x):
 @check(
     "simhit_scan_file_positions",
     "event_id hit_id particle_id:l tpx tt",
-    """SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY hit_id) - 1 AS hit_id, (particle_id << 48) | 1 AS particle_id, tpx, tt FROM simhits""",
+    """SELECT event_id, row_number() OVER (PARTITION BY event_id, hit_id % 3 ORDER BY hit_id) - 1 AS hit_id, (particle_id << 48) | 1 AS particle_id, tpx, tt FROM simhits""",
     "simhits",
 )
 def _(x):

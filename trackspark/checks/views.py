@@ -76,11 +76,7 @@ class Inputs:
                 getattr(self, needed)
             path = scratch_path(self.spark, f"view-{name}")
             df = self._derive(name)
-            # Spread evenly, so that a later scan has work for every core.
-            files = min(
-                int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism
-            )
-            df.repartition(files).write.parquet(path)
+            df.write.parquet(path)
             _STORED[key] = (path, df.schema)
         path, schema = _STORED[key]
         return self.spark.read.schema(schema).parquet(path)

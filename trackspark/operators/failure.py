@@ -195,7 +195,7 @@ def emulate(
     """
     taken = rows.where(true("is_ckf_selected"))
     per_step = taken.groupBy(*SEED, "step_k").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("chi2_inc").alias("_chi2"), count_if(F.col("chi2_inc").isNull()).alias("_nochi2")
+        F.count(F.lit(1)).alias("_n"), F.max("chi2_inc").alias("_chi2")
     )
     s = states.select(*SEED, "step_k", "state_theta", "volume_id", "state_qop")
     s = s.join(per_step, [*SEED, "step_k"], "left")

@@ -401,11 +401,12 @@ def nearest_residuals(cand: DataFrame, accepted: DataFrame, keys) -> DataFrame:
         both = side(cand, "residual_l0", 1, 0).unionByName(side(accepted, "res_l0", sign, 1))
         w = Window.partitionBy(*keys).orderBy("_x", "_tag")
         back = w.rowsBetween(Window.unboundedPreceding, -1)
-        ahead = w.rowsBetween(1, Window.unboundedFollowing)
+        # The rows after, in reverse: a frame that grows from its end would be read anew for each row.
+        ahead = Window.partitionBy(*keys).orderBy(F.col("_x").desc(), F.col("_tag").desc()).rowsBetween(Window.unboundedPreceding, -1)
         other = F.when(F.col("_tag") == 1, F.col("_x"))
         near = F.least(
             F.col("_x") - F.last(other, ignorenulls=True).over(back),
-            F.first(other, ignorenulls=True).over(ahead) - F.col("_x"),
+            F.last(other, ignorenulls=True).over(ahead) - F.col("_x"),
         )
         d = both.withColumn("_d", F.when(F.col("_tag") == 0, near)).where(F.col("_d").isNotNull())
         return d.groupBy(*keys).agg(F.min("_d").alias(out))

@@ -43,12 +43,13 @@ def duplicated_hits(rows: DataFrame) -> DataFrame:
     return picked.where(F.col("n") > 1)
 
 
-def resolve_shared(rows: DataFrame, max_shared: int = 3, min_hits: int = 7, max_rounds: int = 10_000) -> DataFrame:
+def resolve_shared(rows: DataFrame, max_shared: int = 3, min_hits: int = 7) -> DataFrame:
     """``survived`` for every branch that occurs in ``rows``.
 
     Each round is two aggregations and two joins over the still undecided part,
     written to the shared folder so that lineage stays short and lost executors
-    cost one round at most.
+    cost one round at most. The undecided branch of highest priority is decided in
+    any round, so the loop ends.
     """
     hits, branches = branch_hits(rows)
     long_enough = branches.where(F.col("n_hits") >= min_hits)
@@ -57,7 +58,7 @@ def resolve_shared(rows: DataFrame, max_shared: int = 3, min_hits: int = 7, max_
     )
     evicted: list[DataFrame] = []
     stops: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while True:
         state = cut_lineage(_round(owned, _bar(stops)), "decided")
         counts = state.agg(
             count_if(F.col("decided")).alias("n"), count_if(~F.col("decided")).alias("left")
@@ -78,8 +79,6 @@ def resolve_shared(rows: DataFrame, max_shared: int = 3, min_hits: int = 7, max_
             .drop("_now")
         )
         owned = cut_lineage(rest, "owned")
-    else:
-        raise RuntimeError(f"resolution did not settle in {max_rounds} rounds")
     everyone = rows.select(*BRANCH).distinct()
     keep = long_enough.select(*BRANCH)
     if evicted:

@@ -32,8 +32,8 @@ def build_session(app: str = "trackspark", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir`` when the cluster names one.
 
-    Only where neither the setting nor a checkpoint folder exists (tests on one
-    machine) a temporary folder is made and registered.
+    Without either, a temporary folder is made where driver and executors are one
+    process (a local master); on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -42,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         current = spark.sparkContext.getCheckpointDir()
     return current

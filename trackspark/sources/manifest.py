@@ -64,24 +64,30 @@ def require_open(rows: DataFrame, sealed: str = SEALED) -> None:
         raise ValueError(f"refusing sealed or unassigned events: {[tuple(r) for r in bad]}")
 
 
-def parse_events(text: str, assigned: Iterable[int], sealed: Iterable[int] = ()) -> list[int]:
-    """Event ids of a comma-separated request; empty means all assigned ones."""
-    allowed = sorted(set(assigned))
-    if not text.strip():
-        return allowed
-    ids = []
-    for token in text.split(","):
-        try:
-            ids.append(int(token.strip()))
-        except ValueError:
-            raise ValueError(f"not an event id: {token!r} in {text!r}") from None
-    closed = sorted(set(ids) & set(sealed))
-    if closed:
-        raise ValueError(f"refusing sealed events {closed}")
-    unknown = sorted(set(ids) - set(allowed))
-    if unknown:
-        raise ValueError(f"events {unknown} are not assigned to any split")
-    return sorted(set(ids))
+def requested_events(splits: DataFrame, request: str = "", sealed: str = SEALED) -> DataFrame:
+    """(asked, event_id, problem) for each entry of a comma-separated request, met with ``splits`` (event_id, split).
+
+    An empty request asks for every event that is not sealed. ``problem`` is null,
+    'not a number', 'unknown' or 'sealed'.
+    """
+    known = splits.groupBy("event_id").agg(F.max(F.col("split") == sealed).alias("closed"))
+    if not request.strip():
+        return known.where(~F.col("closed")).select(F.col("event_id").cast("string").alias("asked"), "event_id", F.lit(None).cast("string").alias("problem"))
+    entries = splits.sparkSession.createDataFrame([(request,)], "request string").select(F.explode(F.split("request", ",")).alias("asked"))
+    asked = entries.select(F.trim("asked").alias("asked")).distinct().withColumn("event_id", F.col("asked").try_cast("long"))
+    problem = (
+        F.when(F.col("event_id").isNull(), "not a number").when(F.col("closed").isNull(), "unknown").when(F.col("closed"), "sealed")
+    )
+    return asked.join(known, ["event_id"], "left").select("asked", "event_id", problem.alias("problem"))
+
+
+def open_events(splits: DataFrame, request: str = "", sealed: str = SEALED) -> DataFrame:
+    """The event ids of a request; refused with all its problems if it has any."""
+    asked = requested_events(splits, request, sealed)
+    bad = asked.where(F.col("problem").isNotNull()).orderBy("problem", "asked").collect()  # entries of the request
+    if bad:
+        raise ValueError("; ".join(f"{r.asked!r}: {r.problem}" for r in bad))
+    return asked.select("event_id").distinct()
 
 
 def table_health(files: DataFrame, expected: DataFrame) -> DataFrame:

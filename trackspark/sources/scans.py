@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,51 +36,106 @@ def event_of_path(path: Column | None = None) -> Column:
     return F.regexp_extract(path, EVENT_IN_NAME, 1).cast("long")
 
 
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are neither blank nor comments, with their file, block and order in the block.
+
+    Written once: header, position and fields of a line are looked up in the same rows.
+    """
+    lines = (
+        spark.read.text(path)
+        .select(
+            F.col("value").alias("line"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("seq"),
+        )
+        .where((F.trim("line") != "") & ~F.ltrim("line").startswith("#"))
+    )
+    return cut_lineage(lines, "lines")
+
+
+def _row_numbers(body: DataFrame) -> DataFrame:
+    """Add ``row_nr``, the 0-based position among the data lines of the file.
+
+    Files are split for reading. Lines keep their order inside a split, so the
+    position is the rank in the split plus the lines of all earlier splits of the file.
+    """
+    rank = F.row_number().over(Window.partitionBy("file", "block").orderBy("seq")) - 1
+    sizes = body.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    return body.withColumn("_r", rank).join(offsets, ["file", "block"]).withColumn("row_nr", F.col("_r") + F.col("_o")).drop("_r", "_o")
+
+
+def csv_rows(spark: SparkSession, path: str, sep: str = ",", numbered: bool = False) -> DataFrame:
+    """(file, names, values) of each data line, with the names of the line's own file; ``row_nr`` if asked for.
+
+    The first line of a file that is neither blank nor a comment is its header; files
+    read together may order and choose their columns as they like.
+    """
+    lines = text_lines(spark, path)
+    at = F.struct("block", "seq")
+    heads = lines.groupBy("file").agg(F.min(at).alias("_first"), F.min_by("line", at).alias("_head"))
+    width = heads.agg(F.max(F.size(F.split("_head", re.escape(sep), -1)))).first()[0] or 1
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    options = {"sep": sep, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+
+    def cells(text: str) -> Column:
+        row = F.from_csv(text, schema, options)
+        return F.array(*[F.trim(row[f"c{i}"]) for i in range(width)])
+
+    # The header itself has no values, so that no cast meets it in whatever order predicates run.
+    body = at != F.col("_first")
+    named = lines.join(heads.select("file", "_first", cells("_head").alias("names")), "file")
+    named = named.withColumn("values", F.when(body, cells("line"))).where(body)
+    if numbered:
+        named = _row_numbers(named)
+    return named.select("file", "names", "values", *(["row_nr"] if numbered else []))
+
+
+def has_field(name: str) -> Column:
+    return F.array_contains("names", name)
+
+
+def csv_field(name: str, kind: str, other: Sequence[str] = ()) -> Column:
+    """The value under ``name`` in the line's own header, or under the first of the ``other`` names that is there."""
+    out = F.lit(None).cast(kind)
+    for n in reversed((name, *other)):
+        out = F.when(has_field(n), F.get("values", (F.array_position("names", n) - 1).cast("int")).cast(kind)).otherwise(out)
+    return out.alias(name)
+
+
 def read_csv(
     spark: SparkSession, path: str, fields: Mapping[str, str], sep: str = ",", renames: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """CSV by header name: comment lines skipped, names trimmed, absent fields NULL.
+    """CSV by header name, file by file: comment lines skipped, names trimmed, absent fields NULL.
 
-    ``event_id`` comes from the file name when the file has no such column.
+    ``event_id`` comes from the file name where a file has no such column.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("comment", "#")
-        .option("sep", sep)
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-        .csv(path)
-    )
-    names = {c.strip(): c for c in raw.columns}
-    for old, new in (renames or {}).items():
-        if new not in names and old in names:
-            names[new] = names[old]
-    cols = []
-    for name, kind in fields.items():
-        src = F.col(f"`{names[name]}`") if name in names else F.lit(None)
-        cols.append(F.expr("null").cast(kind).alias(name) if name not in names else src.cast(kind).alias(name))
+    old = {new: [o for o, n in (renames or {}).items() if n == new] for new in fields}
+    cols = [csv_field(n, kind, old[n]) for n, kind in fields.items()]
     if "event_id" not in fields:
-        cols.insert(0, (F.col("event_id").cast("long") if "event_id" in names else event_of_path()).alias("event_id"))
-    return nan_to_null(raw.select(*cols))
+        cols.insert(0, _event_id())
+    return nan_to_null(csv_rows(spark, path, sep).select(*cols))
+
+
+def _event_id() -> Column:
+    return F.when(has_field("event_id"), csv_field("event_id", "long")).otherwise(event_of_path(F.col("file"))).alias("event_id")
 
 
 def read_measurements(spark: SparkSession, path: str) -> DataFrame:
-    """Measurements with ring-free surface ids; the file position is the id where none is given."""
-    fields = {
-        "measurement_id": "long",
-        "geometry_id": "long",
-        "local0": "double",
-        "local1": "double",
-        "var_local0": "double",
-        "var_local1": "double",
-    }
-    df = read_csv(spark, path, fields).withColumn("geometry_id", clear_ring("geometry_id"))
-    if df.where(F.col("measurement_id").isNotNull()).isEmpty() and not df.isEmpty():
-        numbered = numbered_lines(spark, path)
-        return numbered.select(
-            "event_id", F.col("row_nr").alias("measurement_id"), *_csv_fields(spark, path, numbered, fields)
-        ).withColumn("geometry_id", clear_ring("geometry_id"))
-    return df
+    """Measurements with ring-free surface ids; in files without an id column the file position is the id."""
+    rows = csv_rows(spark, path, numbered=True)
+    own = F.when(has_field("measurement_id"), csv_field("measurement_id", "long")).otherwise(F.col("row_nr"))
+    floats = ("local0", "local1", "var_local0", "var_local1")
+    return nan_to_null(
+        rows.select(
+            _event_id(),
+            own.cast("long").alias("measurement_id"),
+            clear_ring(csv_field("geometry_id", "long")).alias("geometry_id"),
+            *[csv_field(c, "double") for c in floats],
+        )
+    )
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -97,71 +153,21 @@ def read_hit_map(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, {"measurement_id": "long", "hit_id": "long"})
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Data lines of text files with their 0-based position in the file (``row_nr``).
-
-    Files are split for reading. Lines keep their order inside a split, so the
-    position is the rank in the split plus the lines of all earlier splits of the
-    file. The ranked lines are written once: the numbering is never recomputed.
-    """
-    lines = (
-        spark.read.text(path)
-        .select(
-            F.col("value").alias("line"),
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("seq"),
-        )
-        .where((F.trim("line") != "") & ~F.ltrim("line").startswith("#"))
-    )
-    stored = cut_lineage(lines, "lines")
-    rank = F.row_number().over(Window.partitionBy("file", "block").orderBy("seq")) - 1
-    sizes = stored.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    # The header is line 0 of each file.
-    return (
-        stored.withColumn("_r", rank)
-        .join(offsets, ["file", "block"], "inner")
-        .select(event_of_path(F.col("file")).alias("event_id"), "file", (F.col("_r") + F.col("_o") - 1).alias("row_nr"), "line")
-        .where(F.col("row_nr") >= 0)
-    )
-
-
-def _header(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.option("header", True).option("comment", "#").csv(path)
-    return [c.strip() for c in first.columns]
-
-
-def _csv_fields(spark: SparkSession, path: str, numbered: DataFrame, fields: Mapping[str, str]) -> list[Column]:
-    header = _header(spark, path)
-    parts = F.split("line", ",")
-    return [
-        F.trim(F.element_at(parts, header.index(n) + 1)).try_cast(t).alias(n)
-        for n, t in fields.items()
-        if n in header
-    ]
-
-
 def read_simhits(spark: SparkSession, path: str) -> DataFrame:
     """Simhits whose ``hit_id`` is their position in the file; absent id parts count as 0."""
-    header = _header(spark, path)
-    parts = F.split("line", ",")
 
-    def get(name: str, kind: str, default=None) -> Column:
-        if name not in header:
-            return F.lit(default).cast(kind)
-        return F.trim(F.element_at(parts, header.index(name) + 1)).try_cast(kind)
+    def part(name: str) -> Column:
+        return F.when(has_field(name), csv_field(name, "long")).otherwise(F.lit(0).cast("long"))
 
-    ids = [get(f"particle_id_{p}", "long", 0) for p in ("pv", "sv", "part", "gen", "subpart")]
+    ids = [part(f"particle_id_{p}") for p in ("pv", "sv", "part", "gen", "subpart")]
     floats = ("tx", "ty", "tz", "tpx", "tpy", "tt")
     return nan_to_null(
-        numbered_lines(spark, path).select(
-            "event_id",
+        csv_rows(spark, path, numbered=True).select(
+            _event_id(),
             F.col("row_nr").cast("long").alias("hit_id"),
-            clear_ring(get("geometry_id", "long", 0)).alias("geometry_id"),
+            clear_ring(part("geometry_id")).alias("geometry_id"),
             encode_particle(*ids).alias("particle_id"),
-            *[get(c, "double").alias(c) for c in floats],
+            *[csv_field(c, "double") for c in floats],
         )
     )
 

@@ -9,22 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Column order of the expanded candidate table.
-_IDS = ("event_id", "seed_id", "branch_id", "parent_branch_id", "step_k", "layer_id", "surface_id", "volume_id")
-_STATE = ("state_l0", "state_l1", "state_phi", "state_theta", "state_qop", "state_t")
-_COV = tuple(f"cov_{i:02d}" for i in range(21))
 CANDIDATE_COLUMNS = (
-    *_IDS,
-    *_STATE,
-    *_COV,
-    *("pred_l0", "pred_l1", "cand_hit_id", "residual_l0", "residual_l1", "S00", "S01", "S11", "chi2_inc"),
-    *("var_local0", "var_local1", "is_1d"),
-    *("clus_s_u", "clus_s_v", "clus_q_tot", "clus_sigma_uu", "clus_sigma_uv", "clus_sigma_vv"),
-    *("alpha_u", "alpha_v", "pitch_u", "pitch_v", "thickness", "is_pixel", "is_barrel"),
-    *("n_window", "geometric_density", "pathInX0_interval", "dead_module_flag", "layer_embed_idx"),
-    *("n_hits", "n_holes", "n_seq_holes", "action_taken", "is_ckf_selected", "sel_l0", "sel_l1", "prune_reason"),
-    *("contrib_pids", "contrib_charge_frac", "branch_majority_pid", "majority_undefined"),
-    *("majority_true_hit_on_surface", "truth_residual_l0", "truth_residual_l1", "vstar_soft", "env_config_hash"),
-)
+    "event_id", "seed_id", "branch_id", "parent_branch_id", "step_k", "layer_id", "surface_id", "volume_id",
+    "state_l0", "state_l1", "state_phi", "state_theta", "state_qop", "state_t", "cov_00", "cov_01", "cov_02",
+    "cov_03", "cov_04", "cov_05", "cov_06", "cov_07", "cov_08", "cov_09", "cov_10", "cov_11", "cov_12", "cov_13",
+    "cov_14", "cov_15", "cov_16", "cov_17", "cov_18", "cov_19", "cov_20", "pred_l0", "pred_l1", "cand_hit_id",
+    "residual_l0", "residual_l1", "S00", "S01", "S11", "chi2_inc", "var_local0", "var_local1", "is_1d", "clus_s_u",
+    "clus_s_v", "clus_q_tot", "clus_sigma_uu", "clus_sigma_uv", "clus_sigma_vv", "alpha_u", "alpha_v", "pitch_u",
+    "pitch_v", "thickness", "is_pixel", "is_barrel", "n_window", "geometric_density", "pathInX0_interval",
+    "dead_module_flag", "layer_embed_idx", "n_hits", "n_holes", "n_seq_holes", "action_taken", "is_ckf_selected",
+    "sel_l0", "sel_l1", "prune_reason", "contrib_pids", "contrib_charge_frac", "branch_majority_pid",
+    "majority_undefined", "majority_true_hit_on_surface", "truth_residual_l0", "truth_residual_l1", "vstar_soft",
+    "env_config_hash",
+)
+_IDS = CANDIDATE_COLUMNS[:8]
 _LONGS = {
     *_IDS,
     "cand_hit_id",

@@ -46,12 +46,12 @@ def config_hash_column(fields: Sequence[str]):
 def write_candidates(df: DataFrame, path: str, hash_value: str, mode: str = "errorifexists") -> None:
     """Candidate table partitioned by event, sorted by branch and step inside each file.
 
-    Rows are spread by branch inside an event, so that a large event is written by
-    many tasks.
+    Rows are dealt by ranges of (event, seed): a large event is written by many tasks,
+    each file holds a run of its seeds, and a point read opens the one that has it.
     """
     out = to_schema(df, hash_value)
     (
-        out.repartition("event_id", "seed_id")
+        out.repartitionByRange("event_id", "seed_id")
         .sortWithinPartitions("event_id", "seed_id", "branch_id", "step_k", "cand_hit_id")
         .write.mode(mode)
         .option("compression", "zstd")

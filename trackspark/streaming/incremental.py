@@ -2,8 +2,8 @@
 
 Cubes, reliability sums and histograms are sums over events, so a new event only
 adds rows. Each micro-batch is reduced to one row per (event, cell) and stored
-below its batch number; replaying a batch rewrites the same folder, and an event
-that an earlier batch stored is left out, so every event counts once.
+below its batch number; replaying a batch rewrites the same folder. The stream hands
+out every file once, so the batches of an event add up however many files it has.
 """
 
 from __future__ import annotations
@@ -13,20 +13,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import StructType
 
 Reduce = Callable[[DataFrame], DataFrame]
 
 
-def _stored(spark: SparkSession, path: str, schema: StructType, before: int) -> DataFrame:
-    try:
-        return spark.read.schema(schema).option("basePath", path).parquet(path).where(F.col("batch") < before)
-    except Exception as e:  # nothing written yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def keep_sums(
     spark: SparkSession,
     source: str,
@@ -36,18 +27,14 @@ def keep_sums(
     checkpoint: str,
     files_per_batch: int = 8,
 ) -> StreamingQuery:
-    """Start a query that folds arriving candidate files into per-event sums and stops when idle.
+    """Start a query that folds arriving candidate files into sums and stops when idle.
 
-    ``reduce`` maps candidate rows to rows that carry ``event_id``. A file holds whole events.
+    ``reduce`` maps candidate rows to rows of sums. Files may hold any part of any events.
     """
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def fold(batch: DataFrame, number: int) -> None:
-        out = reduce(batch)
-        kept = StructType(out.schema.fields).add("batch", IntegerType())
-        seen = _stored(spark, path, kept, number).select("event_id").distinct()
-        new = out.join(seen, ["event_id"], "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        reduce(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
         rows.writeStream.foreachBatch(fold)

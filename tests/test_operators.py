@@ -177,12 +177,12 @@ def test_surface_revisits_are_flagged(spark):
     assert targets.valid_targets(t).where("tier_invariant_violated").isEmpty()
 
 
-def _rollout(spark, states, futures, past, totals, width=65536):
+def _rollout(spark, states, futures, past, totals, width=65536, open_ends=False):
     s = spark.createDataFrame([(0, *x) for x in states], "event_id long, seed_id long, step_k long, state_class string, sel_hit long")
     f = spark.createDataFrame([(0, *x) for x in futures], "event_id long, seed_id long, step_k long, n_findable long")
     p = spark.createDataFrame([(0, *x) for x in past], "event_id long, seed_id long, step_k long, n_correct long, n_wrong long")
     n = spark.createDataFrame([(0, *x) for x in totals], "event_id long, seed_id long, n_total long")
-    return targets.rollout_targets(s, f, p, n, width=width)
+    return targets.rollout_targets(s, f, p, n, width=width, open_ends=open_ends)
 
 
 def test_rollout_targets_by_hand(spark, rows):
@@ -200,6 +200,14 @@ def test_rollout_targets_by_hand(spark, rows):
     assert got == [1.0] * 9 + [0.9]
 
 
+def test_rollout_refuses_branches_without_a_tip(spark, rows):
+    args = ([(1, 0, "collapse", 5)], [(1, 0, 1)], [(1, 0, 1, 0)], [(1, 2)])
+    with pytest.raises(ValueError, match="without a tip"):
+        _rollout(spark, *args)
+    out, rep = _rollout(spark, *args, open_ends=True)
+    assert out.isEmpty() and rows(rep, "reason", "n_branches") == [("last_state_not_tip", 1)]
+
+
 def test_rollout_target_drops_whole_branches(spark, rows):
     states = [(s, k, "tip" if k == 1 else "collapse", 5) for s in (1, 2, 3) for k in range(2)]
     past = [(s, k, k + 1, 0) for s in (1, 2, 3) for k in range(2) if (s, k) != (3, 0)]

@@ -469,14 +469,40 @@ def _(x):
     return f.log_odds_lines(_cells(x), [0.5, 2.5, 6.5, 17.0, 40.0])
 
 
-# Replicas depend on a hash that SQL does not share: rows only. Their total weight is checked below.
-@check("bootstrap_bands", "chi2_bin:l occ_bin:l frac_std:d frac_lo:d frac_hi:d")
+_REPLICAS = f"""
+    WITH cells AS ({_CELLS}),
+    ev AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT event_id FROM cells) d),
+    times AS (
+        SELECT boot, ev.event_id, count(*) AS times
+        FROM (SELECT boot, least(floor(CAST('0x' || substr(md5('0|' || boot || '|' || i), 1, 13) AS BIGINT) / 4503599627370496e0 * m), m - 1) AS pick
+              FROM ev, (SELECT unnest(range(100)) AS boot) r) p JOIN ev ON ev.i = pick
+        GROUP BY 1, 2
+    )
+    SELECT boot, chi2_bin, occ_bin, sum(k * times) * 1e0 / sum(n * times) AS frac FROM cells JOIN times USING (event_id) GROUP BY 1, 2, 3
+"""
+
+
+@check(
+    "bootstrap_bands",
+    "chi2_bin:l occ_bin:l frac_std:d frac_lo:d frac_hi:d",
+    f"""SELECT chi2_bin, occ_bin, stddev_samp(frac) AS frac_std, quantile_cont(frac, 25e-3) AS frac_lo, quantile_cont(frac, 975e-3) AS frac_hi
+        FROM ({_REPLICAS}) b GROUP BY 1, 2""",
+    "cand",
+)
 def _(x):
     cells = _cells(x)
     return f.bootstrap_bands(f.bootstrap_fractions(cells, f.bootstrap_multiplicity(cells, 100)))
 
 
-@check("bootstrap_separation", "boot:l separation:d")
+@check(
+    "bootstrap_separation",
+    "boot:l separation:d",
+    f"""SELECT boot, avg(s - d) AS separation FROM (
+          SELECT boot, chi2_bin, max(CASE WHEN occ_bin = 0 THEN y END) AS s, max(CASE WHEN occ_bin = 3 THEN y END) AS d FROM (
+            SELECT boot, chi2_bin, occ_bin, ln(p / (1 - p)) AS y FROM (SELECT boot, chi2_bin, occ_bin, greatest(1e-6, least(1 - 1e-6, frac)) AS p FROM ({_REPLICAS}) b) c) e
+          GROUP BY 1, 2) g GROUP BY 1""",
+    "cand",
+)
 def _(x):
     cells = _cells(x)
     return f.separation(f.bootstrap_fractions(cells, f.bootstrap_multiplicity(cells, 100)), 0, 3)

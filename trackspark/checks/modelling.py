@@ -105,12 +105,24 @@ def _(x):
     return _sample_counts(s.weighted_subsample(x.pool, "y", "row_id", s.hard_weight("chi2"), 3, seed=7))
 
 
-# Which rows are drawn depends on a hash that SQL does not share: rows only.
-@check("uniform_subsample", "row_id y:l copies:l")
+_DRAWN_SQL = """
+    WITH neg AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS i FROM pool WHERE y = 0),
+    draws AS (
+        SELECT least(floor(u * n), n - 1) AS i
+        FROM (SELECT CAST('0x' || substr(md5('7|' || row_id || '|' || rep), 1, 13) AS BIGINT) / 4503599627370496e0 AS u
+              FROM pool, (SELECT unnest(range(1, 4)) AS rep) r WHERE y = 1) h, (SELECT count(*) AS n FROM neg) c
+    )
+    SELECT row_id, 0 AS y, count(*) AS copies FROM draws JOIN neg USING (i) GROUP BY 1
+    UNION ALL SELECT row_id, 1 AS y, count(*) AS copies FROM pool WHERE y = 1 GROUP BY 1
+"""
+
+
+@check("uniform_subsample", "row_id y:l copies:l", _DRAWN_SQL, "pool")
 def _(x):
     return s.uniform_subsample(x.pool, "y", "row_id", 3, seed=7).groupBy("row_id", "y").agg(F.count(F.lit(1)).alias("copies"))
 
 
+# A draw near the border of two intervals depends on the order in which weights are added: rows only.
 @check("hard_negative_subsample", "row_id y:l copies:l")
 def _(x):
     d = s.weighted_subsample(x.pool, "y", "row_id", s.hard_weight("chi2"), 3, seed=7)

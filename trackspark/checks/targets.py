@@ -342,7 +342,7 @@ def _rollout(x):
     past = t.past_counts(x.cand)
     totals = x.steps.select("event_id", "seed_id", F.col("branch_majority_pid").alias("particle_id")).distinct()
     totals = totals.join(x.totals, ["event_id", "particle_id"], "inner")
-    return t.rollout_targets(x.classes, t.rollout_futures(x.rollout_hits, x.work), past, totals, width=WIDTH)
+    return t.rollout_targets(x.classes, t.rollout_futures(x.rollout_hits, x.work), past, totals, width=WIDTH, open_ends=True)
 
 
 _RV = "rollout_hits work steps totals"

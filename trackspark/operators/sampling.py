@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import beside, count_if, finite
+from ..functions.expr import beside, col, count_if, finite
 from ..session import cut_lineage
 from .ordered import bucket_count, range_boundaries, row_index, value_prefix, with_bucket
 
@@ -19,9 +19,9 @@ _SCALE = float(2**52)
 
 
 def uniform_hash(seed: int, *key: Column | str) -> Column:
-    """Uniform number in [0, 1) from a hash of the key."""
-    h = F.xxhash64(F.lit(seed), *key)
-    return F.shiftrightunsigned(h, 12).cast("double") / F.lit(_SCALE)
+    """Uniform number in [0, 1): the leading 52 bits of the MD5 of ``seed|key|...``, which any engine can repeat."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in key]))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(_SCALE)
 
 
 def _draws(pos: DataFrame, row_id: str, per_pos: int, seed: int) -> DataFrame:

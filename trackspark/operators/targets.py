@@ -287,14 +287,16 @@ def rollout_futures(hits: DataFrame, work: DataFrame) -> DataFrame:
 
 
 def rollout_targets(
-    classes: DataFrame, futures: DataFrame, past: DataFrame, totals: DataFrame, width: int = CHUNK_WIDTH
+    classes: DataFrame, futures: DataFrame, past: DataFrame, totals: DataFrame, width: int = CHUNK_WIDTH, open_ends: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Targets composed backwards from the anchor states, and the dropped-branch report.
 
     Going from the tip to the seed, an anchor sets the number of findable hits
     from its rollout; every earlier state adds one if its child took a hit. A
     branch with any missing rollout, past count or total is dropped as a whole
-    and counted under the first reason that applies.
+    and counted under the first reason that applies. A branch whose last state is
+    no tip is refused, as its states cannot be composed; with ``open_ends`` it is
+    dropped and counted too.
     """
     keys = ["event_id", "seed_id"]
     s = (
@@ -316,6 +318,10 @@ def rollout_targets(
         F.max_by("state_class", "step_k").alias("_last"),
         F.count(F.lit(1)).alias("n_states"),
     )
+    if not open_ends:
+        bad = branches.where(F.col("_last") != "tip").select(*keys, "_last").limit(5).collect()
+        if bad:
+            raise ValueError(f"branches that end without a tip: {[tuple(r) for r in bad]}")
     reason = F.when(F.col("_last") != "tip", F.lit("last_state_not_tip")).otherwise(F.col("reason"))
     branches = branches.withColumn("reason", reason)
     report = (

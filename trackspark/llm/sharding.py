@@ -146,5 +146,6 @@ def shard_rows(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text:
     runs = stored.groupBy("shard", part).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("rows"))
     earlier = F.coalesce(F.expr(f"sum(rows) OVER (PARTITION BY shard ORDER BY `{part}` ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0))
     starts = runs.select(F.col("shard").alias("s"), F.col(part).alias("p"), (earlier - F.col("first")).alias("shift"))
-    joined = stored.join(starts, (F.col("shard") == F.col("s")) & (F.col(part) == F.col("p")))
+    # As many rows as there are partitions and shards: they may go everywhere.
+    joined = stored.join(F.broadcast(starts), (F.col("shard") == F.col("s")) & (F.col(part) == F.col("p")))
     return joined.select(f"{row}.*", F.col("shard").cast("int").alias("shard"), (F.col(at) + F.col("shift")).cast("long").alias("slot"))

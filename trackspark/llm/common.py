@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 
-__all__ = ["cut_lineage", "fresh_name", "map_batches", "numbered", "table", "utf8"]
+__all__ = ["bucketed", "cut_lineage", "discard", "drawn", "fresh_name", "map_batches", "numbered", "table", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,25 @@ def numbered(df: DataFrame, label: str, **extra) -> tuple[DataFrame, str]:
     return cut_lineage(df.withColumns({uid: F.monotonically_increasing_id(), **extra}), label), uid
 
 
+def bucketed(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """``df`` written once in buckets of ``keys``, so that later joins on them leave its rows where they are."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, label)
+    name = f"{label}_{path.rpartition('-')[2]}"
+    writer = df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys)
+    writer.option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing will read again."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: StructType | str) -> DataFrame:
     """``mapInArrow`` with a function of one record batch."""
 
@@ -50,3 +69,15 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of a string column as UTF-8 bytes; null gives empty."""
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
+
+
+def drawn(df: DataFrame, most: int, *by: str) -> DataFrame:
+    """About ``most`` rows of ``df``, all if there are no more, drawn by a digest of the columns ``by``.
+
+    Rows are dropped where they are read, so that no task sends on more than its share;
+    the limit only holds for rows that share a digest.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    return df.filter(F.pmod(F.xxhash64(*by), F.lit(1 << 40)) < F.lit(int((1 << 40) * most / n))).limit(most + most // 8)

@@ -11,17 +11,21 @@ equality does:
 * The starts before a trigger form blocks of ``BLOCK``. What all strings of a block
   share, its core, is digested once; a block whose core occurs nowhere else holds no
   repeat. Few blocks of ordinary text go on.
-* Where all blocks of a core are alike in everything their strings cover, all their
+* Where two blocks of a core are alike in everything their strings cover, all their
   starts repeat.
-* In the others, at the ends of repeats, each start is digested on its own.
+* In the others, at the ends of repeats, and in one of each kind of the alike ones
+  they meet, the block is cut into smaller ones that are treated the same way, down to
+  blocks of one start.
 
-Starts without a trigger in reach (a phrase longer than the string) are blocks of one.
+Starts without a trigger in reach (a phrase longer than the string) look for one of a
+denser kind; where there is none of these either they are blocks of one.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,24 +33,30 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, map_batches, numbered, utf8
+from .common import bucketed, cut_lineage, discard, map_batches, numbered, utf8
 
 LENGTH = 400
 TRIGGER = 16
-#: One place in so many is a trigger.
-SPARSITY = 128
+#: One place in so many is a trigger; the second, denser kind serves starts that have none of the first in reach.
+SPARSITY = (128, 32)
 REACH = LENGTH - TRIGGER
 BLOCK = (REACH + 3) // 3
 CORE = LENGTH - BLOCK + 1
+#: Starts in the blocks that an undecided block is cut into, from step to step.
+CUTS = (16, 1)
 #: Bytes of text that are parsed together.
 TOGETHER = 1 << 21
+#: Texts with repeats are told apart where they are read if there are no more than so many (two longs each).
+MARKED = 500_000
 KEY = ["u1", "u2"]
+BLOCK_COLUMNS = ["core", "cover", "n", "lo", "hi", "at"]
+BLOCK_TYPE = ", ".join(f"{c} bigint" for c in [*BLOCK_COLUMNS, *KEY])
 
 
-def triggers(data: np.ndarray) -> np.ndarray:
-    """Places at which the hash of the next ``TRIGGER`` bytes is a trigger."""
+def rolling(data: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of the ``TRIGGER`` bytes from each place on."""
     if len(data) < TRIGGER:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32)
     h, factor, width = data.astype(np.uint32), 0x9E3779B1, 1
     while width < TRIGGER:  # the hash of twice as many bytes, from two that lie side by side
         h = h[:-width] * np.uint32(factor) + h[width:]
@@ -55,11 +65,34 @@ def triggers(data: np.ndarray) -> np.ndarray:
     h *= np.uint32(0x85EBCA77)
     h ^= h >> np.uint32(13)
     h *= np.uint32(0xC2B2AE3D)
-    return np.flatnonzero(h < np.uint32((1 << 32) // SPARSITY))
+    return h
 
 
-def parse(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of the texts in turn: digests of core and cover, text number, first and last start in it."""
+def anchored(t: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """Deal ranges of starts (lo to hi) to the first of the triggers ``t`` at or after each start, if it is in reach.
+
+    Gives (range, trigger, first start, last start) arrays, and (range, first, last) of the starts left over.
+    """
+    a, b = np.searchsorted(t, lo), np.searchsorted(t, hi + REACH, "right")
+    n = b - a
+    of = np.repeat(np.arange(len(lo)), n)
+    k = a[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    at = t[k]
+    after = np.where(k == a[of], lo[of], t[k - 1] + 1)
+    first, last = np.maximum(after, at - REACH), np.minimum(at, hi[of])
+    ok = first <= last
+    behind = np.where(n > 0, t[b - 1] + 1, lo) if len(t) else lo
+    rest = np.concatenate((of, np.arange(len(lo)))), np.concatenate((after, behind)), np.concatenate((np.minimum(at - REACH - 1, hi[of]), hi))
+    left = rest[1] <= rest[2]
+    return (of[ok], at[ok], first[ok], last[ok]), tuple(r[left] for r in rest)
+
+
+def parse(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of the texts in turn: digests of core and cover, times seen, text number, first and last start in it, end of the block.
+
+    Times seen is one, or two where this very call has met the string again; zero marks
+    starts known to repeat, whose strings are among the others.
+    """
     at = 0
     while at < len(texts):
         stop, size = at, 0
@@ -74,63 +107,109 @@ def _parse_joined(texts: list[bytes], first_text: int):
     data = b"".join(texts)
     end = np.cumsum([len(t) for t in texts])
     start = end - [len(t) for t in texts]
-    t = triggers(np.frombuffer(data, np.uint8))
-    doc = np.searchsorted(end, t, "right")
-    inside = t + TRIGGER <= end[doc] if len(t) else np.zeros(0, bool)
-    t, doc = t[inside], doc[inside]
-    last_start = end - LENGTH
-    before = np.concatenate(([-1], t[:-1])) if len(t) else t
-    before = np.maximum(before, start[doc] - 1)
-    lo = np.maximum(before + 1, t - REACH)
-    hi = np.minimum(t, last_start[doc])
-    for j in range(-(-(REACH + 1) // BLOCK)):
-        a = t - BLOCK * j
-        b_lo, b_hi = np.maximum(lo, a - BLOCK + 1), np.minimum(hi, a)
-        ok = b_lo <= b_hi
-        a, b_lo, b_hi, d = a[ok], b_lo[ok], b_hi[ok], doc[ok]
-        digest = xxhash.xxh3_64_intdigest
-        core = [digest(data[x : x + CORE], j) for x in a.tolist()]
-        shape = ((a - b_lo) * BLOCK + (a - b_hi)).tolist()
-        cover = [digest(data[x : y + LENGTH], s) for x, y, s in zip(b_lo.tolist(), b_hi.tolist(), shape, strict=True)]
-        yield core, cover, d + first_text, b_lo - start[d], b_hi - start[d]
-    # Starts with no trigger in reach: before a far trigger, or behind the last of a text.
-    tail_from = start.copy()
-    np.maximum.at(tail_from, doc, t + 1)
-    g_lo = np.concatenate((before + 1, tail_from))
-    g_doc = np.concatenate((doc, np.arange(len(texts))))
-    g_hi = np.minimum(np.concatenate((t - REACH - 1, end)), last_start[g_doc])
-    for k in np.flatnonzero(g_lo <= g_hi).tolist():
-        d = g_doc[k]
-        for a in range(int(g_lo[k]), int(g_hi[k]) + 1, TOGETHER):
-            p = np.arange(a, min(int(g_hi[k]) + 1, a + TOGETHER))
-            alone = [xxhash.xxh3_64_intdigest(data[x : x + LENGTH], 99) for x in p.tolist()]
-            yield alone, alone, np.full(len(p), d + first_text), p - start[d], p - start[d]
+    hashes = rolling(np.frombuffer(data, np.uint8))
+    digest = xxhash.xxh3_64_intdigest
+    doc = np.flatnonzero(end - start >= LENGTH)
+    lo, hi = start[doc], end[doc] - LENGTH
+    for level, sparsity in enumerate(SPARSITY):
+        if not len(lo):
+            return
+        t = np.flatnonzero(hashes < np.uint32((1 << 32) // sparsity))
+        (of, at, first, last), (left, r_lo, r_hi) = anchored(t, lo, hi)
+        for j in range(-(-(REACH + 1) // BLOCK)):
+            a = at - BLOCK * j
+            b_lo, b_hi = np.maximum(first, a - BLOCK + 1), np.minimum(last, a)
+            ok = b_lo <= b_hi
+            a, b_lo, b_hi, d = a[ok], b_lo[ok], b_hi[ok], doc[of[ok]]
+            core = [digest(data[x : x + CORE], 8 * level + j) for x in a.tolist()]
+            shape = ((a - b_lo) * BLOCK + (a - b_hi)).tolist()
+            cover = [digest(data[x : y + LENGTH], s) for x, y, s in zip(b_lo.tolist(), b_hi.tolist(), shape, strict=True)]
+            yield core, cover, 1, d + first_text, b_lo - start[d], b_hi - start[d], a - start[d]
+        doc, lo, hi = doc[left], r_lo, r_hi
+    # What is left is periodic as a rule: its strings recur nearby, and one row for each different string will do.
+    for a, b in _slices(hi - lo + 1):
+        p = np.concatenate([np.arange(x, y + 1) for x, y in zip(lo[a:b].tolist(), hi[a:b].tolist(), strict=True)])
+        d = np.repeat(doc[a:b], hi[a:b] - lo[a:b] + 1)
+        alone = np.fromiter((digest(data[i : i + LENGTH], 99) for i in p.tolist()), np.uint64, len(p))
+        kinds, first, kind, count = np.unique(alone, return_index=True, return_inverse=True, return_counts=True)
+        for n in (1, 2):
+            some = first[np.minimum(count, 2) == n]
+            one = alone[some].tolist()
+            at = p[some] - start[d[some]]
+            yield one, one, n, d[some] + first_text, at, at, at
+        p, d = p[count[kind] > 1], d[count[kind] > 1]
+        cuts = np.flatnonzero(np.concatenate(([True], (np.diff(p) != 1) | (np.diff(d) != 0)))) if len(p) else p
+        x, y, d = p[cuts], p[np.concatenate((cuts[1:], [len(p)])) - 1] if len(p) else p, d[cuts]
+        none = [0] * len(d)
+        yield none, none, 0, d + first_text, x - start[d], y - start[d], y - start[d]
+
+
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of neighbours that have up to about ``TOGETHER`` starts together."""
+    a, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > a and held + n > TOGETHER:
+            yield a, k
+            a, held = k, 0
+        held += n
+    if a < len(sizes):
+        yield a, len(sizes)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = [batch.column(k) for k in KEY]
-        for core, cover, doc, lo, hi in parse(utf8(batch.column("text"))):
+        for core, cover, n, doc, lo, hi, at in parse(utf8(batch.column("text"))):
             if len(doc):
-                cols = [np.array(core, np.uint64).view(np.int64), np.array(cover, np.uint64).view(np.int64), lo.astype(np.int64), hi.astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols] + [k.take(pa.array(doc)) for k in keys], ["core", "cover", "lo", "hi", *KEY])
-
-
-def _starts(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Digests of each start of the blocks that are not alike."""
-    h1, h2, at, where = [], [], [], []
-    for i, (text, blocks) in enumerate(zip(utf8(batch.column("text")), batch.column("blocks").to_pylist(), strict=True)):
-        for b in blocks:
-            if not b["alike"]:
-                for p in range(b["lo"], b["hi"] + 1):
-                    d = xxhash.xxh3_128_digest(text[p : p + LENGTH])
-                    h1.append(d[:8])
-                    h2.append(d[8:])
-                    at.append(p)
+                digests = [np.array(x, np.uint64).view(np.int64) for x in (core, cover)]
+                cols = [*digests, np.full(len(doc), n), *(x.astype(np.int64) for x in (lo, hi, at))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols] + [k.take(pa.array(doc)) for k in keys], [*BLOCK_COLUMNS, *KEY])
+
+
+def _smaller(size: int):
+    """Cut undecided blocks (``open``: lo, hi, at) into blocks of ``size`` starts, counted from the block's end."""
+    core = LENGTH - size + 1
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        digest = xxhash.xxh3_64_intdigest
+        cols: list[list[int]] = [[] for _ in BLOCK_COLUMNS]
+        where: list[int] = []
+        for i, (text, blocks) in enumerate(zip(utf8(batch.column("text")), batch.column("open").to_pylist(), strict=True)):
+            for b in blocks:
+                for k in range((b["at"] - b["hi"]) // size, (b["at"] - b["lo"]) // size + 1):
+                    at = b["at"] - k * size
+                    lo, hi = max(b["lo"], at - size + 1), min(b["hi"], at)
+                    cover = digest(text[lo : hi + LENGTH], (at - lo) * size + (at - hi))
+                    for col, v in zip(cols, (digest(text[at : at + core], 1000 + k), cover, 1, lo, hi, at), strict=True):
+                        col.append(v)
                     where.append(i)
-    halves = [pa.array(np.frombuffer(b"".join(h), np.int64)) for h in (h1, h2)]
-    keys = [batch.column(k).take(pa.array(where, pa.int64())) for k in KEY]
-    return pa.RecordBatch.from_arrays([*halves, pa.array(at, pa.int64()), *keys], ["h1", "h2", "at", *KEY])
+        digests = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[:2]]
+        keys = [batch.column(k).take(pa.array(where, pa.int64())) for k in KEY]
+        return pa.RecordBatch.from_arrays([*digests, *(pa.array(c, pa.int64()) for c in cols[2:]), *keys], [*BLOCK_COLUMNS, *KEY])
+
+    return run
+
+
+def _decided(blocks: DataFrame) -> DataFrame:
+    """Blocks that may repeat, stored: ``alike`` ones repeat whole, ``open`` ones are to be cut further.
+
+    Of a core with covers of several kinds, the blocks of a kind that is there once are
+    open, and of each other kind one block is both, to be met by them.
+    """
+    real = blocks.filter("n > 0")
+    # Copies meet on the way, so that a core of many blocks is a few rows when it is counted.
+    cores = real.groupBy("core").agg(F.sum("n").alias("all"), F.min("cover").alias("a"), F.max("cover").alias("b")).filter("all > 1")
+    met = real.join(cores.select("core", (F.col("a") == F.col("b")).alias("alike")), "core").select("core", "cover", "lo", "hi", "at", *KEY, "alike")
+    met = cut_lineage(met, "met")
+    mixed = met.filter("NOT alike").drop("alike")
+    one = F.struct(*KEY, "lo")
+    kinds = mixed.groupBy("core", "cover").agg(F.count(F.lit(1)).alias("members"), F.min(one).alias("first"))
+    sorted_out = mixed.join(kinds, ["core", "cover"]).select(
+        "lo", "hi", "at", *KEY, (F.col("members") > 1).alias("alike"), ((F.col("members") == 1) | (F.col("first") == one)).alias("open")
+    )
+    sure = F.lit(True).alias("alike"), F.lit(False).alias("open")
+    rest = met.filter("alike").select("lo", "hi", "at", *KEY, *sure).union(blocks.filter("n = 0").select("lo", "hi", "at", *KEY, *sure))
+    return cut_lineage(sorted_out.union(rest), "decided")
 
 
 def merged(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -144,9 +223,8 @@ def merged(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in runs]
 
 
-def _remains(text: bytes, blocks: list[dict] | None, starts: list[int] | None) -> tuple[bytes, list[tuple[int, int]]]:
-    ranges = [(b["lo"], b["hi"]) for b in blocks or [] if b["alike"]] + [(p, p) for p in starts or []]
-    runs = merged(ranges)
+def _remains(text: bytes, ranges: list[dict]) -> tuple[bytes, list[tuple[int, int]]]:
+    runs = merged([(r["lo"], r["hi"]) for r in ranges])
     kept, at = [], 0
     for a, b in runs:
         kept.append(text[at:a])
@@ -154,8 +232,8 @@ def _remains(text: bytes, blocks: list[dict] | None, starts: list[int] | None) -
     return b"".join([*kept, text[at:]]), runs
 
 
-def _resolved(docs: DataFrame, text: str, keep: list[str], from_files: bool, all_texts: bool) -> DataFrame:
-    """Each row's ``row`` (struct of ``keep``), text or its digest, and its repeated blocks and starts."""
+def _resolved(docs: DataFrame, text: str, keep: list[str], from_files: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (``row``: struct of ``keep``, and text) without a repeat, and rows with the ranges of their repeated starts."""
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
     if from_files:
         # A row of a file is known by the file and its place, however the file is split or read again.
@@ -164,45 +242,40 @@ def _resolved(docs: DataFrame, text: str, keep: list[str], from_files: bool, all
         stored, uid = numbered(docs, "documents")
         keyed = stored.select(F.lit(0).cast("long").alias("u1"), F.col(uid).alias("u2"), row, F.col(text).alias("text"))
     long_enough = keyed.filter(F.octet_length("text") >= LENGTH).select(*KEY, "text")
-    blocks = cut_lineage(long_enough.mapInArrow(_blocks, "core bigint, cover bigint, lo bigint, hi bigint, u1 bigint, u2 bigint"), "blocks")
-    # Copies meet on the way, so that a core of many blocks is a few rows when it is counted.
-    cores = blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("cover").alias("a"), F.max("cover").alias("b")).filter("n > 1")
-    again = blocks.select("core", "lo", "hi", *KEY).join(cores.select("core", (F.col("a") == F.col("b")).alias("alike")), "core")
-    listed = again.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi", "alike")).alias("blocks"))  # of one text
-    met = keyed.join(listed, KEY, "left")
-    has = F.col("blocks").isNotNull()
-    found = cut_lineage(
-        met.select(
-            *KEY, "row", "blocks", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-            F.when(has | F.lit(all_texts), F.col("text")).alias("text"),
-            F.when(~has, F.sha2(F.coalesce("text", F.lit("")), 256)).alias("whole_sha256"),
-        ),
-        "parsed",
-    )
-    mixed = found.filter(F.exists("blocks", lambda b: ~b["alike"])).select(*KEY, "text", "blocks")
-    starts = cut_lineage(map_batches(mixed, _starts, "h1 bigint, h2 bigint, at bigint, u1 bigint, u2 bigint"), "starts")
-    twice = starts.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
-    repeated = starts.join(twice, ["h1", "h2"]).groupBy(*KEY).agg(F.collect_list("at").alias("starts"))
-    touched = found.filter(F.col("blocks").isNotNull()).join(repeated, KEY, "left")
-    whole = found.filter(F.col("blocks").isNull()).withColumn("starts", F.lit(None).cast("array<bigint>"))
-    return touched.unionByName(whole).drop(*KEY)
+    blocks = cut_lineage(long_enough.mapInArrow(_blocks, BLOCK_TYPE), "blocks")
+    steps = [_decided(blocks)]
+    discard(blocks)
+    # The texts that may hold a repeat are set apart and kept in buckets: all later steps read only them, and in place.
+    marks = cut_lineage(steps[0].select(*KEY).distinct(), "marks").withColumn("marked", F.lit(True))
+    if marks.count() <= MARKED:
+        marks = F.broadcast(marks)
+    told = keyed.join(marks, KEY, "left")
+    touched = bucketed(told.filter("marked").drop("marked"), KEY, "touched")
+    for size in CUTS:
+        undecided = steps[-1].filter("open").groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi", "at")).alias("open"))  # of one text
+        texts = touched.select(*KEY, "text").join(undecided, KEY)
+        steps.append(_decided(cut_lineage(map_batches(texts, _smaller(size), BLOCK_TYPE), "smaller")))
+    ranges = reduce(DataFrame.union, [s.filter("alike").select("lo", "hi", *KEY) for s in steps])
+    listed = ranges.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))  # of one text
+    found = touched.join(listed, KEY, "left").select("row", "text", F.coalesce("ranges", F.array().cast("array<struct<lo:bigint,hi:bigint>>")).alias("ranges"))
+    return told.filter("marked IS NULL").select("row", "text"), found
 
 
 def _digests(batch: pa.RecordBatch) -> pa.RecordBatch:
-    removed, spans, sha = [], [], []
-    for text, blocks, starts in zip(utf8(batch.column("text")), batch.column("blocks").to_pylist(), batch.column("starts").to_pylist(), strict=True):
-        kept, runs = _remains(text, blocks, starts)
+    size, removed, spans, sha = [], [], [], []
+    for text, ranges in zip(utf8(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
+        kept, runs = _remains(text, ranges)
+        size.append(len(text))
         removed.append(len(text) - len(kept))
         spans.append(len(runs))
         sha.append(hashlib.sha256(kept).hexdigest())
-    cols = [batch.column("row"), batch.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())]
+    cols = [batch.column("row"), *(pa.array(c, pa.int64()) for c in (size, removed, spans)), pa.array(sha, pa.string())]
     return pa.RecordBatch.from_arrays(cols, ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _shortened(batch: pa.RecordBatch) -> pa.RecordBatch:
-    kept = []
-    for text, blocks, starts in zip(utf8(batch.column("text")), batch.column("blocks").to_pylist(), batch.column("starts").to_pylist(), strict=True):
-        kept.append(_remains(text, blocks, starts)[0].decode("utf-8", "ignore"))
+    both = zip(utf8(batch.column("text")), batch.column("ranges").to_pylist(), strict=True)
+    kept = [_remains(text, ranges)[0].decode("utf-8", "ignore") for text, ranges in both]
     return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], ["row", "text"])
 
 
@@ -218,13 +291,11 @@ def repeat_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     columns are not read; an empty table gives no rows. ``from_files``: ``docs`` is a
     table of Parquet files as Spark reads it, whose rows need no number of their own.
     """
-    found = _resolved(docs, text, [doc_id], from_files, False)
-    body = found.filter(F.col("blocks").isNotNull()).select("row", "n_bytes", "text", "blocks", "starts")
-    kind = _type(found, "row")
-    changed = map_batches(body, _digests, f"row {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    none = F.lit(0).cast("long")
-    clean = found.filter(F.col("blocks").isNull()).select("row", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("whole_sha256").alias("kept_sha256"))
-    return changed.unionByName(clean).select(F.col(f"row.`{doc_id}`").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    clean, found = _resolved(docs, text, [doc_id], from_files)
+    changed = map_batches(found, _digests, f"row {_type(found, 'row')}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    whole, none = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
+    same = clean.select("row", F.octet_length(whole).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"))
+    return changed.unionByName(same).select(F.col(f"row.`{doc_id}`").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", from_files: bool = False) -> DataFrame:
@@ -234,9 +305,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", from_files: bool = False
     valid UTF-8. Unchanged texts, null ones too, are passed on as they are.
     """
     keep = [c for c in docs.columns if c != text]
-    found = _resolved(docs, text, keep, from_files, True)
-    kind = _type(found, "row")
-    changed = map_batches(found.filter(F.col("blocks").isNotNull()).select("row", "text", "blocks", "starts"), _shortened, f"row {kind}, text string")
-    same = found.filter(F.col("blocks").isNull()).select("row", "text")
+    same, found = _resolved(docs, text, keep, from_files)
+    changed = map_batches(found, _shortened, f"row {_type(found, 'row')}, text string")
     named: dict[str, Column] = {c: F.col("text") if c == text else F.col(f"row.`{c}`") for c in docs.columns}
     return changed.unionByName(same).select(*[v.alias(c) for c, v in named.items()])

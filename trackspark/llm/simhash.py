@@ -165,7 +165,7 @@ def plan_parts(words: DataFrame, radius: int = 3) -> list[tuple[list[int], int]]
         costs = []
         for g in groups:
             size = [sum(comb(len(g), k) for k in range(t + 1)) for t in range(radius + 1)]
-            costs.append({-1: 0.0} | {t: n * (1 + s) + same.get(_mask(g), 0.0) * s for t, s in enumerate(size)})
+            costs.append({-1: 0.0} | {t: max(n, 1) * (1 + s) + same.get(_mask(g), 0.0) * s for t, s in enumerate(size)})
         cost, chosen = allocate(costs, radius - len(groups) + 1)
         plans.append((cost, [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0]))
     return min(plans, key=lambda p: p[0])[1]

@@ -19,10 +19,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import drawn, map_batches
 from .tokens import encoder
 
-#: The dictionary is fitted on at most this many documents of at most this many bytes.
+#: The dictionary is fitted on about this many documents of at most this many bytes.
 SAMPLE_DOCS, SAMPLE_BYTES = 1024, 65_536
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
@@ -91,7 +91,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 0, doc_
     """
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
-    few = source.filter(F.octet_length("text").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("doc_id", "tie")).limit(SAMPLE_DOCS)
+    few = drawn(source.filter(F.octet_length("text").between(1, SAMPLE_BYTES)), SAMPLE_DOCS, "doc_id", "tie")
     texts = pa.array([r.text for r in few.select("text").collect()], pa.string())
     raw = fit_dictionary([ids.astype("<u2").tobytes() for ids in encoder(vocabulary).encode(texts)] if len(texts) else [])
     name = hashlib.sha256(raw).hexdigest()

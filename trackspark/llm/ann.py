@@ -19,15 +19,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, drawn
 
 TABLES, PROJECTIONS = 2, 4
 #: Cell width in standard deviations of a projection.
-WIDTH = 1.5
+WIDTH = 2.0
 #: Cells beyond this distance from the middle count as the last one.
 FARTHEST = 4
 #: The number of probes is fitted on this many vectors, to this recall.
-SAMPLE, SAMPLE_QUERIES, TARGET = 4096, 128, 0.96
+SAMPLE, SAMPLE_QUERIES, TARGET = 4096, 256, 0.97
 #: Vectors and queries of a bucket that meet in one task.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
 
@@ -83,9 +83,12 @@ class Hasher:
 
 def fit_probes(hasher: Hasher, sample: np.ndarray, k: int) -> int:
     """Fewest probes in each table with which the sample's queries find ``TARGET`` of their nearest."""
-    queries = sample[:: max(1, len(sample) // SAMPLE_QUERIES)]
+    asked = np.arange(0, len(sample), max(1, len(sample) // SAMPLE_QUERIES))
+    queries = sample[asked]
     scores = queries @ sample.T
-    best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
+    if len(sample) > 1:
+        scores[np.arange(len(asked)), asked] = -np.inf  # finding itself is no success
+    best = np.argsort(-scores, axis=1, kind="stable")[:, : max(1, min(k, len(sample) - 1))]
     bucket, probes = hasher.buckets(sample), hasher.probes(queries)
     rank = np.full(best.shape, probes.shape[2])
     for t in range(TABLES):
@@ -198,7 +201,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", e
     for r in classes.groupBy(F.size("v").alias("dim")).agg(F.sqrt(F.max(length)).alias("longest")).orderBy("dim").collect():  # one row for each dimension
         same = classes.filter(F.size("v") == r.dim)
         hasher = Hasher.make(r.dim, r.longest)
-        sample = same.orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").collect()
+        sample = drawn(same, SAMPLE, "v").select("v").collect()
         probes = fit_probes(hasher, np.array([s.v for s in sample]), k)
         questions = asking.filter(F.size("v") == r.dim).select("rep", "v").distinct()
         found = found.union(_search(same, questions, hasher, probes, k))

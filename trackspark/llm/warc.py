@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, numbered
+from .common import cut_lineage, discard, map_batches, numbered
 
 #: Payloads below this many bytes are never replaced by a reference.
 LEAST_REVISIT = 100
 #: Records in an archive part; a reader holds one part's compressed bytes at a time.
 PART_RECORDS = 6000
+#: Groups of equal payloads that every executor may hold (about 120 bytes each).
+FEW = 200_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = (
@@ -58,7 +60,9 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col(uid).alias("uid"))
     # Copies are summed up before the shuffle; only payloads that recur are joined.
     groups = rows.filter(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = groups.filter("n > 1").select(F.col("digest").alias("d"), "first")
+    firsts = cut_lineage(groups.filter("n > 1").select(F.col("digest").alias("d"), "first"), "firsts")
+    if firsts.count() <= FEW:  # else the pages are shuffled to them
+        firsts = F.broadcast(firsts)
     led = rows.join(firsts, (F.col("digest") == F.col("d")) & (F.octet_length("html") >= LEAST_REVISIT), "left")
     is_response = F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first.page_id"))
 
@@ -82,6 +86,7 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     metadata = _record("metadata", name("metadata", number), target, "application/warc-fields", about, ("WARC-Concurrent-To", main))
     records = led.select(F.explode(F.array(request, F.when(is_response, response).otherwise(revisit), metadata)).alias("value"))
     records.write.mode("overwrite").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", PART_RECORDS).text(path)
+    discard(rows)
 
 
 class _Stream:

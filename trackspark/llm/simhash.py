@@ -24,6 +24,8 @@ from .components import component_roots
 BITS = 64
 LANES = np.uint64(0x0001000100010001)
 LANE_MAX = 65535
+#: Bytes of text whose shingle hashes a worker holds together.
+TOGETHER = 1 << 21
 
 
 def shingle_hashes(text: bytes, size: int = 3, seed: int = 42) -> list[int]:
@@ -67,7 +69,16 @@ def majority_bits(hashes: list[list[int]]) -> np.ndarray:
 
 def _with_fingerprint(text: str, name: str):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits = majority_bits([shingle_hashes(t) for t in utf8(batch.column(text))])
+        texts, bits = utf8(batch.column(text)), [np.zeros(0, np.uint64)]
+        at = 0
+        while at < len(texts):  # hashes of a whole batch would fill a worker
+            stop, size = at, 0
+            while stop < len(texts) and (stop == at or size + len(texts[stop]) <= TOGETHER):
+                size += len(texts[stop])
+                stop += 1
+            bits.append(majority_bits([shingle_hashes(t) for t in texts[at:stop]]))
+            at = stop
+        bits = np.concatenate(bits)
         keep = [(n, batch.column(n)) for n in batch.schema.names if n != text]
         return pa.RecordBatch.from_arrays([*(c for _, c in keep), pa.array(bits.view(np.int64))], [*(n for n, _ in keep), name])
 

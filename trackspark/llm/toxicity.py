@@ -9,24 +9,30 @@ sentences that explain a label, which are then the ones located.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import cut_lineage, drawn
 
-#: The fit sees at most this many labelled documents of each class ...
-SAMPLE = 3000
+#: The fit sees about this many labelled documents of each class ...
+SAMPLE = 2500
+#: ... of at most this many bytes ...
+SAMPLE_BYTES = 32_768
 #: ... and keeps at most this many features.
 FEATURES = 20_000
 #: ... that set the classes apart by so many standard errors.
 CLEAR = 3.0
 THRESHOLD = 0.7
-SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]?")
+#: Documents whose scores a worker gathers before it passes them on.
+TOGETHER = 500
+#: A sentence ends at a mark or line break; one that goes on is cut between words, so that length alone adds up to nothing.
+SENTENCE = re.compile(r"[^.!?\n]{0,240}[^.!?\n\s]*[.!?\n]?")
 WORD = re.compile(r"[^\W\d_]+|\d+")
 PREFIXES = (3, 4, 5, 6)
 
@@ -87,27 +93,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _sparse(texts: list[str], labels: list[int]) -> tuple[list[str], list[list[np.ndarray]], np.ndarray, np.ndarray]:
-    """Chosen features, each document's sentences as feature numbers, its number of sentences, and its label."""
-    y = np.array(labels, bool)
-    bags = [[set(WORD.findall(t[a : a + n])) for a, n in sentences(t)] for t in (x.lower() for x in texts)]
-    counts: dict[str, list[int]] = {}
-    for bag, label in zip(bags, labels, strict=True):
-        seen = {f for words in bag for w in words for f in word_features(w)}
-        for f in seen:
-            counts.setdefault(f, [0, 0])[label] += 1
-    pos, neg = max(1, y.sum()), max(1, (~y).sum())
+def _sparse(texts: Iterable[str], y: np.ndarray) -> tuple[list[str], list[list[np.ndarray]], np.ndarray]:
+    """Chosen features, each document's sentences as feature numbers, and its number of sentences."""
+    words: dict[str, int] = {}
+    bags: list[list[np.ndarray]] = []
+    for text in texts:
+        low = text.lower()
+        bags.append([np.array(sorted({words.setdefault(w, len(words)) for w in WORD.findall(low[a : a + n])}), np.int32) for a, n in sentences(low)])
+    features: dict[str, int] = {}
+    of_word = [np.array([features.setdefault(f, len(features)) for f in word_features(w)], np.int32) for w in words]
+    counts = np.zeros((2, len(features)))
+    for bag, label in zip(bags, y, strict=True):
+        seen = np.unique(np.concatenate([np.zeros(0, np.int32), *bag]))
+        counts[int(label), np.unique(np.concatenate([np.zeros(0, np.int32), *[of_word[w] for w in seen]]))] += 1
+    neg, pos = max(1, (~y).sum()), max(1, y.sum())
+    total = counts.sum(axis=0)
     # How far apart the classes are, in standard errors; features of a few documents say little.
-    lift = {
-        f: abs(b / pos - a / neg) / np.sqrt((a + b + 1) / (pos + neg) * (1 / pos + 1 / neg)) for f, (a, b) in counts.items() if a + b >= 5
-    }
-    kept = sorted((f for f in lift if lift[f] >= CLEAR), key=lambda f: (-lift[f], f))[:FEATURES]
-    number = {f: i for i, f in enumerate(kept)}
+    lift = np.abs(counts[1] / pos - counts[0] / neg) / np.sqrt((total + 1) / (pos + neg) * (1 / pos + 1 / neg))
+    good = np.flatnonzero((total >= 5) & (lift >= CLEAR))
+    names = list(features)
+    kept = sorted(good.tolist(), key=lambda f: (-lift[f], names[f]))[:FEATURES]
+    number = np.full(len(names), -1, np.int64)
+    number[kept] = np.arange(len(kept))
+    of_word = [number[f][number[f] >= 0] for f in of_word]
     rows = []
     for bag in bags:
-        one = [np.array([number[f] for w in words for f in word_features(w) if f in number], np.int64) for words in bag]
+        one = [np.concatenate([np.zeros(0, np.int64), *[of_word[w] for w in sentence]]) for sentence in bag]
         rows.append([r for r in one if len(r)])
-    return kept, rows, np.array([len(b) for b in bags]), y
+    return [names[f] for f in kept], rows, np.array([len(b) for b in bags])
 
 
 def fit(texts: list[str], labels: list[int], rounds: int = 600, ridge: float = 2e-3, rate: float = 0.15) -> Model:
@@ -117,7 +130,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 600, ridge: float = 2
     """
     if len(set(labels)) < 2:
         return Model({}, -30.0)
-    names, rows, n_sent, y = _sparse(texts, labels)
+    y = np.array(labels, bool)
+    names, rows, n_sent = _sparse(texts, y)
     sizes = [len(s) for bag in rows for s in bag]
     doc_of = np.repeat(np.arange(len(rows)), [len(bag) for bag in rows])
     feature = np.concatenate([s for bag in rows for s in bag]) if sizes else np.zeros(0, np.int64)
@@ -143,36 +157,46 @@ def fit(texts: list[str], labels: list[int], rounds: int = 600, ridge: float = 2
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """At most SAMPLE labelled documents of each class that are not held out, as text and label.
+    """About SAMPLE labelled documents of each class that are not held out, as text and label.
 
     The ids are drawn by a digest, before the texts are read. Ids labelled both ways are
     left out.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     once = known.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("y2")).filter("y = y2")
-    drawn = [once.filter(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id", "y") for c in (0, 1)]
-    few = drawn[0].union(drawn[1])
-    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # few has 2 * SAMPLE rows at most
-    return texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * SAMPLE).select("text", "y")
+    stored = cut_lineage(once.select("doc_id", "y"), "labels")
+    few = reduce(DataFrame.union, [drawn(stored.filter(F.col("y") == c), SAMPLE, "doc_id") for c in (0, 1)])
+    # Few by construction, so they may go everywhere. Repeated rows of a document give a row each, hence the limit.
+    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    return texts.limit(4 * SAMPLE).orderBy("doc_id", "text").select("text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """A model from a bounded sample of the labelled documents that are not held out."""
-    got = training_rows(docs.filter(F.octet_length("text") <= 65_536), labels, label).collect()
+    got = training_rows(docs.filter(F.octet_length("text") <= SAMPLE_BYTES), labels, label).collect()
     return fit([r.text for r in got], [r.y for r in got])
 
 
-def _scored(model: Model, spans: bool):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scored = [model.score(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
-        cols = [*batch.columns[:-1], pa.array([s for s, _ in scored], pa.float64())]
-        names = [*batch.schema.names[:-1], "score"]
+def _scored(model: Model, spans: bool, text: str, carried: bool):
+    """Scores behind the columns of a batch; ``text`` is one of them, or with ``carried`` a field of the first."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(0).field(text) if carried else batch.column(text)
+        scored = [model.score(t or "") for t in texts.to_pylist()]
+        kept = [(n, batch.column(n)) for n in batch.schema.names if carried or n != text]
+        cols = [*(c for _, c in kept), pa.array([s for s, _ in scored], pa.float64())]
+        names = [*(n for n, _ in kept), "score"]
         if spans:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("score", pa.float64())]))
             cols.append(pa.array([[dict(zip(("start", "length", "score"), s, strict=True)) for s in f] for _, f in scored], kind))
             names.append("offending")
         return pa.RecordBatch.from_arrays(cols, names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                yield one(batch.slice(at, TOGETHER))
+
     return run
 
 
@@ -185,7 +209,7 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str], text: str =
     kinds = [f"`{n}` {t}" for n, t in source.dtypes[:-1]] + ["score double"]
     if spans:
         kinds.append("offending array<struct<start:int,length:int,score:double>>")
-    return map_batches(source, _scored(model, spans), ", ".join(kinds))
+    return source.mapInArrow(_scored(model, spans, "scored_text", False), ", ".join(kinds))
 
 
 def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -201,7 +225,8 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all their columns."""
-    names = docs.columns
-    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text")
-    scored = score_documents(carried, train(docs, labels), ["row"])
+    # A whole row goes to Python and back as one column, with its text once.
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kind = carried.schema["row"].dataType.simpleString()
+    scored = carried.mapInArrow(_scored(train(docs, labels), False, "text", True), f"row {kind}, score double")
     return scored.filter(F.col("score") < THRESHOLD).select("row.*")

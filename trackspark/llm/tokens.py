@@ -23,9 +23,9 @@ ODD = r"[\s\v\x1c-\x1f\x85\p{Z}][\s\v\x1c-\x1f\x85\p{Z}]|[^\p{L}\p{N}][.,]|İ[.,
 #: Between a letter or digit and a single space before anything else a pre-token always ends.
 BEFORE_WORD = re.compile(r"(?<=[^\W_])(?= \S)")
 #: Pieces in each of the two generations that a worker remembers (about 160 bytes each).
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Bytes of text that are cut together.
-TOGETHER = 8_000_000
+TOGETHER = 3_000_000
 
 
 def byte_letters() -> dict[int, str]:

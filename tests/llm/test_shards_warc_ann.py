@@ -136,6 +136,26 @@ def test_nearest_finds_most_and_ranks_exactly(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def nearest_cases():
+    rng = np.random.default_rng(11)
+    few = rng.standard_normal((6, 16))
+    middle = rng.standard_normal((400, 16))
+    longest = rng.standard_normal((3, 16)) * [[1e5], [2e5], [3e5]]
+    lonely = 6 * rng.standard_normal((4, 16)).repeat(5, axis=0) + 1e-3 * rng.standard_normal((20, 16))
+    return {"few and opposite": np.vstack((few, -few)), "a few far longer": np.vstack((middle, longest)), "small groups apart": np.vstack((lonely, 3 + 0.1 * middle))}
+
+
+@pytest.mark.parametrize("name", list(nearest_cases()))
+def test_every_query_is_filled(spark, name):
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(nearest_cases()[name])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(i, v, 1) for i, v in rows], VEC), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = exact_nearest(rows, 20)
+    assert {q: len(h) for q, h in got.items()} == {q: min(20, len(rows) - 1) for q in want}
+    assert sum(len(got[q] & set(w)) for q, w in want.items()) >= 0.9 * sum(len(w) for w in want.values())
+
+
 def test_ties_of_equal_vectors_go_to_the_smaller_id(spark):
     rows = [(i, [1.0, 1.0], 0) for i in range(100)] + [(200, [1.0, 1.0], 0), (200, [1.0, 1.0], 0)]
     got = ann.nearest(spark.createDataFrame(rows, VEC), F.col("vec_id") % 100 == 0, k=5)

@@ -2,17 +2,17 @@
 
 Vectors are scaled below length one and lifted onto a sphere, where the largest inner
 product is the least distance. Each table cuts space by a few random projections into
-cells of one width. A query visits, beside its own bucket, those that differ in some
-projections by one cell, in the order of their estimated success: the nearer the query
-lies to the borders that must be crossed, the sooner. How many are visited is fitted
-on a bounded sample. The candidates of all tables are merged and ranked by the exact
-product. Equal vectors are searched once.
+cells of one width. A query visits the buckets that hold vectors in the order of their
+estimated success: the nearer the query lies to the borders that must be crossed, the
+sooner. How many are visited is fitted on a bounded sample, up to all of them, and a
+query goes on until those it has visited hold enough vectors to fill its answer. The
+candidates of all tables are merged and ranked by the exact product. Equal vectors are
+searched once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -68,54 +68,86 @@ class Hasher:
     def buckets(self, x: np.ndarray) -> np.ndarray:
         return self.code(np.floor(self.places(x, False)))
 
-    def probes(self, x: np.ndarray) -> np.ndarray:
-        """Buckets of each query in the order they are worth visiting, tables x rows x probes."""
-        at = self.places(x, True)
-        cell = np.floor(at)
-        low = at - cell
-        steps = np.array(list(product((-1, 0, 1), repeat=PROJECTIONS)))
-        # The square of the way to the border that a step crosses; fewer and shorter crossings succeed more often.
-        way = np.stack((low**2, np.zeros_like(low), (1 - low) ** 2), axis=-1)
-        cost = sum(way[:, :, p, :][:, :, steps[:, p] + 1] for p in range(PROJECTIONS))
-        order = np.argsort(cost, axis=-1, kind="stable")
-        return self.code(cell[:, :, None, :] + steps[order])
-
-
-def fit_probes(hasher: Hasher, sample: np.ndarray, k: int) -> int:
-    """Fewest probes in each table with which the sample's queries find ``TARGET`` of their nearest."""
+    def visits(self, x: np.ndarray, held: Held) -> list[np.ndarray]:
+        """For each table, the places in ``held`` of all its buckets in the order they are worth visiting, queries x buckets."""
+        out = []
+        for at, codes in zip(self.places(x, True), held.codes, strict=True):
+            # The square of the way to a bucket; fewer and shorter crossings succeed more often.
+            way = np.zeros((len(x), len(codes)))
+            for p in range(PROJECTIONS):
+                cell = codes // (2 * FARTHEST) ** p % (2 * FARTHEST) - FARTHEST
+                # The outermost cells have no outer border.
+                low = np.where(cell > -FARTHEST, cell, -np.inf)
+                high = np.where(cell < FARTHEST - 1, cell + 1, np.inf)
+                way += np.maximum(0, np.maximum(low - at[:, p : p + 1], at[:, p : p + 1] - high)) ** 2
+            out.append(np.argsort(way, axis=1, kind="stable"))
+        return out
+
+
+@dataclass
+class Held:
+    """The buckets that hold vectors, in rising order, and how many each holds; bounded by the number of cells."""
+
+    codes: list[np.ndarray]
+    rows: list[np.ndarray]
+
+    @staticmethod
+    def of(counted: list[tuple[int, int, int]]) -> Held:
+        """From (t, bucket, rows)."""
+        tables = [sorted((c, n) for u, c, n in counted if u == t) for t in range(TABLES)]
+        return Held([np.array([c for c, _ in x], np.int64) for x in tables], [np.array([n for _, n in x], np.int64) for x in tables])
+
+
+def fit_probes(hasher: Hasher, held: Held, sample: np.ndarray, k: int) -> int:
+    """Fewest probes in each table with which the sample's queries find ``TARGET`` of their nearest; all buckets find all."""
     asked = np.arange(0, len(sample), max(1, len(sample) // SAMPLE_QUERIES))
     queries = sample[asked]
     scores = queries @ sample.T
     if len(sample) > 1:
         scores[np.arange(len(asked)), asked] = -np.inf  # finding itself is no success
     best = np.argsort(-scores, axis=1, kind="stable")[:, : max(1, min(k, len(sample) - 1))]
-    bucket, probes = hasher.buckets(sample), hasher.probes(queries)
-    rank = np.full(best.shape, probes.shape[2])
+    bucket, visits = hasher.buckets(sample), hasher.visits(queries, held)
+    most = max(len(c) for c in held.codes)
+    rank = np.full(best.shape, most)
     for t in range(TABLES):
-        hit = probes[t][:, None, :] == bucket[t][best][:, :, None]
-        rank = np.minimum(rank, np.where(hit.any(axis=2), hit.argmax(axis=2), probes.shape[2]))
-    found = np.cumsum(np.bincount(rank.ravel(), minlength=probes.shape[2] + 1)[:-1]) / rank.size
-    return int(min(np.searchsorted(found, TARGET) + 1, probes.shape[2]))
+        turn = np.argsort(visits[t], axis=1, kind="stable")  # the turn at which a bucket is visited
+        # A vector on a border may fall to the other side here.
+        place = np.minimum(np.searchsorted(held.codes[t], bucket[t][best]), len(held.codes[t]) - 1)
+        rank = np.minimum(rank, np.take_along_axis(turn, place, axis=1))
+    found = np.cumsum(np.bincount(rank.ravel(), minlength=most)) / rank.size
+    return int(np.searchsorted(found, TARGET) + 1)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64)
 
 
-def _hash_rows(hasher: Hasher, probes: int | None):
-    """(t, bucket, rep, v) rows; for queries one for each probe."""
+def _hash_rows(hasher: Hasher):
+    """(t, bucket, rep, v) rows of vectors."""
+
+    def run(frames):
+        for df in frames:
+            for t, code in enumerate(hasher.buckets(_matrix(df["v"]))):
+                yield pd.DataFrame({"t": t, "bucket": code, "rep": df["rep"], "v": df["v"]})
+
+    return run
+
+
+def _probe_rows(hasher: Hasher, held: Held, probes: int, need: int):
+    """(t, bucket, rep, v) rows of queries, one for each bucket they visit: ``probes`` in each table, more in one until they hold ``need`` vectors."""
 
     def run(frames):
         for df in frames:
-            x = _matrix(df["v"])
-            got = hasher.buckets(x)[:, :, None] if probes is None else hasher.probes(x)[:, :, :probes]
-            tables, n, each = got.shape
-            code = got.transpose(1, 0, 2).reshape(n, tables * each)
-            row = np.repeat(np.arange(n), tables * each)
-            t = np.tile(np.repeat(np.arange(tables), each), n)
-            # Clipped cells may meet: a bucket is visited once.
-            out = pd.DataFrame({"row": row, "t": t, "bucket": code.ravel()}).drop_duplicates()
-            yield pd.DataFrame({"t": out["t"], "bucket": out["bucket"], "rep": df["rep"].to_numpy()[out["row"]], "v": df["v"].to_numpy()[out["row"]]})
+            for a in range(0, len(df), 256):
+                part = df.iloc[a : a + 256]
+                visits = hasher.visits(_matrix(part["v"]), held)
+                # A vector is in one bucket of a table, so what the visited buckets of one table hold are as many vectors.
+                full = np.stack([(np.cumsum(n[v], axis=1) >= need).argmax(axis=1) + 1 for n, v in zip(held.rows, visits, strict=True)])
+                first = full.argmin(axis=0)
+                for t, order in enumerate(visits):
+                    each = np.where(first == t, np.maximum(probes, full[t]), probes)
+                    row, col = np.nonzero(np.arange(order.shape[1]) < each[:, None])
+                    yield pd.DataFrame({"t": t, "bucket": held.codes[t][order[row, col]], "rep": part["rep"].to_numpy()[row], "v": part["v"].to_numpy()[row]})
 
     return run
 
@@ -150,11 +182,16 @@ def _rank_block(k: int):
     return run
 
 
-def _search(classes: DataFrame, queries: DataFrame, hasher: Hasher, probes: int, k: int) -> DataFrame:
-    """(q, rep, score): the best k + 1 classes found for each query class."""
+def _search(classes: DataFrame, queries: DataFrame, hasher: Hasher, k: int) -> DataFrame:
+    """(q, rep, score): the best k + 1 classes found for each query class, and k + 1 are found where there are so many."""
     kind = "t int, bucket long, rep long, v array<double>"
-    index = cut_lineage(classes.select("rep", "v").mapInPandas(_hash_rows(hasher, None), kind), "ann-index")
-    asked = cut_lineage(queries.select("rep", "v").mapInPandas(_hash_rows(hasher, probes), kind), "ann-probes")
+    index = cut_lineage(classes.select("rep", "v").mapInPandas(_hash_rows(hasher), kind), "ann-index")
+    # Both are bounded: the buckets by the number of cells, the sample by its size.
+    held = Held.of([tuple(r) for r in index.groupBy("t", "bucket").count().collect()])
+    sample = drawn(classes, SAMPLE, "v").select("v").collect()
+    probes = fit_probes(hasher, held, np.array([s.v for s in sample]), k)
+    need = min(k + 1, int(held.rows[0].sum()))
+    asked = cut_lineage(queries.select("rep", "v").mapInPandas(_probe_rows(hasher, held, probes, need), kind), "ann-probes")
     # A bucket of many vectors or queries is cut into blocks that meet each other. Its size is one row
     # of a table bounded by the number of cells, so it may go everywhere.
     size = index.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("n_i"))
@@ -177,7 +214,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", e
     """query_id, rank, vec_id and score of the ``k`` nearest found for every row that ``is_query`` (a column) holds for.
 
     The nearest have the largest inner product in double precision; ties go to the
-    smaller vec_id, and a row does not find itself. Vectors that are null, zero, empty
+    smaller vec_id, and a row does not find itself. Every query gets ``k`` rows, or all
+    candidates if there are fewer. Vectors that are null, zero, empty
     or hold null or non-finite components, and rows without an id, take no part. Vectors
     of different lengths never meet. Repeated rows of one id count once if their vectors
     are equal; with different vectors the id is searched and found by each. Other
@@ -201,10 +239,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", e
     for r in classes.groupBy(F.size("v").alias("dim")).agg(F.sqrt(F.max(length)).alias("longest")).orderBy("dim").collect():  # one row for each dimension
         same = classes.filter(F.size("v") == r.dim)
         hasher = Hasher.make(r.dim, r.longest)
-        sample = drawn(same, SAMPLE, "v").select("v").collect()
-        probes = fit_probes(hasher, np.array([s.v for s in sample]), k)
         questions = asking.filter(F.size("v") == r.dim).select("rep", "v").distinct()
-        found = found.union(_search(same, questions, hasher, probes, k))
+        found = found.union(_search(same, questions, hasher, k))
     named = found.join(classes.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("vec_id"))
     best = named.withColumn("place", F.expr("row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id)")).filter(F.col("place") <= k + 1)
     answers = best.join(asking.select(F.col("rep").alias("q"), "query_id"), "q").filter("vec_id <> query_id").select("query_id", "vec_id", "score").distinct()

@@ -69,6 +69,13 @@ def test_stages_match_plain_python(spark, tmp_path):
     assert all(np.isfinite(r.sequence_id) and r.length <= 2048 for r in packed)
 
 
+def test_long_clean_documents_pass_the_first_stage(spark, tmp_path):
+    texts, _, _ = write_tables(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r.doc_id for r in pipeline.STAGES[0][1](spark, docs, str(tmp_path)).select("doc_id").collect()}
+    assert 305 in kept
+
+
 def test_stages_take_empty_tables(spark, tmp_path):
     write_tables(spark, str(tmp_path))
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)

@@ -196,6 +196,22 @@ def test_toxicity_learns_and_locates(spark):
             assert any("zork" in s for s in spots)
 
 
+def test_long_clean_documents_teach_and_stay(spark):
+    texts, labels = toxic_case()
+    rnd = random.Random(4)
+    for i in range(1000, 1090):
+        # As long as none of the others, and with words that only toxic ones have among those.
+        lines = [texts[1 + 4 * rnd.randrange(200)].splitlines()[0] for _ in range(40)]
+        texts[i] = "\n".join([*lines, *["In that chapter a nasty zorker speaks."] * 3, *["quiet words follow here."] * 1400])
+        labels.append((i, 1, 0))
+    assert min(len(texts[i]) for i in range(1000, 1090)) > 32_768
+    schema = "doc_id long, quality int, toxic int"
+    rows = toxicity.judge_documents(docs_of(spark, texts), spark.createDataFrame(labels, schema)).collect()
+    held = [r for r in rows if r.held_out]
+    assert sum(r.predicted for r in held if r.doc_id >= 1000) == 0 and sum(r.doc_id >= 1000 for r in held) > 10
+    assert sum(r.predicted == (r.doc_id % 4 == 0) for r in held if r.doc_id < 1000) / sum(r.doc_id < 1000 for r in held) > 0.97
+
+
 def test_toxicity_without_labels_and_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     df = docs_of(spark, ["a", None]).withColumnRenamed("lang", "score").withColumnRenamed("source", "row")

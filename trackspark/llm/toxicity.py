@@ -9,7 +9,7 @@ sentences that explain a label, which are then the ones located.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, drawn
 
-#: The fit sees about this many labelled documents of each class ...
+#: The fit sees about this many labelled documents of each class, whatever their length ...
 SAMPLE = 2500
-#: ... of at most this many bytes ...
-SAMPLE_BYTES = 32_768
+#: ... fewer, drawn alike from all lengths, where they hold more than this many bytes together ...
+SAMPLE_BYTES = 100_000_000
 #: ... and keeps at most this many features.
 FEATURES = 20_000
 #: ... that set the classes apart by so many standard errors.
@@ -93,61 +93,82 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _sparse(texts: Iterable[str], y: np.ndarray) -> tuple[list[str], list[list[np.ndarray]], np.ndarray]:
-    """Chosen features, each document's sentences as feature numbers, and its number of sentences."""
-    words: dict[str, int] = {}
-    bags: list[list[np.ndarray]] = []
-    for text in texts:
-        low = text.lower()
-        bags.append([np.array(sorted({words.setdefault(w, len(words)) for w in WORD.findall(low[a : a + n])}), np.int32) for a, n in sentences(low)])
-    features: dict[str, int] = {}
-    of_word = [np.array([features.setdefault(f, len(features)) for f in word_features(w)], np.int32) for w in words]
-    counts = np.zeros((2, len(features)))
-    for bag, label in zip(bags, y, strict=True):
-        seen = np.unique(np.concatenate([np.zeros(0, np.int32), *bag]))
-        counts[int(label), np.unique(np.concatenate([np.zeros(0, np.int32), *[of_word[w] for w in seen]]))] += 1
-    neg, pos = max(1, (~y).sum()), max(1, y.sum())
-    total = counts.sum(axis=0)
+def _features(text: str) -> set[str]:
+    """All features of a document."""
+    return {f for w in set(WORD.findall(text.lower())) for f in word_features(w)}
+
+
+def _bag(text: str, number: dict[str, int]) -> tuple[int, dict[tuple[int, ...], int]]:
+    """The number of sentences of a document, and how often each list of feature numbers occurs among them."""
+    low = text.lower()
+    spans = sentences(low)
+    bag: dict[tuple[int, ...], int] = {}
+    for a, n in spans:
+        got = tuple(sorted(number[f] for w in set(WORD.findall(low[a : a + n])) for f in word_features(w) if f in number))
+        if got:
+            bag[got] = bag.get(got, 0) + 1
+    return len(spans), bag
+
+
+def _choose(rows: DataFrame, neg: int, pos: int) -> list[str]:
+    """The features that set the classes of text and y rows apart, at most FEATURES."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                names = pa.array(sorted(_features(batch.column("text")[at].as_py() or "")), pa.string())
+                y = batch.column("y")[at].as_py()
+                yield pa.RecordBatch.from_arrays([names, pa.array([y] * len(names), pa.int32())], ["feature", "y"])
+
+    counts = rows.mapInArrow(found, "feature string, y int").groupBy("feature").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).filter("n >= 5")
+    neg, pos = max(1, neg), max(1, pos)
     # How far apart the classes are, in standard errors; features of a few documents say little.
-    lift = np.abs(counts[1] / pos - counts[0] / neg) / np.sqrt((total + 1) / (pos + neg) * (1 / pos + 1 / neg))
-    good = np.flatnonzero((total >= 5) & (lift >= CLEAR))
-    names = list(features)
-    kept = sorted(good.tolist(), key=lambda f: (-lift[f], names[f]))[:FEATURES]
-    number = np.full(len(names), -1, np.int64)
-    number[kept] = np.arange(len(kept))
-    of_word = [number[f][number[f] >= 0] for f in of_word]
-    rows = []
-    for bag in bags:
-        one = [np.concatenate([np.zeros(0, np.int64), *[of_word[w] for w in sentence]]) for sentence in bag]
-        rows.append([r for r in one if len(r)])
-    return [names[f] for f in kept], rows, np.array([len(b) for b in bags])
-
-
-def fit(texts: list[str], labels: list[int], rounds: int = 600, ridge: float = 2e-3, rate: float = 0.15) -> Model:
+    lift = F.abs(F.col("p") / pos - (F.col("n") - F.col("p")) / neg) / F.sqrt((F.col("n") + 1) / (pos + neg) * (1 / pos + 1 / neg))
+    return [x.feature for x in counts.withColumn("lift", lift).filter(F.col("lift") >= CLEAR).orderBy(F.desc("lift"), "feature").limit(FEATURES).collect()]
+
+
+def _bags(rows: DataFrame, names: list[str]) -> list[tuple[int, int, list[list[int]], list[int]]]:
+    """(y, number of sentences, lists of feature numbers, how often each occurs) of each document; no texts."""
+
+    number = {n: i for i, n in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                count, bag = _bag(batch.column("text")[at].as_py() or "", number)
+                cols = [[batch.column("y")[at].as_py()], [count], [[list(k) for k in bag]], [list(bag.values())]]
+                kinds = [pa.int32(), pa.int32(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["y", "sentences", "bag", "times"])
+
+    got = rows.mapInArrow(run, "y int, sentences int, bag array<array<int>>, times array<int>").toArrow()
+    return sorted((r["y"], r["sentences"], r["bag"], r["times"]) for r in got.to_pylist())
+
+
+def fit(names: list[str], bags: list[tuple[int, int, list[list[int]], list[int]]], rounds: int = 600, ridge: float = 2e-3, rate: float = 0.15) -> Model:
     """Fit sentence weights to document labels through the noisy-or, by Adam over the whole sample.
 
     Classes weigh the same. Without both classes nothing can be learnt: every score is 0.
     """
-    if len(set(labels)) < 2:
+    y = np.array([b[0] for b in bags], bool)
+    if y.all() or not y.any():
         return Model({}, -30.0)
-    y = np.array(labels, bool)
-    names, rows, n_sent = _sparse(texts, y)
-    sizes = [len(s) for bag in rows for s in bag]
-    doc_of = np.repeat(np.arange(len(rows)), [len(bag) for bag in rows])
-    feature = np.concatenate([s for bag in rows for s in bag]) if sizes else np.zeros(0, np.int64)
+    sizes = [len(s) for b in bags for s in b[2]]
+    doc_of = np.repeat(np.arange(len(bags)), [len(b[2]) for b in bags])
+    feature = np.array([f for b in bags for s in b[2] for f in s], np.int64)
     sent_of = np.repeat(np.arange(len(sizes)), sizes)
-    bare = n_sent - np.bincount(doc_of, minlength=len(rows))
+    times = np.array([n for b in bags for n in b[3]], np.float64)
+    bare = np.array([b[1] for b in bags]) - np.bincount(doc_of, times, len(bags))
     weight = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
     w, base = np.zeros(len(names)), -6.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for t in range(1, rounds + 1):
         odds = base + np.bincount(sent_of, w[feature], len(sizes))
         quiet = -np.logaddexp(0, odds)
-        none = np.bincount(doc_of, quiet, len(rows)) - bare * np.logaddexp(0, base)
+        none = np.bincount(doc_of, times * quiet, len(bags)) - bare * np.logaddexp(0, base)
         p = np.clip(-np.expm1(none), 1e-9, 1 - 1e-9)
         # d loss / d none: a positive is explained by any sentence, a negative needs all quiet.
         d_none = weight * np.where(y, (1 - p) / p, -1.0)
-        d_odds = -d_none[doc_of] * np.exp(-np.logaddexp(0, -odds))
+        d_odds = -d_none[doc_of] * times * np.exp(-np.logaddexp(0, -odds))
         grad = np.append(np.bincount(feature, d_odds[sent_of], len(names)) + ridge * w / max(1, len(names)) ** 0.5, d_odds.sum() - (d_none * bare).sum() / (1 + np.exp(-base)))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -172,9 +193,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> D
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """A model from a bounded sample of the labelled documents that are not held out."""
-    got = training_rows(docs.filter(F.octet_length("text") <= SAMPLE_BYTES), labels, label).collect()
-    return fit([r.text for r in got], [r.y for r in got])
+    """A model from a bounded sample of the labelled documents that are not held out; only features come to the driver."""
+    rows = cut_lineage(training_rows(docs.filter(F.col("text").isNotNull()), labels, label), "training")
+    size = F.octet_length("text")
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    if total > SAMPLE_BYTES:
+        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < F.lit(int((1 << 40) * SAMPLE_BYTES / total)))
+    seen = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(seen) < 2:
+        return Model({}, -30.0)
+    names = _choose(rows, seen[0], seen[1])
+    return fit(names, _bags(rows, names))
 
 
 def _scored(model: Model, spans: bool, text: str, carried: bool):

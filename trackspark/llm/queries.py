@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import ann, decontaminate, packing, sharding, simhash, suffix_dedup, token_store, toxicity, url_filter, warc
+from . import ann, decontaminate, model_queries, packing, sharding, simhash, suffix_dedup, token_store, toxicity, url_filter, warc
 from .common import cut_lineage, table
 
 RULES = [
@@ -173,6 +173,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_token_store": op9_token_store,
     "op10_suffix_dedup": op10_suffix_dedup,
+    **model_queries.QUERIES,
 }
 
-ORACLES = {"op1_url_filter": _op1_sql(), "op6_decontaminate": _op6_sql(), "op8_warc": OP8_SQL}
+ORACLES = {"op1_url_filter": _op1_sql(), "op6_decontaminate": _op6_sql(), "op8_warc": OP8_SQL, **model_queries.ORACLES}

@@ -7,6 +7,7 @@ all objectives stay together, rows with a missing objective are left out.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,10 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import finite
 from ..session import cut_lineage
-from .ordered import bucket_count, range_boundaries, with_bucket
+from .ordered import bucket_count, range_boundaries, row_index, with_bucket
 
 Objective = tuple[str, str]
-BLOCK_ROWS = 20_000
 
 
 def _oriented(df: DataFrame, objectives: Sequence[Objective]) -> DataFrame:
@@ -68,52 +68,95 @@ def _front_2d(p: DataFrame) -> DataFrame:
     return j.where(best.isNull() | (F.col("o1") < best)).select("o0", "o1")
 
 
-def _undominated(points: np.ndarray, against: np.ndarray) -> np.ndarray:
-    """Mask of the points no row of ``against`` dominates."""
-    keep = np.ones(len(points), dtype=bool)
-    for row in against:
-        worse = (points >= row).all(axis=1) & (points > row).any(axis=1)
-        keep &= ~worse
-    return keep
+def _stairs(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Points of one bucket no earlier point of it dominates; they come in lexicographic order.
+
+    A point can only be dominated by one that sorts before it, and for three objectives it is so
+    where the staircase of the other two, low to high, lies below it.
+    """
+    x, y = [], []  # corners: x rises, y falls
+    front = np.empty((0, len(names)))
+    for pdf in batches:
+        points = pdf[names].to_numpy(dtype=float)
+        keep = np.zeros(len(points), dtype=bool)
+        if len(names) == 3:
+            for i, (_, a, b) in enumerate(points.tolist()):
+                k = bisect_right(x, a)
+                if k and y[k - 1] <= b:
+                    continue
+                keep[i] = True
+                start = bisect_left(x, a)
+                stop = start
+                while stop < len(y) and y[stop] >= b:
+                    stop += 1
+                x[start:stop], y[start:stop] = [a], [b]
+        else:
+            for i, row in enumerate(points):
+                if not (front <= row).all(axis=1).any():
+                    keep[i] = True
+                    front = np.vstack([front, row])
+        yield pdf[keep]
+
+
+def _left_of(rows: DataFrame, place: str, levels: int, by: list[str]) -> DataFrame:
+    """``rows`` once for each level of a binary tree over ``place``, as source (left half of a block) or target (right half).
+
+    A source of a smaller place than a target shares just one block with it. ``src`` and ``dst`` are kept where they hold.
+    """
+    pairs = F.explode(F.sequence(F.lit(0), F.lit(max(levels, 1) - 1))).alias("_level")
+    dealt = rows.select("*", pairs) if levels else rows.withColumn("_level", F.lit(0)).where("false")
+    right = F.expr(f"shiftright({place}, _level) & 1") == 1
+    block = F.expr(f"shiftright({place}, _level + 1)")
+    out = dealt.withColumns({"src": F.col("src") & ~right, "dst": F.col("dst") & right, "_block": block}).where("src OR dst")
+    depth = len(by) // 2
+    return out.withColumnsRenamed({"_level": f"_l{depth}", "_block": f"_b{depth}"}).drop(place)
+
+
+def _levels(n: int) -> int:
+    """Levels of a binary tree over places 0 to n - 1."""
+    return max(0, n - 1).bit_length()
+
+
+def _beaten(rows: DataFrame, names: list[str], dims: list[str], by: list[str]) -> DataFrame:
+    """Targets (``names``) with a source of their group ``by`` that is no worse on every one of ``dims``."""
+    first, rest = dims[0], dims[1:]
+    if len(rest) > 1:
+        # Sources with a smaller value meet targets over the tree of its distinct values, those with an equal one in its own block.
+        values = row_index(rows.select(first).distinct(), first, "_place")
+        placed = cut_lineage(rows.join(values, first), "placed")
+        depth = len(by) // 2
+        smaller = _left_of(placed, "_place", _levels(values.count()), by)
+        equal = placed.withColumns({f"_l{depth}": F.lit(-1), f"_b{depth}": F.col("_place")}).drop("_place")
+        return _beaten(smaller.unionByName(equal), names, rest, [*by, f"_l{depth}", f"_b{depth}"])
+    last = rest[0]
+    rows = cut_lineage(rows, "levels")
+    b = with_bucket(rows, first, range_boundaries(rows, first, bucket_count(rows)))
+    low = F.when(F.col("src"), F.col(last))
+    # The staircase of a group: the least last value up to each first one, carried over range buckets.
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = b.groupBy(*by, "_bucket").agg(F.min(low).alias("_m")).withColumn("_carry", F.min("_m").over(before)).drop("_m")
+    carry = cut_lineage(carry, "carry")
+    inside = Window.partitionBy(*by, "_bucket").orderBy(first).rangeBetween(Window.unboundedPreceding, 0)
+    seen = b.withColumn("_seen", F.min(low).over(inside)).join(carry, [*by, "_bucket"])
+    return seen.where(F.col("dst") & (F.least("_seen", "_carry") <= F.col(last))).select(*names).distinct()
 
 
 def _front_nd(p: DataFrame, k: int) -> DataFrame:
-    """Filter inside each task first, then against the surviving points in bounded blocks.
+    """Fronts of range buckets first, then all of them against the staircases of earlier buckets.
 
-    Each block has at most ``BLOCK_ROWS`` rows whatever the data, so the broadcast
-    stays small; later blocks are tested like the first.
+    Rows are dealt in lexicographic order, so that a point is dominated only from its own or an
+    earlier bucket. Its bucket's front is found where it lies; earlier buckets are met over a binary tree of
+    buckets, whose every level is one running minimum. Nothing passes through the driver, and a front that holds
+    every row costs a row for each level.
     """
     names = [f"o{i}" for i in range(k)]
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = np.empty((0, k))
-        for pdf in batches:
-            x = np.vstack([best, pdf[names].to_numpy(dtype=float)])
-            x = x[np.lexsort(x.T[::-1])]
-            # A point can only be dominated by one that sorts before it.
-            front: list[np.ndarray] = []
-            for row in x:
-                if not front or not ((np.array(front) <= row).all(axis=1) & (np.array(front) < row).any(axis=1)).any():
-                    front.append(row)
-            best = np.array(front) if front else np.empty((0, k))
-        yield pd.DataFrame(best, columns=names)
-
-    schema = ", ".join(f"{n} double" for n in names)
-    cand = cut_lineage(p.mapInPandas(local, schema), "front")
-    block = F.floor(F.monotonically_increasing_id() / BLOCK_ROWS)
-    cand = cut_lineage(cand.withColumn("_block", block), "blocks")
-    blocks = [r._block for r in cand.select("_block").distinct().orderBy("_block").collect()]
-    left = cand
-    for b in blocks:
-        rows = cand.where(F.col("_block") == b).select(*names).toPandas().to_numpy(dtype=float)
-        shared = p.sparkSession.sparkContext.broadcast(rows)
-
-        def against(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pdf[_undominated(pdf[names].to_numpy(dtype=float), shared.value)]
-
-        left = left.mapInPandas(against, f"{schema}, _block long")
-    return left.select(*names)
+    buckets = bucket_count(p)
+    dealt = p.repartitionByRange(buckets, *names).sortWithinPartitions(*names).withColumn("_place", F.spark_partition_id())
+    schema = ", ".join(f"{n} double" for n in names) + ", _place int"
+    left = cut_lineage(dealt.mapInPandas(lambda batches: _stairs(batches, names), schema), "front")
+    both = left.withColumns({"src": F.lit(True), "dst": F.lit(True)})
+    beaten = _beaten(_left_of(both, "_place", _levels(buckets), []), names, names[1:], ["_l0", "_b0"])
+    return left.select(*names).join(beaten, names, "left_anti")
 
 
 def pick_point(front: DataFrame, best: Objective, within: Column | None = None, tie: str | None = None) -> DataFrame:
@@ -128,8 +171,6 @@ def pick_point(front: DataFrame, best: Objective, within: Column | None = None,
 
 def tercile(df: DataFrame, value: str, id_col: str, out: str = "tercile") -> DataFrame:
     """1, 2 or 3 by rank of the value; the first parts take the remainder rows."""
-    from .ordered import row_index
-
     indexed = row_index(df, value, "_i", ties=[F.col(id_col)])
     n = df.count()
     size, extra = divmod(n, 3)

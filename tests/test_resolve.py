@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from trackspark.operators import resolve
+from trackspark.operators.graph import components
 from trackspark.operators.resolve import resolve_shared
 
 
@@ -29,8 +31,10 @@ def _case(r, n_tracks, n_hits):
     return out
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_equals_sequential_loop(spark, seed):
+@pytest.mark.parametrize(("seed", "largest"), [(0, 1_000_000), (1, 20)])
+def test_equals_sequential_loop(spark, seed, largest, monkeypatch):
+    """With components in one task each, all in rounds, and some of both."""
+    monkeypatch.setattr(resolve, "COMPONENT_ROWS", largest)
     r = random.Random(seed)
     # Many independent events at once: each is one random case with colliding ids.
     cases = {ev: _case(r, r.randint(3, 14), r.randint(6, 18)) for ev in range(60)}
@@ -68,3 +72,37 @@ def test_short_branch_dropped_and_disjoint_pair_kept(spark, rows):
     )
     got = rows(resolve_shared(df, 3, 7), "seed_id", "survived")
     assert got == [(1, True), (2, True), (3, False), (4, False)]
+
+
+FRAME = "event_id long, seed_id long, step_k long, cand_hit_id long, is_ckf_selected boolean, chi2_inc double"
+
+
+def test_a_chain_of_two_thousand_branches_ends(spark):
+    n = 2000
+    tracks = {s: ([s, s + 1], float((s * 7919) % n)) for s in range(n)}
+    data = [(0, s, i, h, True, c / 2) for s, (hits, c) in tracks.items() for i, h in enumerate(hits)]
+    left = resolve_shared(spark.createDataFrame(data, FRAME), 1, 2)
+    # A plan of constant size, whatever the number of pops.
+    assert len(left._jdf.queryExecution().toString()) < 60_000
+    alive = {r.seed_id for r in left.collect() if r.survived}
+    assert all(not (s in alive and s + 1 in alive) for s in range(n)) and 600 < len(alive) < 1400
+
+
+def test_hits_listed_twice_are_refused_on_request(spark):
+    df = spark.createDataFrame([(0, 1, 0, 5, True, 1.0), (0, 1, 1, 5, True, 1.0), (0, 2, 0, 5, True, 1.0)], FRAME)
+    assert {(r.seed_id, r.survived) for r in resolve_shared(df, 1, 1).collect()} == {(1, False), (2, True)}
+    with pytest.raises(ValueError, match="twice"):
+        resolve_shared(df, 1, 1, refuse_repeats=True)
+    with pytest.raises(ValueError, match="max_shared"):
+        resolve_shared(df, 0, 1)
+
+
+def test_components_inside_groups(spark):
+    r = random.Random(3)
+    order = list(range(500))
+    r.shuffle(order)
+    links = [(1, a, b) for a, b in zip(order, order[1:])] + [(2, 7, k) for k in range(8, 400)] + [(3, 1, 1), (3, 5, 4)]
+    got = {(g, n): c for g, n, c in components(spark.createDataFrame(links, "g long, x long, y long"), ["g"], "x", "y").collect()}
+    want = {(1, k): 0 for k in range(500)} | {(2, k): 7 for k in range(7, 400)} | {(3, 4): 4, (3, 5): 4}
+    assert got == want
+    assert components(spark.createDataFrame([], "g long, x long, y long"), ["g"], "x", "y").count() == 0

@@ -101,6 +101,20 @@ _FULL = f"""
     FROM (SELECT *, {SENSOR} AS sensor, {eta('state_theta', '1e-10')} AS e FROM fs) s WHERE sensor >= 0 GROUP BY 1, 2, 3, 4, 5, 6)"""
 
 
+#: The cube of the followed branches with their own purity and resolution.
+RESOLVED_CUBE = f"""SELECT * FROM (WITH RECURSIVE
+  defined AS (SELECT * FROM cand WHERE NOT majority_undefined),
+  chosen AS (
+    SELECT event_id, seed_id, branch_id FROM (
+      SELECT event_id, seed_id, branch_id, row_number() OVER (PARTITION BY event_id, seed_id ORDER BY count(*) DESC, branch_id) AS rn
+      FROM defined WHERE is_ckf_selected GROUP BY event_id, seed_id, branch_id) a WHERE rn = 1),
+  used AS (SELECT defined.* FROM defined JOIN chosen USING (event_id, seed_id, branch_id)),
+  pure AS (SELECT event_id, seed_id, bool_and({MEMBER}) AS is_pure FROM {_head("used", "event_id, seed_id", "is_ckf_selected")} h WHERE rn <= 3 GROUP BY 1, 2),
+  RESOLUTION,
+  {_FULL.replace("FROM cand GROUP BY", "FROM used GROUP BY").replace("(st.seed_id + st.event_id) % 3 <> 0 AS is_pure, seed_id % 4 <> 0 AS survived", "coalesce(pure.is_pure, false) AS is_pure, coalesce(resolved.survived, false) AS survived").replace("FROM st LEFT JOIN pt", "FROM st LEFT JOIN pure USING (event_id, seed_id) LEFT JOIN resolved USING (event_id, seed_id) LEFT JOIN pt")}
+  SELECT * FROM cube) z"""
+
+
 def _full(tail: str) -> str:
     return f"SELECT * FROM (WITH {_FULL} {tail}) z"
 
@@ -518,8 +532,40 @@ def _(x):
     return f.bootstrap_multiplicity(_cells(x), 100).groupBy("boot").agg(F.sum("times").alias("draws"))
 
 
-# Sequential by definition, so SQL cannot say it; the tests compare it with a plain loop.
-@check("greedy_shared_hit_resolution", "event_id seed_id survived:b")
+def resolution_sql(rows: str, max_shared: int, min_hits: int) -> str:
+    """Body of a WITH RECURSIVE: ``resolved`` (event_id, seed_id, survived), one branch of each event dropped a step."""
+    return f"""
+      picked AS (SELECT event_id, seed_id, cand_hit_id, chi2_inc FROM {rows} WHERE is_ckf_selected),
+      own AS (SELECT DISTINCT event_id, seed_id, cand_hit_id FROM picked),
+      sized AS (
+        SELECT event_id, seed_id, n, chi2 FROM (SELECT event_id, seed_id, count(*) AS n FROM own GROUP BY 1, 2 HAVING count(*) >= {min_hits}) a
+        JOIN (SELECT event_id, seed_id, sum(chi2_inc) AS chi2 FROM picked GROUP BY 1, 2) b USING (event_id, seed_id)),
+      alive(event_id, seeds) AS (
+        SELECT event_id, list(seed_id) FROM sized GROUP BY event_id
+        UNION ALL
+        SELECT event_id, list_filter(seeds, lambda s: s <> worst.seed_id) FROM (
+          SELECT event_id, any_value(seeds) AS seeds,
+                 list({{'seed_id': seed_id, 'shared': shared}} ORDER BY shared * 1e0 / n DESC, n, chi2 DESC NULLS LAST, seed_id)[1] AS worst
+          FROM (
+            SELECT o.event_id, o.seed_id, any_value(o.seeds) AS seeds, z.n, z.chi2, count(CASE WHEN o.owners > 1 THEN 1 END) AS shared
+            FROM (SELECT a.event_id, a.seeds, w.seed_id, w.cand_hit_id, count(*) OVER (PARTITION BY a.event_id, w.cand_hit_id) AS owners
+                  FROM alive a JOIN own w ON w.event_id = a.event_id AND list_contains(a.seeds, w.seed_id)) o
+            JOIN sized z ON z.event_id = o.event_id AND z.seed_id = o.seed_id
+            GROUP BY o.event_id, o.seed_id, z.n, z.chi2) r
+          GROUP BY event_id) t
+        WHERE worst.shared >= {max_shared}),
+      ends AS (SELECT event_id, arg_min(seeds, len(seeds)) AS seeds FROM alive GROUP BY event_id),
+      resolved AS (
+        SELECT e.event_id, e.seed_id, coalesce(list_contains(ends.seeds, e.seed_id), false) AS survived
+        FROM (SELECT DISTINCT event_id, seed_id FROM {rows}) e LEFT JOIN ends ON ends.event_id = e.event_id)"""
+
+
+@check(
+    "greedy_shared_hit_resolution",
+    "event_id seed_id survived:b",
+    f"SELECT * FROM (WITH RECURSIVE {resolution_sql('cand', 2, 3)} SELECT * FROM resolved) z",
+    "cand",
+)
 def _(x):
     return resolve.resolve_shared(x.cand, max_shared=2, min_hits=3)
 

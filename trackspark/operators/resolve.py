@@ -2,30 +2,40 @@
 
 The rule: while the branch with the highest shared-hit fraction (then fewer
 hits, then larger chi2, then lower id) shares at least ``max_shared`` hits, drop
-it. Written sequentially this is one global priority loop; here whole sets of
-branches are decided per round.
-
-Why a round may decide many at once: a branch's fraction changes only when one of
-its hits drops to a single owner. Look at a shared hit and order its owners by
+it. Written sequentially this is one global priority loop; here the connected
+components of the branch-hit graph run it on their own.
+
+Why components can: a branch's fraction changes only when another owner of one of its
+hits is dropped, so never from another component. Priorities only fall, so the global
+loop is the merge of the components' pops in falling order, and it ends at the first
+popped branch, of any component, that shares too little: at the highest of the
+components' stop keys (the bar). What a component drops above the bar is dropped,
+what it drops below it stays.
+
+A component of more than ``COMPONENT_ROWS`` rows is not given to one task: whole sets of its
+branches are decided per round. Look at a shared hit and order its owners by
 priority. If a branch is not the last of them, then at the moment it is popped the
 hit still has at least two owners, whatever happened to those before it. A branch
 that is last on none of its shared hits is therefore popped with exactly its
-present priority. Priorities never rise, so pops come in falling order and the
-loop stops at the highest priority of a popped branch with too few shared hits
-(the bar): branches below the bar stay, popped branches above it are dropped.
+present priority.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import heapq
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import count_if, true
-from ..session import cut_lineage
+from ..session import cut_lineage, discard, scratch_path
+from .graph import components
 
 BRANCH = ("event_id", "seed_id")
+#: Branch-hit rows of a component that one task resolves.
+COMPONENT_ROWS = 1_000_000
+POPS = "event_id long, seed_id long, fraction double, few long, chi2 double, stop boolean"
 
 
 def branch_hits(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,89 +53,137 @@ def duplicated_hits(rows: DataFrame) -> DataFrame:
     return picked.where(F.col("n") > 1)
 
 
-def resolve_shared(rows: DataFrame, max_shared: int = 3, min_hits: int = 7) -> DataFrame:
+def _key():
+    return F.struct("fraction", "few", "chi2", (-F.col("seed_id")).alias("seed"))
+
+
+def resolve_shared(rows: DataFrame, max_shared: int = 3, min_hits: int = 7, refuse_repeats: bool = False) -> DataFrame:
     """``survived`` for every branch that occurs in ``rows``.
 
-    Each round is two aggregations and two joins over the still undecided part,
-    written to the shared folder so that lineage stays short and lost executors
-    cost one round at most. The undecided branch of highest priority is decided in
-    any round, so the loop ends.
+    A hit that a branch lists twice counts once, or is an error with ``refuse_repeats``.
     """
+    if max_shared < 1:
+        raise ValueError("max_shared must be 1 at least")
+    if refuse_repeats and not duplicated_hits(rows).isEmpty():
+        raise ValueError("some branch lists a hit twice")
     hits, branches = branch_hits(rows)
     long_enough = branches.where(F.col("n_hits") >= min_hits)
-    owned = cut_lineage(
-        hits.join(long_enough, list(BRANCH), "inner").withColumn("fixed", F.lit(False)), "owned"
+    owned = cut_lineage(hits.join(long_enough, list(BRANCH), "inner"), "owned")
+    # Only shared hits matter from here on: a branch without one is popped after all that are dropped.
+    hit = ["event_id", "cand_hit_id"]
+    owners = owned.groupBy(*hit).agg(F.count(F.lit(1)).alias("_n"), F.min("seed_id").alias("_first")).where("_n > 1")
+    shared = cut_lineage(owned.join(cut_lineage(owners, "owners"), hit), "shared")
+    discard(owned)
+    labels = components(shared, ["event_id"], "seed_id", "_first").withColumnRenamed("node", "seed_id")
+    placed = cut_lineage(shared.drop("_n", "_first").join(labels, list(BRANCH)), "placed")
+    sizes = placed.groupBy("event_id", "component").agg(F.count(F.lit(1)).alias("_rows"))
+    giants = cut_lineage(sizes.where(F.col("_rows") > COMPONENT_ROWS).drop("_rows"), "giants")
+    group = ["event_id", "component"]
+    pops = placed.join(giants, group, "left_anti").groupBy(*group).applyInPandas(_pops(max_shared), POPS)
+    if not giants.isEmpty():
+        pops = pops.unionByName(_rounds(placed.join(giants, group, "left_semi").drop("component"), max_shared))
+    keyed = cut_lineage(pops.select(*BRANCH, _key().alias("key"), "stop"), "pops")
+    discard(placed)
+    bar = keyed.where("stop").groupBy("event_id").agg(F.max("key").alias("bar"))
+    gone = keyed.where("NOT stop").join(bar, ["event_id"], "left").where(F.col("bar").isNull() | (F.col("key") > F.col("bar")))
+    keep = long_enough.select(*BRANCH).join(gone.select(*BRANCH), list(BRANCH), "left_anti")
+    everyone = rows.select(*BRANCH).distinct()
+    return everyone.join(keep.withColumn("_k", F.lit(True)), list(BRANCH), "left").select(
+        *BRANCH, F.coalesce("_k", F.lit(False)).alias("survived")
     )
-    evicted: list[DataFrame] = []
-    stops: list[DataFrame] = []
+
+
+def _pops(max_shared: int):
+    """Pops of one component in order, down to the first that shares too little."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        event = int(group["event_id"].iloc[0])
+        hits: dict[int, list[int]] = {}
+        owners: dict[int, set[int]] = {}
+        for s, h in zip(group["seed_id"].tolist(), group["cand_hit_id"].tolist(), strict=True):
+            hits.setdefault(s, []).append(h)
+            owners.setdefault(h, set()).add(s)
+        facts = group.drop_duplicates("seed_id").set_index("seed_id")
+        size, chi2 = facts["n_hits"].to_dict(), facts["chi2_sum"].to_dict()
+        shared = {s: len(h) for s, h in hits.items()}
+
+        def entry(s: int) -> tuple:
+            # The largest priority first; a missing chi2 is the smallest.
+            c = chi2[s]
+            return (-shared[s] / size[s], size[s], (1, 0.0) if c is None or c != c else (0, -c), s, shared[s])
+
+        heap = [entry(s) for s in hits]
+        heapq.heapify(heap)
+        out: list[tuple] = []
+        gone: set[int] = set()
+        while heap:
+            *_, s, n = heapq.heappop(heap)
+            if s in gone or n != shared[s]:
+                continue
+            out.append((event, s, shared[s] / size[s], -size[s], chi2[s], n < max_shared))
+            if n < max_shared:
+                break
+            gone.add(s)
+            for h in hits[s]:
+                left = owners[h]
+                left.discard(s)
+                if len(left) == 1:
+                    (other,) = left
+                    shared[other] -= 1
+                    heapq.heappush(heap, entry(other))
+        return pd.DataFrame(out, columns=["event_id", "seed_id", "fraction", "few", "chi2", "stop"])
+
+    return run
+
+
+def _rounds(owned: DataFrame, max_shared: int) -> DataFrame:
+    """Pops of components of any size, as ``POPS``; a table of constant plan size.
+
+    Each round is two aggregations and two joins over the hits that some undecided branch still shares.
+    The undecided branch of highest priority is decided in any round, so the loop ends.
+    """
+    spark = owned.sparkSession
+    found = scratch_path(spark, "pops")
+    spark.createDataFrame([], POPS).write.parquet(found)
+    owned = cut_lineage(owned.withColumn("fixed", F.lit(False)), "owned")
     while True:
-        state = cut_lineage(_round(owned, _bar(stops)), "decided")
-        counts = state.agg(
-            count_if(F.col("decided")).alias("n"), count_if(~F.col("decided")).alias("left")
-        ).first()
-        if counts.n == 0:
-            break
-        low = F.col("shared") < max_shared
-        stops.append(state.where(F.col("decided") & low).select(*BRANCH, "key"))
-        evicted.append(state.where(F.col("decided") & ~low).select(*BRANCH, "key"))
-        if counts.left == 0:
-            break
+        bar = spark.read.schema(POPS).parquet(found).where("stop").groupBy("event_id").agg(F.max(_key()).alias("bar"))
+        state = cut_lineage(_round(owned, bar), "decided")
+        decided = state.where("decided").withColumn("stop", F.col("shared") < max_shared)
+        decided.select("event_id", "seed_id", "fraction", F.col("few").cast("long").alias("few"), "chi2", "stop").write.mode("append").parquet(found)
+        counts = state.agg(count_if(F.col("decided")).alias("n"), count_if(~F.col("decided")).alias("left")).first()
+        if not counts.n or not counts.left:
+            return spark.read.schema(POPS).parquet(found)
         # Popped branches give up their hits; those that stop keep theirs but are settled.
-        settled = stops[-1].select(*BRANCH).withColumn("_now", F.lit(True))
+        evicted = decided.where("NOT stop").select(*BRANCH)
+        settled = decided.where("stop").select(*BRANCH, F.lit(True).alias("_now"))
         rest = (
-            owned.join(evicted[-1].select(*BRANCH), list(BRANCH), "left_anti")
+            owned.join(evicted, list(BRANCH), "left_anti")
             .join(settled, list(BRANCH), "left")
             .withColumn("fixed", F.col("fixed") | F.coalesce("_now", F.lit(False)))
             .drop("_now")
         )
-        owned = cut_lineage(rest, "owned")
-    everyone = rows.select(*BRANCH).distinct()
-    keep = long_enough.select(*BRANCH)
-    if evicted:
-        bar = _bar(stops)
-        gone = reduce(DataFrame.unionByName, evicted).join(bar, ["event_id"], "left")
-        gone = gone.where(F.col("bar").isNull() | (F.col("key") > F.col("bar")))
-        keep = keep.join(gone.select(*BRANCH), list(BRANCH), "left_anti")
-    return everyone.join(keep.withColumn("_k", F.lit(True)), list(BRANCH), "left").select(
-        *BRANCH, F.coalesce("_k", F.lit(False)).alias("survived")
+        live = rest.groupBy("event_id", "cand_hit_id").agg(F.count(F.lit(1)).alias("_n"), F.bool_and("fixed").alias("_done"))
+        live = live.where("_n > 1 AND NOT _done").select("event_id", "cand_hit_id")
+        smaller = cut_lineage(rest.join(live, ["event_id", "cand_hit_id"], "left_semi"), "owned")
+        discard(owned)
+        discard(state)
+        owned = smaller
+
+
+def _round(owned: DataFrame, bar: DataFrame) -> DataFrame:
+    """Present priority of each undecided branch and whether it can be decided now. All hits of ``owned`` are shared."""
+    per_branch = owned.groupBy(*BRANCH).agg(
+        F.count(F.lit(1)).alias("shared"), F.max("n_hits").alias("n_hits"), F.max("chi2_sum").alias("chi2"), F.max("fixed").alias("fixed")
     )
-
-
-def _bar(stops: list[DataFrame]) -> DataFrame | None:
-    """Highest priority at which each event's loop would have stopped so far."""
-    if not stops:
-        return None
-    return reduce(DataFrame.unionByName, stops).groupBy("event_id").agg(F.max("key").alias("bar"))
-
-
-def _round(owned: DataFrame, bar: DataFrame | None) -> DataFrame:
-    """Present priority of each undecided branch and whether it can be decided now."""
-    owners = owned.groupBy("event_id", "cand_hit_id").agg(F.count(F.lit(1)).alias("_owners"))
-    shared_hits = owners.where(F.col("_owners") > 1).select("event_id", "cand_hit_id")
-    tagged = owned.join(shared_hits.withColumn("_s", F.lit(True)), ["event_id", "cand_hit_id"], "left")
-    per_branch = tagged.groupBy(*BRANCH).agg(
-        count_if(F.col("_s")).alias("shared"),
-        F.max("n_hits").alias("n_hits"),
-        F.max("chi2_sum").alias("chi2_sum"),
-        F.max("fixed").alias("fixed"),
-    )
-    key = F.struct(
-        (F.col("shared") / F.col("n_hits")).alias("fraction"),
-        (-F.col("n_hits")).alias("few"),
-        F.col("chi2_sum").alias("chi2"),
-        (-F.col("seed_id")).alias("seed"),
-    )
-    ranked = per_branch.withColumn("key", key)
-    if bar is not None:
-        # Below the bar nothing is ever popped again.
-        ranked = (
-            ranked.join(bar, ["event_id"], "left")
-            .withColumn("fixed", F.col("fixed") | F.coalesce(F.col("key") < F.col("bar"), F.lit(False)))
-            .drop("bar")
-        )
-    on_hit = tagged.where("_s").select(*BRANCH, "cand_hit_id").join(
-        ranked.select(*BRANCH, "key", "fixed"), list(BRANCH), "inner"
+    ranked = per_branch.withColumns({"fraction": F.col("shared") / F.col("n_hits"), "few": -F.col("n_hits")}).withColumn("key", _key())
+    # Below the bar nothing is ever popped again.
+    ranked = (
+        ranked.join(bar, ["event_id"], "left")
+        .withColumn("fixed", F.col("fixed") | F.coalesce(F.col("key") < F.col("bar"), F.lit(False)))
+        .drop("bar")
     )
+    on_hit = owned.select(*BRANCH, "cand_hit_id").join(ranked.select(*BRANCH, "key"), list(BRANCH), "inner")
     last = on_hit.groupBy("event_id", "cand_hit_id").agg(F.min("key").alias("_last"))
     blocked = (
         on_hit.join(last, ["event_id", "cand_hit_id"], "inner")
@@ -138,5 +196,5 @@ def _round(owned: DataFrame, bar: DataFrame | None) -> DataFrame:
         ranked.where(~F.col("fixed"))
         .join(blocked, list(BRANCH), "left")
         .withColumn("decided", F.col("_blocked").isNull())
-        .drop("_blocked", "fixed")
+        .drop("_blocked", "fixed", "key")
     )

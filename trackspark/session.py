@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,9 +51,35 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+#: Scratch paths handed out inside each open ``scratch_scope``.
+_open_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, never reused path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for scope in _open_scopes:
+        scope.append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the scratch tables made inside; results must be written elsewhere by then."""
+    made: list[str] = []
+    _open_scopes.append(made)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(made)
+        for path in made:
+            delete_path(spark, path)
 
 
 def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -64,3 +92,9 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     # Written and read once or twice: a fast codec beats a dense one here.
     df.write.mode("overwrite").option("compression", "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing will read again."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        delete_path(df.sparkSession, folder)

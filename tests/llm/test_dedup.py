@@ -97,6 +97,21 @@ def repeated_texts(seed):
     return out
 
 
+@pytest.mark.parametrize("length", [64, 99, 256, 301])
+def test_repeats_of_other_lengths(spark, tmp_path, length):
+    texts = repeated_texts(length)
+    df = stored(spark, docs_of(spark, texts), tmp_path)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.repeat_digests(df, from_files=True, length=length).collect()}
+    assert got == dict(enumerate(repeats(texts, length)))
+
+
+def test_a_very_long_text_repeats_inside(spark):
+    rnd = random.Random(2)
+    body = "".join(rnd.choices("abcdefghijklmnop qrstuvwxyz", k=3_000_000))
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.repeat_digests(docs_of(spark, [body + body[1000:2500], "short"])).collect()}
+    assert got == {0: 3000, 1: 0}
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 @pytest.mark.parametrize("from_files", [True, False])
 def test_repeats_match_brute_force(spark, tmp_path, seed, from_files):

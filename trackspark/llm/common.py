@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import cut_lineage, scratch_path
+from ..session import cut_lineage, discard, scratch_path
 
-__all__ = ["bucketed", "cut_lineage", "discard", "drawn", "fresh_name", "map_batches", "numbered", "table", "utf8"]
+__all__ = ["bucketed", "cut_lineage", "discard", "drawn", "fresh_name", "keyed", "map_batches", "numbered", "table", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,19 @@ def numbered(df: DataFrame, label: str, **extra) -> tuple[DataFrame, str]:
     return cut_lineage(df.withColumns({uid: F.monotonically_increasing_id(), **extra}), label), uid
 
 
+def keyed(df: DataFrame, from_files: bool, label: str = "documents") -> tuple[DataFrame, str]:
+    """``df`` with a key of its own for each row: the file and the row's place in it, or a stored number.
+
+    ``from_files``: ``df`` is a table of Parquet files as Spark reads it. Such a row keeps
+    its key however the files are split or read again, and nothing is written.
+    """
+    if not from_files:
+        return numbered(df, label)
+    uid = fresh_name(df, "uid")
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return df.withColumn(uid, place), uid
+
+
 def bucketed(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     """``df`` written once in buckets of ``keys``, so that later joins on them leave its rows where they are."""
     spark = df.sparkSession
@@ -47,14 +60,6 @@ def bucketed(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     return spark.table(name)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a stored table that nothing will read again."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: StructType | str) -> DataFrame:
     """``mapInArrow`` with a function of one record batch."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,9 @@ def component_roots(links: DataFrame) -> DataFrame:
     )
     state = _state(edges)
     while state[0]:
-        edges = cut_lineage(_small_star(_large_star(edges)), "links")
+        smaller = cut_lineage(_small_star(_large_star(edges)), "links")
+        discard(edges)
+        edges = smaller
         before, state = state, _state(edges)
         if before == state:
             break

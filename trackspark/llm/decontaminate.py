@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, fresh_name, numbered
+from .common import cut_lineage, discard, fresh_name, keyed
 
 #: What lies between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -92,8 +92,7 @@ def _places(docs: DataFrame, uid: str, keep: list[str], text: str, shingles: Dat
 def window_hits(docs: DataFrame, items: DataFrame, uid: str, keep: list[str], text: str, item_id: str, item_text: str, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(uid, keep..., n_words) of all documents, (uid, start, len, w) of all occurrences, and (w, item).
 
-    ``uid`` must tell rows apart; ``docs`` is read once for each million benchmark
-    shingles, so that it must be stored where there are more.
+    ``uid`` must tell rows apart and be the same each time ``docs`` is read, once for each million benchmark shingles.
     """
     windows, owners = item_windows(items, item_id, item_text, window)
     # A row for each shingle of each window.
@@ -131,7 +130,8 @@ def _covered(hits: DataFrame, uid: str) -> DataFrame:
 
 
 def contamination(
-    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
+    from_files: bool = False,
 ) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``docs``.
 
@@ -139,10 +139,11 @@ def contamination(
     none, is one window. Null texts have no words: such documents are clean, such items
     match nothing. Items of one id count once, a null id as an item with an empty name.
     Repeated rows each give a row; other columns are not read; an empty table gives no
-    rows, an empty benchmark leaves all clean.
+    rows, an empty benchmark leaves all clean. A text needs a few times its bytes in a task.
+    ``from_files``: ``docs`` is a table of Parquet files as Spark reads it, whose rows need no number of their own.
     """
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    stored = plain.withColumn("uid", F.monotonically_increasing_id())
+    rows, uid = keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), from_files)
+    stored = rows.withColumnRenamed(uid, "uid")
     all_docs, hits, owners = window_hits(stored, items, "uid", ["doc_id"], "text", item_id, item_text, window)
     hits = cut_lineage(hits, "hits")
     named = hits.select("uid", "w").distinct().join(owners, "w").select("uid", "item").distinct()
@@ -156,11 +157,17 @@ def contamination(
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` in which no window of an item occurs, with all their columns."""
-    stored, uid = numbered(docs, "documents")
-    plain = stored.select(F.col(uid).alias("uid"), F.col(text).alias("text"))
-    _, hits, _ = window_hits(plain, items, "uid", [], "text", item_id, item_text, window)
-    bad = fresh_name(stored, "bad")
-    hit = hits.select(F.col("uid").alias(bad)).distinct()
-    return stored.join(hit, stored[uid] == hit[bad], "left_anti").drop(uid)
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, from_files: bool = False
+) -> DataFrame:
+    """The rows of ``docs`` in which no window of an item occurs, with all their columns.
+
+    ``from_files``: ``docs`` is a table of Parquet files as Spark reads it, whose rows need no number of their own.
+    """
+    rows, uid = keyed(docs, from_files)
+    plain = rows.select(F.col(uid).alias("uid"), F.col(text).alias("text"))
+    all_docs, hits, _ = window_hits(plain, items, "uid", [], "text", item_id, item_text, window)
+    bad = fresh_name(rows, "bad")
+    hit = cut_lineage(hits.select(F.col("uid").alias(bad)).distinct(), "leaks")
+    discard(all_docs)
+    return rows.join(hit, rows[uid] == hit[bad], "left_anti").drop(uid)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, fresh_name, map_batches, numbered, utf8
+from .common import cut_lineage, discard, fresh_name, keyed, map_batches, utf8
 from .components import component_roots
 
 BITS = 64
@@ -210,7 +210,9 @@ def near_links(words: DataFrame, radius: int = 3) -> DataFrame:
 def _roots(prints: DataFrame, radius: int) -> DataFrame:
     """(fp, root) for each fingerprint with a link; ``prints`` is a stored table."""
     words = cut_lineage(prints.select("fp").distinct(), "fingerprints")
-    return component_roots(near_links(words, radius)).withColumnRenamed("node", "fp")
+    roots = component_roots(near_links(words, radius)).withColumnRenamed("node", "fp")
+    discard(words)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
@@ -231,16 +233,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 3, from_files: bool = False) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id, of repeated rows the first stored.
 
     Rows without an id come last in that order. All columns are kept as they are.
+    ``from_files``: ``docs`` is a table of Parquet files as Spark reads it, whose rows need no number of their own.
     """
-    stored, uid = numbered(docs, "documents")
-    plain = stored.select(F.col(uid).alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows, uid = keyed(docs, from_files)
+    plain = rows.select(F.col(uid).alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     prints = cut_lineage(fingerprints(plain, ["uid", "doc_id"]), "prints")
     roots = _roots(prints, radius)
     order = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first")
     by_print = prints.groupBy("fp").agg(order).join(roots, "fp", "left")
-    kept = by_print.groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first")).select(F.col("first.uid").alias(fresh_name(stored, "kept")))
-    return stored.join(kept, stored[uid] == kept[kept.columns[0]], "left_semi").drop(uid)
+    first = by_print.groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
+    kept = cut_lineage(first.select(F.col("first.uid").alias(fresh_name(rows, "kept"))), "kept")
+    discard(prints)
+    # One plan at every size: ids are matched where the rows are dealt by them.
+    return rows.join(kept.hint("merge"), rows[uid] == kept[kept.columns[0]], "left_semi").drop(uid)

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -32,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import bucketed, cut_lineage, discard, map_batches, numbered, utf8
 
@@ -39,9 +41,6 @@ LENGTH = 400
 TRIGGER = 16
 #: One place in so many is a trigger; the second, denser kind serves starts that have none of the first in reach.
 SPARSITY = (128, 32)
-REACH = LENGTH - TRIGGER
-BLOCK = (REACH + 3) // 3
-CORE = LENGTH - BLOCK + 1
 #: Starts in the blocks that an undecided block is cut into, from step to step.
 CUTS = (16, 1)
 #: Bytes of text that are parsed together.
@@ -53,6 +52,29 @@ BLOCK_COLUMNS = ["core", "cover", "n", "lo", "hi", "at"]
 BLOCK_TYPE = ", ".join(f"{c} bigint" for c in [*BLOCK_COLUMNS, *KEY])
 
 
+@dataclass(frozen=True)
+class Shape:
+    """Sizes that follow from the length of a repeated string, in bytes."""
+
+    length: int = LENGTH
+
+    def __post_init__(self):
+        if self.length < 4 * TRIGGER:
+            raise ValueError(f"strings of {4 * TRIGGER} bytes at least")
+
+    @property
+    def reach(self) -> int:
+        return self.length - TRIGGER
+
+    @property
+    def block(self) -> int:
+        return (self.reach + 3) // 3
+
+    @property
+    def core(self) -> int:
+        return self.length - self.block + 1
+
+
 def rolling(data: np.ndarray) -> np.ndarray:
     """A 32-bit hash of the ``TRIGGER`` bytes from each place on."""
     if len(data) < TRIGGER:
@@ -68,26 +90,26 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def anchored(t: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+def anchored(t: np.ndarray, lo: np.ndarray, hi: np.ndarray, reach: int):
     """Deal ranges of starts (lo to hi) to the first of the triggers ``t`` at or after each start, if it is in reach.
 
     Gives (range, trigger, first start, last start) arrays, and (range, first, last) of the starts left over.
     """
-    a, b = np.searchsorted(t, lo), np.searchsorted(t, hi + REACH, "right")
+    a, b = np.searchsorted(t, lo), np.searchsorted(t, hi + reach, "right")
     n = b - a
     of = np.repeat(np.arange(len(lo)), n)
     k = a[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
     at = t[k]
     after = np.where(k == a[of], lo[of], t[k - 1] + 1)
-    first, last = np.maximum(after, at - REACH), np.minimum(at, hi[of])
+    first, last = np.maximum(after, at - reach), np.minimum(at, hi[of])
     ok = first <= last
     behind = np.where(n > 0, t[b - 1] + 1, lo) if len(t) else lo
-    rest = np.concatenate((of, np.arange(len(lo)))), np.concatenate((after, behind)), np.concatenate((np.minimum(at - REACH - 1, hi[of]), hi))
+    rest = np.concatenate((of, np.arange(len(lo)))), np.concatenate((after, behind)), np.concatenate((np.minimum(at - reach - 1, hi[of]), hi))
     left = rest[1] <= rest[2]
     return (of[ok], at[ok], first[ok], last[ok]), tuple(r[left] for r in rest)
 
 
-def parse(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def parse(texts: list[bytes], shape: Shape = Shape()) -> Iterator[tuple[list[int], list[int], int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of the texts in turn: digests of core and cover, times seen, text number, first and last start in it, end of the block.
 
     Times seen is one, or two where this very call has met the string again; zero marks
@@ -99,44 +121,48 @@ def parse(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], int, np.nd
         while stop < len(texts) and (stop == at or size + len(texts[stop]) <= TOGETHER):
             size += len(texts[stop])
             stop += 1
-        yield from _parse_joined(texts[at:stop], at)
+        yield from _parse_joined(texts[at:stop], at, shape)
         at = stop
 
 
-def _parse_joined(texts: list[bytes], first_text: int):
+def _parse_joined(texts: list[bytes], first_text: int, shape: Shape):
+    length, reach, block, inner = shape.length, shape.reach, shape.block, shape.core
     data = b"".join(texts)
     end = np.cumsum([len(t) for t in texts])
     start = end - [len(t) for t in texts]
     hashes = rolling(np.frombuffer(data, np.uint8))
     digest = xxhash.xxh3_64_intdigest
-    doc = np.flatnonzero(end - start >= LENGTH)
-    lo, hi = start[doc], end[doc] - LENGTH
+    doc = np.flatnonzero(end - start >= length)
+    lo, hi = start[doc], end[doc] - length
     for level, sparsity in enumerate(SPARSITY):
         if not len(lo):
             return
         t = np.flatnonzero(hashes < np.uint32((1 << 32) // sparsity))
-        (of, at, first, last), (left, r_lo, r_hi) = anchored(t, lo, hi)
-        for j in range(-(-(REACH + 1) // BLOCK)):
-            a = at - BLOCK * j
-            b_lo, b_hi = np.maximum(first, a - BLOCK + 1), np.minimum(last, a)
+        (of, at, first, last), (left, r_lo, r_hi) = anchored(t, lo, hi, reach)
+        for j in range(-(-(reach + 1) // block)):
+            a = at - block * j
+            b_lo, b_hi = np.maximum(first, a - block + 1), np.minimum(last, a)
             ok = b_lo <= b_hi
             a, b_lo, b_hi, d = a[ok], b_lo[ok], b_hi[ok], doc[of[ok]]
-            core = [digest(data[x : x + CORE], 8 * level + j) for x in a.tolist()]
-            shape = ((a - b_lo) * BLOCK + (a - b_hi)).tolist()
-            cover = [digest(data[x : y + LENGTH], s) for x, y, s in zip(b_lo.tolist(), b_hi.tolist(), shape, strict=True)]
+            core = [digest(data[x : x + inner], 8 * level + j) for x in a.tolist()]
+            cut = ((a - b_lo) * block + (a - b_hi)).tolist()
+            cover = [digest(data[x : y + length], s) for x, y, s in zip(b_lo.tolist(), b_hi.tolist(), cut, strict=True)]
             yield core, cover, 1, d + first_text, b_lo - start[d], b_hi - start[d], a - start[d]
         doc, lo, hi = doc[left], r_lo, r_hi
     # What is left is periodic as a rule: its strings recur nearby, and one row for each different string will do.
     for a, b in _slices(hi - lo + 1):
         p = np.concatenate([np.arange(x, y + 1) for x, y in zip(lo[a:b].tolist(), hi[a:b].tolist(), strict=True)])
         d = np.repeat(doc[a:b], hi[a:b] - lo[a:b] + 1)
-        alone = np.fromiter((digest(data[i : i + LENGTH], 99) for i in p.tolist()), np.uint64, len(p))
-        kinds, first, kind, count = np.unique(alone, return_index=True, return_inverse=True, return_counts=True)
+        # Two halves of one 128-bit digest: nothing but a digest tells these strings apart.
+        halves = np.empty(len(p), [("core", np.uint64), ("cover", np.uint64)])
+        for k, i in enumerate(p.tolist()):
+            both = xxhash.xxh3_128_intdigest(data[i : i + length], 99)
+            halves[k] = both >> 64, both & 0xFFFFFFFFFFFFFFFF
+        kinds, first, kind, count = np.unique(halves, return_index=True, return_inverse=True, return_counts=True)
         for n in (1, 2):
             some = first[np.minimum(count, 2) == n]
-            one = alone[some].tolist()
             at = p[some] - start[d[some]]
-            yield one, one, n, d[some] + first_text, at, at, at
+            yield halves["core"][some], halves["cover"][some], n, d[some] + first_text, at, at, at
         p, d = p[count[kind] > 1], d[count[kind] > 1]
         cuts = np.flatnonzero(np.concatenate(([True], (np.diff(p) != 1) | (np.diff(d) != 0)))) if len(p) else p
         x, y, d = p[cuts], p[np.concatenate((cuts[1:], [len(p)])) - 1] if len(p) else p, d[cuts]
@@ -156,19 +182,22 @@ def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [batch.column(k) for k in KEY]
-        for core, cover, n, doc, lo, hi, at in parse(utf8(batch.column("text"))):
-            if len(doc):
-                digests = [np.array(x, np.uint64).view(np.int64) for x in (core, cover)]
-                cols = [*digests, np.full(len(doc), n), *(x.astype(np.int64) for x in (lo, hi, at))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols] + [k.take(pa.array(doc)) for k in keys], [*BLOCK_COLUMNS, *KEY])
+def _blocks(shape: Shape):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [batch.column(k) for k in KEY]
+            for core, cover, n, doc, lo, hi, at in parse(utf8(batch.column("text")), shape):
+                if len(doc):
+                    digests = [np.array(x, np.uint64).view(np.int64) for x in (core, cover)]
+                    cols = [*digests, np.full(len(doc), n), *(x.astype(np.int64) for x in (lo, hi, at))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols] + [k.take(pa.array(doc)) for k in keys], [*BLOCK_COLUMNS, *KEY])
 
+    return run
 
-def _smaller(size: int):
+
+def _smaller(shape: Shape, size: int):
     """Cut undecided blocks (``open``: lo, hi, at) into blocks of ``size`` starts, counted from the block's end."""
-    core = LENGTH - size + 1
+    core = shape.length - size + 1
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         digest = xxhash.xxh3_64_intdigest
@@ -179,7 +208,7 @@ def _smaller(size: int):
                 for k in range((b["at"] - b["hi"]) // size, (b["at"] - b["lo"]) // size + 1):
                     at = b["at"] - k * size
                     lo, hi = max(b["lo"], at - size + 1), min(b["hi"], at)
-                    cover = digest(text[lo : hi + LENGTH], (at - lo) * size + (at - hi))
+                    cover = digest(text[lo : hi + shape.length], (at - lo) * size + (at - hi))
                     for col, v in zip(cols, (digest(text[at : at + core], 1000 + k), cover, 1, lo, hi, at), strict=True):
                         col.append(v)
                     where.append(i)
@@ -191,40 +220,44 @@ def _smaller(size: int):
 
 
 def _decided(blocks: DataFrame) -> DataFrame:
-    """Blocks that may repeat, stored: ``alike`` ones repeat whole, ``open`` ones are to be cut further.
+    """Blocks that may repeat, stored: ``alike`` ones repeat whole, ``open`` ones are to be cut further. ``blocks`` is a stored table, deleted here.
 
     Of a core with covers of several kinds, the blocks of a kind that is there once are
     open, and of each other kind one block is both, to be met by them.
     """
     real = blocks.filter("n > 0")
-    # Copies meet on the way, so that a core of many blocks is a few rows when it is counted.
+    # Copies meet on the way, so that a core of many blocks is a few rows when it is counted. Counts are stored
+    # before they are joined: then Spark can deal the blocks of a hot core over several tasks.
     cores = real.groupBy("core").agg(F.sum("n").alias("all"), F.min("cover").alias("a"), F.max("cover").alias("b")).filter("all > 1")
-    met = real.join(cores.select("core", (F.col("a") == F.col("b")).alias("alike")), "core").select("core", "cover", "lo", "hi", "at", *KEY, "alike")
-    met = cut_lineage(met, "met")
+    cores = cut_lineage(cores.select("core", (F.col("a") == F.col("b")).alias("alike")), "cores")
+    met = cut_lineage(real.join(cores, "core").select("core", "cover", "lo", "hi", "at", *KEY, "alike"), "met")
     mixed = met.filter("NOT alike").drop("alike")
     one = F.struct(*KEY, "lo")
-    kinds = mixed.groupBy("core", "cover").agg(F.count(F.lit(1)).alias("members"), F.min(one).alias("first"))
+    kinds = cut_lineage(mixed.groupBy("core", "cover").agg(F.count(F.lit(1)).alias("members"), F.min(one).alias("first")), "kinds")
     sorted_out = mixed.join(kinds, ["core", "cover"]).select(
         "lo", "hi", "at", *KEY, (F.col("members") > 1).alias("alike"), ((F.col("members") == 1) | (F.col("first") == one)).alias("open")
     )
     sure = F.lit(True).alias("alike"), F.lit(False).alias("open")
     rest = met.filter("alike").select("lo", "hi", "at", *KEY, *sure).union(blocks.filter("n = 0").select("lo", "hi", "at", *KEY, *sure))
-    return cut_lineage(sorted_out.union(rest), "decided")
+    decided = cut_lineage(sorted_out.union(rest), "decided")
+    for done in (cores, met, kinds, blocks):
+        discard(done)
+    return decided
 
 
-def merged(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merged(starts: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal (begin, end) runs of bytes covered by strings whose starts lie in the given (first, last) ranges."""
     runs: list[list[int]] = []
     for lo, hi in sorted(starts):
         if runs and lo <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], hi + LENGTH)
+            runs[-1][1] = max(runs[-1][1], hi + length)
         else:
-            runs.append([lo, hi + LENGTH])
+            runs.append([lo, hi + length])
     return [(a, b) for a, b in runs]
 
 
-def _remains(text: bytes, ranges: list[dict]) -> tuple[bytes, list[tuple[int, int]]]:
-    runs = merged([(r["lo"], r["hi"]) for r in ranges])
+def _remains(text: bytes, ranges: list[dict], length: int) -> tuple[bytes, list[tuple[int, int]]]:
+    runs = merged([(r["lo"], r["hi"]) for r in ranges], length)
     kept, at = [], 0
     for a, b in runs:
         kept.append(text[at:a])
@@ -232,7 +265,7 @@ def _remains(text: bytes, ranges: list[dict]) -> tuple[bytes, list[tuple[int, in
     return b"".join([*kept, text[at:]]), runs
 
 
-def _resolved(docs: DataFrame, text: str, keep: list[str], from_files: bool) -> tuple[DataFrame, DataFrame]:
+def _resolved(docs: DataFrame, text: str, keep: list[str], from_files: bool, shape: Shape) -> tuple[DataFrame, DataFrame]:
     """Rows (``row``: struct of ``keep``, and text) without a repeat, and rows with the ranges of their repeated starts."""
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
     if from_files:
@@ -241,10 +274,9 @@ def _resolved(docs: DataFrame, text: str, keep: list[str], from_files: bool) ->
     else:
         stored, uid = numbered(docs, "documents")
         keyed = stored.select(F.lit(0).cast("long").alias("u1"), F.col(uid).alias("u2"), row, F.col(text).alias("text"))
-    long_enough = keyed.filter(F.octet_length("text") >= LENGTH).select(*KEY, "text")
-    blocks = cut_lineage(long_enough.mapInArrow(_blocks, BLOCK_TYPE), "blocks")
+    long_enough = keyed.filter(F.octet_length("text") >= shape.length).select(*KEY, "text")
+    blocks = cut_lineage(long_enough.mapInArrow(_blocks(shape), BLOCK_TYPE), "blocks")
     steps = [_decided(blocks)]
-    discard(blocks)
     # The texts that may hold a repeat are set apart and kept in buckets: all later steps read only them, and in place.
     marks = cut_lineage(steps[0].select(*KEY).distinct(), "marks").withColumn("marked", F.lit(True))
     if marks.count() <= MARKED:
@@ -254,58 +286,70 @@ def _resolved(docs: DataFrame, text: str, keep: list[str], from_files: bool) ->
     for size in CUTS:
         undecided = steps[-1].filter("open").groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi", "at")).alias("open"))  # of one text
         texts = touched.select(*KEY, "text").join(undecided, KEY)
-        steps.append(_decided(cut_lineage(map_batches(texts, _smaller(size), BLOCK_TYPE), "smaller")))
+        steps.append(_decided(cut_lineage(map_batches(texts, _smaller(shape, size), BLOCK_TYPE), "smaller")))
     ranges = reduce(DataFrame.union, [s.filter("alike").select("lo", "hi", *KEY) for s in steps])
-    listed = ranges.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))  # of one text
+    listed = cut_lineage(ranges.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")  # of one text
+    for step in steps:
+        discard(step)
     found = touched.join(listed, KEY, "left").select("row", "text", F.coalesce("ranges", F.array().cast("array<struct<lo:bigint,hi:bigint>>")).alias("ranges"))
     return told.filter("marked IS NULL").select("row", "text"), found
 
 
-def _digests(batch: pa.RecordBatch) -> pa.RecordBatch:
-    size, removed, spans, sha = [], [], [], []
-    for text, ranges in zip(utf8(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
-        kept, runs = _remains(text, ranges)
-        size.append(len(text))
-        removed.append(len(text) - len(kept))
-        spans.append(len(runs))
-        sha.append(hashlib.sha256(kept).hexdigest())
-    cols = [batch.column("row"), *(pa.array(c, pa.int64()) for c in (size, removed, spans)), pa.array(sha, pa.string())]
-    return pa.RecordBatch.from_arrays(cols, ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _digests(shape: Shape):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        size, removed, spans, sha = [], [], [], []
+        for text, ranges in zip(utf8(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
+            kept, runs = _remains(text, ranges, shape.length)
+            size.append(len(text))
+            removed.append(len(text) - len(kept))
+            spans.append(len(runs))
+            sha.append(hashlib.sha256(kept).hexdigest())
+        cols = [batch.column("row"), *(pa.array(c, pa.int64()) for c in (size, removed, spans)), pa.array(sha, pa.string())]
+        return pa.RecordBatch.from_arrays(cols, ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return run
 
 
-def _shortened(batch: pa.RecordBatch) -> pa.RecordBatch:
-    both = zip(utf8(batch.column("text")), batch.column("ranges").to_pylist(), strict=True)
-    kept = [_remains(text, ranges)[0].decode("utf-8", "ignore") for text, ranges in both]
-    return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], ["row", "text"])
+def _shortened(shape: Shape):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        both = zip(utf8(batch.column("text")), batch.column("ranges").to_pylist(), strict=True)
+        kept = [_remains(text, ranges, shape.length)[0].decode("utf-8", "ignore") for text, ranges in both]
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], ["row", "text"])
+
+    return run
 
 
-def _type(df: DataFrame, name: str) -> str:
-    return df.schema[name].dataType.simpleString()
+def _with_row(df: DataFrame, others: str) -> StructType:
+    """A schema of the column ``row`` as it is in ``df``, and ``others``."""
+    return StructType([df.schema["row"], *StructType.fromDDL(others)])
 
 
-def repeat_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", from_files: bool = False) -> DataFrame:
+def repeat_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", from_files: bool = False, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, for the bytes covered by a repeated string.
 
-    A null text is empty. Texts under 400 bytes hold no such string. Repeated rows of
-    at least 400 bytes repeat each other and lose everything, as copies do. Other
-    columns are not read; an empty table gives no rows. ``from_files``: ``docs`` is a
+    A null text is empty. Texts under ``length`` bytes hold no such string. Repeated rows of
+    at least that many bytes repeat each other and lose everything, as copies do. A very long text needs a few
+    times its bytes in one task. Other columns are not read; an empty table gives no rows. ``from_files``: ``docs`` is a
     table of Parquet files as Spark reads it, whose rows need no number of their own.
     """
-    clean, found = _resolved(docs, text, [doc_id], from_files)
-    changed = map_batches(found, _digests, f"row {_type(found, 'row')}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    shape = Shape(length)
+    clean, found = _resolved(docs, text, [doc_id], from_files, shape)
+    changed = map_batches(found, _digests(shape), _with_row(found, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"))
     whole, none = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
     same = clean.select("row", F.octet_length(whole).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"))
     return changed.unionByName(same).select(F.col(f"row.`{doc_id}`").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", from_files: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", from_files: bool = False, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated bytes taken out of ``text``; all other columns and all rows stay.
 
     What is left of a character that was cut through goes too, so that the text stays
-    valid UTF-8. Unchanged texts, null ones too, are passed on as they are.
+    valid UTF-8. Unchanged texts, null ones too, are passed on as they are. A very long text
+    needs a few times its bytes in one task.
     """
     keep = [c for c in docs.columns if c != text]
-    same, found = _resolved(docs, text, keep, from_files)
-    changed = map_batches(found, _shortened, f"row {_type(found, 'row')}, text string")
+    shape = Shape(length)
+    same, found = _resolved(docs, text, keep, from_files, shape)
+    changed = map_batches(found, _shortened(shape), _with_row(found, "text string"))
     named: dict[str, Column] = {c: F.col("text") if c == text else F.col(f"row.`{c}`") for c in docs.columns}
     return changed.unionByName(same).select(*[v.alias(c) for c, v in named.items()])

@@ -1,7 +1,12 @@
 """From raw documents to packed token sequences.
 
-Each stage reads what the one before it has written, so a lost executor costs no more
-than the stage at hand.
+Each stage reads the Parquet files that the one before it has written, so a lost executor
+costs no more than the stage at hand. ``run`` deletes a stage's scratch tables when its
+result is written, and that result when the next one is.
+
+Every stage takes null and repeated ids, null, empty and very long texts, empty tables and further
+columns: null ids are ids like any other, null texts count as empty and pass on as they are, and a text is held
+whole (a few times its bytes) by one task at a time.
 """
 
 from __future__ import annotations
@@ -10,9 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackspark.llm import decontaminate, packing, simhash, suffix_dedup, toxicity
-from trackspark.llm.common import cut_lineage, table
+from trackspark.llm.common import discard, table
+from trackspark.session import scratch_path, scratch_scope
 
 WINDOW = 2048
+#: Bytes of a string that counts as repeated: shorter than passages of fifty words, longer than stock phrases.
+REPEATED = 256
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,18 +30,18 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs)
+    return simhash.drop_near_duplicates(docs, from_files=True)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of long strings that occur more than once; n_chars follows the text."""
-    cut = suffix_dedup.remove_repeats(docs, from_files=True)
+    cut = suffix_dedup.remove_repeats(docs, from_files=True, length=REPEATED)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def reject_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), from_files=True)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +65,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents below ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut_lineage(docs, f"stage-{name}")
+    docs, made = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        path = scratch_path(spark, f"stage-{name}")
+        with scratch_scope(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if made is not None:
+            discard(made)
+        docs = made = spark.read.schema(out.schema).parquet(path)
     return docs

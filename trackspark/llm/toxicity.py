@@ -11,14 +11,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut_lineage, drawn
+from .common import cut_lineage, discard
 
 #: The fit sees about this many labelled documents of each class, whatever their length ...
 SAMPLE = 2500
@@ -180,30 +180,40 @@ def fit(names: list[str], bags: list[tuple[int, int, list[list[int]], list[int]]
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """About SAMPLE labelled documents of each class that are not held out, as text and label.
 
-    The ids are drawn by a digest, before the texts are read. Ids labelled both ways are
-    left out.
+    The ids are drawn by a digest, before the texts are read, and again by their share of SAMPLE_BYTES
+    where their texts hold more. Ids labelled both ways are left out; of several texts of an id the
+    least counts. So the same rows give the same sample, however they are dealt.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     once = known.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("y2")).filter("y = y2")
     stored = cut_lineage(once.select("doc_id", "y"), "labels")
-    few = reduce(DataFrame.union, [drawn(stored.filter(F.col("y") == c), SAMPLE, "doc_id") for c in (0, 1)])
-    # Few by construction, so they may go everywhere. Repeated rows of a document give a row each, hence the limit.
-    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    return texts.limit(4 * SAMPLE).orderBy("doc_id", "text").select("text", "y")
+    digest = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    counts = {r["y"]: r["n"] for r in stored.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.lit(1 << 40)
+    for y, n in counts.items():
+        share = F.when(F.col("y") == y, F.lit(int((1 << 40) * min(1.0, SAMPLE / n)))).otherwise(share)
+    few = stored.filter(digest < share)
+    # Few by construction, so they may go everywhere.
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id")
+    sizes = texts.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size"))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    if total > SAMPLE_BYTES:
+        # A second digest, as the first one is below its share for all.
+        texts = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 40)) < F.lit(int((1 << 40) * SAMPLE_BYTES / total)))
+    return texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """A model from a bounded sample of the labelled documents that are not held out; only features come to the driver."""
-    rows = cut_lineage(training_rows(docs.filter(F.col("text").isNotNull()), labels, label), "training")
-    size = F.octet_length("text")
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    if total > SAMPLE_BYTES:
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < F.lit(int((1 << 40) * SAMPLE_BYTES / total)))
+    rows = cut_lineage(training_rows(docs, labels, label), "training")
     seen = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(seen) < 2:
+        discard(rows)
         return Model({}, -30.0)
     names = _choose(rows, seen[0], seen[1])
-    return fit(names, _bags(rows, names))
+    model = fit(names, _bags(rows, names))
+    discard(rows)
+    return model
 
 
 def _scored(model: Model, spans: bool, text: str, carried: bool):
@@ -256,6 +266,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all their columns."""
     # A whole row goes to Python and back as one column, with its text once.
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kind = carried.schema["row"].dataType.simpleString()
-    scored = carried.mapInArrow(_scored(train(docs, labels), False, "text", True), f"row {kind}, score double")
+    scored = carried.mapInArrow(_scored(train(docs, labels), False, "text", True), StructType([*carried.schema, StructField("score", DoubleType())]))
     return scored.filter(F.col("score") < THRESHOLD).select("row.*")

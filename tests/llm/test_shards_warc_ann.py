@@ -43,6 +43,21 @@ def test_a_hot_text_is_split(spark):
     assert max(sizes) - min(sizes) < 0.03 * sum(sizes) / 8
 
 
+def test_repeated_rows_are_split(spark):
+    """Rows alike in id and text hold a third of all rows, and rows without an id another third."""
+    rows = [(7, "same row " * 20, "en", "s", 1)] * 3000 + [(None, "no id " * 20, "en", "s", 1)] * 3000 + [(i, f"cold {i} " * 9, "en", "s", 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, DOC)
+    sizes = shard_sizes(sharding.shard_rows(df, 16).collect(), 16)
+    assert max(sizes) - min(sizes) < 0.03 * sum(sizes) / 16
+
+
+def test_shards_of_several_partitions(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_BYTES", 2000)
+    texts = ["x" * (k % 300) + f" {k}" for k in range(700)] + ["long " * 200_000]
+    rows = sharding.shard_rows(docs_of(spark, texts), 4).collect()
+    assert len(rows) == len(texts) and sum(shard_sizes(rows, 4)) == sum(len(t) + 1 for t in texts)
+
+
 def test_shards_of_few_repeated_and_no_rows(spark):
     df = docs_of(spark, {1: "a", None: None}).union(docs_of(spark, {1: "a"})).withColumnRenamed("lang", "slot").withColumnRenamed("source", "k_row")
     rows = sharding.shard_rows(df, 16).collect()
@@ -212,6 +227,32 @@ def test_long_clean_documents_teach_and_stay(spark):
     assert sum(r.predicted == (r.doc_id % 4 == 0) for r in held if r.doc_id < 1000) / sum(r.doc_id < 1000 for r in held) > 0.97
 
 
+def test_scores_are_the_noisy_or_of_sentences(spark):
+    """Each score against sentences scored one by one with plain Python."""
+    texts, labels = toxic_case(300)
+    df, known = docs_of(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(df, known)
+    assert len(model.weights) > 0
+    for r in toxicity.score_documents(df, model, ["doc_id"]).collect():
+        none = 1.0
+        low = (texts[r.doc_id] or "").lower()
+        for a, n in toxicity.sentences(low):
+            features = [f for w in set(toxicity.WORD.findall(low[a : a + n])) for f in toxicity.word_features(w)]
+            none *= 1 - 1 / (1 + np.exp(-model.base - sum(model.weights.get(f, 0.0) for f in features)))
+        assert r.score == pytest.approx(1 - none, abs=1e-9)
+
+
+def test_sample_is_the_same_however_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 40)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 4000)
+    texts, labels = toxic_case(300)
+    df = docs_of(spark, texts).union(docs_of(spark, {4: "another text of four", 8: "and of eight"}))
+    df = df.union(df)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one, many = (sorted(map(tuple, toxicity.training_rows(df.repartition(n), known).collect())) for n in (1, 11))
+    assert one == many and 0 < len(one) <= 80
+
+
 def test_toxicity_without_labels_and_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     df = docs_of(spark, ["a", None]).withColumnRenamed("lang", "score").withColumnRenamed("source", "row")

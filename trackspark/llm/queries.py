@@ -55,7 +55,7 @@ def _op1_sql() -> str:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
+    placed = sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS, from_files=True)
     return placed.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
@@ -81,7 +81,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), from_files=True)
 
 
 def _words_sql(text: str) -> str:

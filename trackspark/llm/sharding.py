@@ -1,11 +1,11 @@
 """Shards of equal bytes by histogram sort.
 
-Rows are ordered by (digest of the text, digest of the id): equal texts are
+Rows are ordered by (digest of the text, digest of the row's id and place): equal texts are
 neighbours. Splitters are found without sorting: each round counts the exact bytes
 below evenly spaced probes in the intervals that still hold a splitter, and keeps the
 interval around each target, until the splitter is near enough or its interval holds
 one text only. Splitters so fall between texts; only inside a large group of equal texts
-are they refined once more, by the digest of the id. Then all rows are exchanged once.
+are they refined once more, by the digest of the row. Then all rows are exchanged once, along the splitters.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, fresh_name
+from .common import cut_lineage, discard, fresh_name, keyed
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 PROBES = 256
@@ -21,6 +21,8 @@ PROBES = 256
 TOLERANCE = 1 / 4096
 #: A group of equal texts is cut only where leaving it whole would miss by more than this share.
 GROUP_TOLERANCE = 1 / 64
+#: Bytes of text in a partition of the exchange.
+PART_BYTES = 64 << 20
 
 
 def _literal(x: int) -> Column:
@@ -119,33 +121,41 @@ def _shard_of(cuts: list[tuple[int, int]]) -> Column:
     return node(0, len(cuts))
 
 
-def shard_rows(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text", from_files: bool = False) -> DataFrame:
     """All columns of ``docs`` with shard (0 up) and slot (0 up, without gaps, in each shard).
 
     The law is equal bytes: a row counts the UTF-8 bytes of its text (null: none) plus
-    one. Rows with equal text and id go to one shard; a null id is a value like any
+    one. Rows with equal text go to one shard where that leaves shards equal; a larger group is cut
+    anywhere, also between repeated rows. A null id is a value like any
     other. Columns of ``docs`` named shard or slot are replaced. An empty table gives
-    no rows; with fewer rows than shards some shards stay empty.
+    no rows; with fewer rows than shards some shards stay empty. A row is never cut: a text that is
+    longer than a shard's share makes its shard larger. ``from_files``: ``docs`` is a table of Parquet
+    files as Spark reads it, whose rows need no number of their own.
     """
+    rows, uid = keyed(docs, from_files)
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
-    k1, k2 = F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.xxhash64(F.col(doc_id))
-    # Repeated keys are summed on the way: from here on a row is a few bytes.
-    keys = docs.select(k1.alias("k1"), k2.alias("k2"), size.alias("bytes")).groupBy("k1", "k2").agg(F.sum("bytes").alias("bytes"))
-    cuts = splitters(cut_lineage(keys, "shard-keys"), shards)
-    body = docs.drop("shard", "slot")
+    k1, k2 = F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.xxhash64(F.col(doc_id), F.col(uid))
+    # From here on a row is a few bytes.
+    keys = cut_lineage(rows.select(k1.alias("k1"), k2.alias("k2"), size.alias("bytes")), "shard-keys")
+    cuts = splitters(keys, shards)
+    total = int(keys.agg(F.sum("bytes")).first()[0] or 0)
+    parts = max(1, -(-total // (shards * PART_BYTES)))
+    discard(keys)
+    body = rows.drop("shard", "slot")
     row, at, part = (fresh_name(body, n) for n in ("k_row", "k_at", "k_part"))
-    keyed = body.select(F.struct(*[F.col(f"`{c}`") for c in body.columns]).alias(row), k1.alias("k1"), k2.alias("k2"))
-    placed = keyed.select(row, _shard_of(cuts).alias("shard"), "k1", "k2")
-    # The one exchange of the rows; the id of a row counts up inside its sorted partition.
-    sorted_rows = placed.repartitionByRange("shard", "k1", "k2").sortWithinPartitions("shard", "k1", "k2")
+    keep = F.struct(*[F.col(f"`{c}`") for c in body.columns if c != uid])
+    keyed_rows = body.select(keep.alias(row), k1.alias("k1"), k2.alias("k2"))
+    placed = keyed_rows.select(row, _shard_of(cuts).alias("shard"), "k1", "k2")
+    # The one exchange of the rows, along the splitters: a shard has as many partitions as it has bytes for.
+    dealt = placed.repartitionById(shards * parts, (F.col("shard") * parts + F.pmod(F.col("k2"), F.lit(parts))).cast("int"))
     line = F.monotonically_increasing_id()
     stored = cut_lineage(
-        sorted_rows.select(row, "shard", F.shiftright(line, 33).alias(part), line.bitwiseAND(F.lit((1 << 33) - 1)).alias(at)), "shards"
+        dealt.sortWithinPartitions("k1", "k2").select(row, "shard", F.shiftright(line, 33).alias(part), line.bitwiseAND(F.lit((1 << 33) - 1)).alias(at)), "shards"
     )
     # Where each shard goes on in the next partition: one row for each partition and shard in it.
     runs = stored.groupBy("shard", part).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("rows"))
     earlier = F.coalesce(F.expr(f"sum(rows) OVER (PARTITION BY shard ORDER BY `{part}` ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0))
     starts = runs.select(F.col("shard").alias("s"), F.col(part).alias("p"), (earlier - F.col("first")).alias("shift"))
-    # As many rows as there are partitions and shards: they may go everywhere.
+    # As many rows as there are partitions: they may go everywhere.
     joined = stored.join(F.broadcast(starts), (F.col("shard") == F.col("s")) & (F.col(part) == F.col("p")))
     return joined.select(f"{row}.*", F.col("shard").cast("int").alias("shard"), (F.col(at) + F.col("shift")).cast("long").alias("slot"))

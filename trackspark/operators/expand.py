@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,8 @@ ACTION_HOLE_WINDOW_FAILURE = 2
 WINDOW_N = 10.0
 GEOMETRIC_RADIUS = 5.0
 SELECTED_TOLERANCE = 1e-4
+#: In place of a cell width: the side is not cut.
+WHOLE = 2000
 MIN_MATCHED = 0.95
 
 STATE = ("event_id", "track_nr", "state_idx")
@@ -58,56 +61,87 @@ def _usable(states: DataFrame) -> DataFrame:
     return states.where(keep)
 
 
-def window_pairs(
-    states: DataFrame,
-    measurements: DataFrame,
-    n: float = WINDOW_N,
-    radius: float = GEOMETRIC_RADIUS,
-) -> DataFrame:
-    """All (state, measurement) pairs of a surface inside the window or the radius.
+def _power_above(x: Column) -> Column:
+    """The exponent of the least power of two that is not below ``x``; null unless ``x`` is positive and finite."""
+    return F.when((x > 0) & (x < float("inf")), F.ceil(F.log2(x)).cast("int"))
 
-    A surface may hold a large part of all rows, so it is cut along local0 into
-    cells as wide as twice the mean reach of its states: every measurement lies
-    in one cell, a state visits the few cells its reach touches, and the exact
-    predicate is tested only there.
+
+def meeting_pairs(states: DataFrame, measurements: DataFrame, n: float, radius: float) -> DataFrame:
+    """The pairs of a surface that share a cell: all that :func:`window_pairs` tests.
+
+    A surface may hold a large part of all rows, so it is cut along both coordinates into
+    cells. Measurements fall into classes by the power of two above their variances; a state's
+    reach is known for each class, and the power of two above twice of it is the width of the cells in which the two
+    meet. So one wide state or one uncertain measurement widens no other's cells, and a window meets cells
+    of at most three times its size along each coordinate.
     """
     built = "P00" in states.columns
-    surface = measurements.groupBy(*SURFACE).agg(
-        F.min("local0").alias("_lo"),
-        F.max("local0").alias("_hi"),
-        F.max("var_local0").alias("_max_var"),
-        F.count(F.lit(1)).alias("_n_meas"),
+    m = measurements.select(
+        *SURFACE, F.col("measurement_id").alias("cand_hit_id"), "local0", "local1", "var_local0", "var_local1",
+        F.coalesce(F.col("var_local1") <= 0, F.lit(True)).alias("is_1d"),
+    )
+    # Variances that the radius outweighs make one class; without predicted covariance the reach is the state's own.
+    least = math.ceil(math.log2((float(radius) / n) ** 2)) if radius > 0 else -1000
+    group = lambda v: F.greatest(F.coalesce(_power_above(v), F.lit(least)), F.lit(least)) if built else F.lit(least)
+    flat_or = lambda c, other: F.when(F.col("is_1d"), F.lit(other)).otherwise(c)
+    m = m.withColumns({"_k0": group(F.col("var_local0")), "_k1": flat_or(group(F.col("var_local1")), least)})
+    classes = m.groupBy(*SURFACE, "is_1d", "_k0", "_k1").agg(
+        F.min("local0").alias("_lo0"), F.max("local0").alias("_hi0"), F.min("local1").alias("_lo1"), F.max("local1").alias("_hi1")
     )
-    s = states.join(surface, list(SURFACE), "inner")
-    spread = half_width(F.col("P00") + F.col("_max_var") if built else F.col("S00"), n)
-    reach = F.greatest(F.coalesce(spread, F.lit(0.0)), F.lit(float(radius)))
-    # A hair more than the exact window, so that rounding never loses a cell.
-    s = s.withColumn("_reach", reach + (F.abs("pred_l0") + reach) * 1e-9 + 1e-12)
-    width = s.groupBy(*SURFACE).agg((F.avg("_reach") * 2).alias("_width"), F.first("_lo").alias("_lo2"))
-    cell = lambda x: F.floor((x - F.col("_lo")) / F.col("_width"))
-    first = F.greatest(cell(F.col("pred_l0") - F.col("_reach")), F.lit(0))
-    last = F.least(cell(F.col("pred_l0") + F.col("_reach")), cell(F.col("_hi")))
     cols = [*STATE, "geometry_id", "pred_l0", "pred_l1", "sel_l0", "sel_l1"]
     cols += ["P00", "P01", "P11"] if built else ["S00", "S01", "S11"]
-    left = (
-        s.join(width.drop("_lo2"), list(SURFACE), "inner")
-        .where(first <= last)
-        .select(*cols, F.explode(F.sequence(first, last)).alias("_cell"))
-    )
-    right = (
-        measurements.join(width, list(SURFACE), "inner")
-        .select(
-            *SURFACE,
-            F.floor((F.col("local0") - F.col("_lo2")) / F.col("_width")).alias("_cell"),
-            F.col("measurement_id").alias("cand_hit_id"),
-            "local0",
-            "local1",
-            "var_local0",
-            "var_local1",
+    s = states.select(*cols).join(classes, list(SURFACE), "inner")
+    reach = []
+    for i in (0, 1):
+        spread = half_width(F.col(f"P{i}{i}") + F.pow(F.lit(2.0), F.col(f"_k{i}")) if built else F.col(f"S{i}{i}"), n)
+        wide = F.greatest(F.coalesce(spread, F.lit(0.0)), F.lit(float(radius)))
+        # A hair more than the exact window, so that rounding never loses a cell.
+        reach.append(wide + (F.abs(F.coalesce(f"pred_l{i}", F.lit(0.0))) + wide) * 1e-9 + 1e-12)
+    s = s.withColumns({"_r0": reach[0], "_r1": reach[1]})
+    # A side that measurements fill no further than a few reaches is left whole.
+    whole = [F.col(f"_hi{i}") - F.col(f"_lo{i}") <= 4 * F.col(f"_r{i}") for i in (0, 1)]
+    whole[1] = whole[1] | F.col("is_1d")
+    widths = {f"_w{i}": F.when(whole[i], F.lit(WHOLE)).otherwise(F.coalesce(_power_above(2 * F.col(f"_r{i}")), F.lit(WHOLE))) for i in (0, 1)}
+    # Read for the widths in use and for the rows: written once, a row for each state and class.
+    s = cut_lineage(s.withColumns(widths), "reaches")
+
+    def cell(x: Column, i: int) -> Column:
+        # From the first measurement on, so that a whole side is cell 0.
+        return F.when(F.col(f"_w{i}") == WHOLE, 0).otherwise(F.floor(x / F.pow(F.lit(2.0), F.col(f"_w{i}")))).cast("long")
+
+    # What meets must agree on class and widths: one number.
+    code = F.lit(0).cast("long")
+    for c in (F.col("is_1d").cast("int"), *(F.col(k) + (1 << 11) for k in ("_k0", "_k1", "_w0", "_w1"))):
+        code = code * (1 << 12) + c
+    for i in (0, 1):
+        # Only as far as there are measurements of the class.
+        s = s.withColumns(
+            {
+                f"_f{i}": F.greatest(cell(F.col(f"pred_l{i}") - F.col(f"_r{i}"), i), cell(F.col(f"_lo{i}"), i)),
+                f"_t{i}": F.least(cell(F.col(f"pred_l{i}") + F.col(f"_r{i}"), i), cell(F.col(f"_hi{i}"), i)),
+            }
         )
-    )
-    p = left.join(right, [*SURFACE, "_cell"], "inner").drop("_cell")
-    p = p.withColumn("is_1d", F.coalesce(F.col("var_local1") <= 0, F.lit(True)))
+    # A whole side has no use for the state's place on it, which may even be missing.
+    s = s.where("_f0 <= _t0 AND _f1 <= _t1").withColumn("_code", code)
+    left = s.select(*cols, "_code", F.explode(F.sequence("_f0", "_t0")).alias("_c0"), "_f1", "_t1")
+    left = left.select(*cols, "_code", "_c0", F.explode(F.sequence("_f1", "_t1")).alias("_c1"))
+    # A measurement lies in one cell of each width in use for its class: a few rows for a surface.
+    used = s.select(*SURFACE, "is_1d", "_k0", "_k1", "_w0", "_w1", "_code").distinct()
+    right = m.join(used, [*SURFACE, "is_1d", "_k0", "_k1"], "inner").withColumns({"_c0": cell(F.col("local0"), 0), "_c1": cell(F.col("local1"), 1)})
+    right = right.drop("_k0", "_k1", "_w0", "_w1")
+    p = left.join(right, [*SURFACE, "_code", "_c0", "_c1"], "inner").drop("_code", "_c0", "_c1")
+    return p
+
+
+def window_pairs(
+    states: DataFrame,
+    measurements: DataFrame,
+    n: float = WINDOW_N,
+    radius: float = GEOMETRIC_RADIUS,
+) -> DataFrame:
+    """All (state, measurement) pairs of a surface inside the window or the radius."""
+    built = "P00" in states.columns
+    p = meeting_pairs(states, measurements, n, radius)
     if built:
         flat = F.col("is_1d")
         p = p.withColumns(

@@ -499,3 +499,32 @@ def test_bootstrap_draws_as_many_events_as_there_are(spark):
     assert {r[0] for r in m.groupBy("boot").agg(F.sum("times")).select("sum(times)").collect()} == {9}
     bands = failure.bootstrap_bands(failure.bootstrap_fractions(cells, m)).collect()
     assert len(bands) == 2 and all(0 <= b.frac_lo <= b.frac_hi <= 1 for b in bands)
+
+
+def test_nearest_values_of_a_hot_key_are_many_tasks(spark):
+    r = random.Random(9)
+    left = [(0, r.uniform(-50, 50)) for _ in range(4000)] + [(1, 5.0), (2, None), (3, 1.0), (None, 0.0)]
+    right = [(0, r.uniform(-50, 50)) for _ in range(300)] + [(1, -7.0), (1, 5.5), (2, 1.0), (4, 0.0), (None, 0.0)]
+    a, b = spark.createDataFrame(left, "k long, x double"), spark.createDataFrame(right, "k long, y double")
+    found = matching.nearest_value(a, "x", b, "y", ["k"], "d", buckets=16)
+    want = {k: min(abs(x - y) for j, x in left if j == k for i, y in right if i == k) for k in (0, 1)}
+    got = {row.k: row.d for row in found.collect()}
+    assert got == pytest.approx(want)
+    # The windows run on the key and a bucket of its values.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k" in plan and "_bucket" in plan
+    assert matching.nearest_value(a.limit(0), "x", b, "y", ["k"], "d").count() == 0
+
+
+def test_strata_are_rolled_up_from_one_pass(spark):
+    r = random.Random(2)
+    data = [(r.randrange(3), r.random() < 0.4, round(r.random(), 2), r.random() * 0.98 + 0.01) for _ in range(3000)]
+    df = spark.createDataFrame([(g, int(y), p, q) for g, y, p, q in data], "g long, y int, p double, q double")
+    strata = {"all": F.lit("all"), "group": F.when(F.col("g") > 0, F.col("g"))}
+    got = {(b.estimator, b.family, b.stratum): b for b in calibration.stratified_bundles(df, ["p", "q"], strata, "y").collect()}
+    assert set(got) == {(e, f, s) for e in "pq" for f, s in [("all", "all"), ("group", "1"), ("group", "2")]}
+    for (e, f, s), b in got.items():
+        part = df if f == "all" else df.where(F.col("g") == int(s))
+        plain = calibration.metric_bundle(part, e, "y").first()
+        for c in ("n_pos", "n_neg", "auc_roc", "auc_pr", "n_rows", "ece", "mce", "dr_n_rows", "dr_ece", "threshold_ece", "base_rate"):
+            assert b[c] == pytest.approx(plain[c], abs=1e-12), (e, f, s, c)

@@ -212,10 +212,7 @@ _AUDIT = f"""
 
 
 def _audit(x):
-    from ..functions.strata import occupancy_stratum
-
-    strata = {"all": F.lit("all"), "occupancy": occupancy_stratum("n_window"), "event": F.col("event_id")}
-    return c.stratified_audit(x.estimates, ["platt2", "raw", "chi2"], strata, "label")
+    return c.stratified_audit(x.estimates, ["platt2", "raw", "chi2"], _strata(), "label")
 
 
 @check(
@@ -228,6 +225,68 @@ def _(x):
     return _audit(x)
 
 
+def _strata():
+    from ..functions.strata import occupancy_stratum
+
+    return {"all": F.lit("all"), "occupancy": occupancy_stratum("n_window"), "event": F.col("event_id")}
+
+
+# Engines differ in the last bits of exp(): rounded, equal scores are equal in both and none lies on an edge of the grid.
+_EST9 = _EST.replace("platt2 AS prob", "round(platt2, 9) AS prob").replace("'raw', raw", "'raw', round(raw, 9)").replace("'chi2', chi2", "'chi2', round(chi2, 9)")
+
+
+def _rounded(x):
+    return x.estimates.withColumns({e: F.round(e, 9) for e in ("platt2", "raw", "chi2")})
+
+
+@check(
+    "stratified_metric_bundles",
+    "estimator family stratum n_pos:l n_neg:l auc_roc:d auc_pr:d n_rows:l ece:d mce:d dr_n_rows:l dr_ece:d threshold_n_rows:l threshold_ece:d base_rate:d",
+    f"""SELECT * FROM (WITH {_EST9}
+        SELECT *, n_pos * 1e0 / (n_pos + n_neg) AS base_rate FROM ({_ranking_sql(_LONG, _BY)}) a JOIN ({_errors_sql(_LONG, _BY)}) e USING ({_BY})
+        LEFT JOIN (SELECT {_BY}, n_rows AS dr_n_rows, dr_ece FROM ({_region_sql(_LONG, 0.01, 0.99, _BY)}) r) r USING ({_BY})
+        LEFT JOIN (SELECT {_BY}, n_rows AS threshold_n_rows, dr_ece AS threshold_ece FROM ({_region_sql(_LONG, 0.01, 0.5, _BY)}) t) t USING ({_BY})) z""",
+    "estimates",
+)
+def _(x):
+    return c.stratified_bundles(_rounded(x), ["platt2", "raw", "chi2"], _strata(), "label")
+
+
+_LOGIT_LONG = _LONG.replace("label, estimator, prob, family, stratum", "label, estimator, ln(prob / (1e0 - prob)) AS logit, family, stratum", 1)
+
+
+@check(
+    "stratified_grid_curves",
+    "estimator family stratum edge:l tp:l fp:l tpr:d fpr:d precision:d",
+    f"""SELECT * FROM (WITH {_EST9},
+          h AS (SELECT {_BY}, greatest(0, least(399, floor((least(20e0, greatest(-20e0, logit)) + 20e0) * 1e1))) AS edge, sum(label) AS p, sum(1 - label) AS q
+                FROM {_LOGIT_LONG} GROUP BY ALL),
+          g AS (SELECT * FROM (SELECT DISTINCT {_BY} FROM h) k, (SELECT unnest(range(401)) AS edge) e),
+          s AS (SELECT {_BY}, g.edge, sum(coalesce(p, 0)) OVER w AS tp, sum(coalesce(q, 0)) OVER w AS fp,
+                       sum(coalesce(p, 0)) OVER (PARTITION BY {_BY}) AS np, sum(coalesce(q, 0)) OVER (PARTITION BY {_BY}) AS nn
+                FROM g LEFT JOIN h USING ({_BY}, edge) WINDOW w AS (PARTITION BY {_BY} ORDER BY g.edge DESC))
+        SELECT {_BY}, edge, tp, fp, CASE WHEN np > 0 THEN tp * 1e0 / np END AS tpr, CASE WHEN nn > 0 THEN fp * 1e0 / nn END AS fpr,
+               CASE WHEN tp + fp > 0 THEN tp * 1e0 / (tp + fp) END AS precision FROM s) z""",
+    "estimates",
+)
+def _(x):
+    logits = _rounded(x).withColumns({e: F.log(F.col(e) / (1 - F.col(e))) for e in ("platt2", "raw", "chi2")})
+    return c.stratified_curves(logits, ["platt2", "raw", "chi2"], _strata(), "label", n=400)
+
+
+@check(
+    "stratified_probability_histograms",
+    "estimator family stratum bin:l count:l sum_prob:d sum_label:l",
+    f"""SELECT * FROM (WITH {_EST},
+          h AS (SELECT {_BY}, least(99, floor(prob / 1e-2)) AS bin, count(*) AS n, sum(prob) AS sp, sum(label) AS k FROM {_LONG} GROUP BY ALL),
+          g AS (SELECT * FROM (SELECT DISTINCT {_BY} FROM h) k, (SELECT unnest(range(100)) AS bin) b)
+        SELECT {_BY}, bin, coalesce(n, 0) AS count, coalesce(sp, 0) AS sum_prob, coalesce(k, 0) AS sum_label FROM g LEFT JOIN h USING ({_BY}, bin)) z""",
+    "estimates",
+)
+def _(x):
+    return c.stratified_histograms(x.estimates, ["platt2", "raw", "chi2"], _strata(), "label", n=100)
+
+
 @check(
     "audit_verdicts",
     "ece:d dr_ece:d baseline_dr_ece:d worst_stratum_ece:d wider_ece:d passes_overall_target:b passes_stratum_target:b "

@@ -122,8 +122,21 @@ def _(x):
     return s.uniform_subsample(x.pool, "y", "row_id", 3, seed=7).groupBy("row_id", "y").agg(F.count(F.lit(1)).alias("copies"))
 
 
-# A draw near the border of two intervals depends on the order in which weights are added: rows only.
-@check("hard_negative_subsample", "row_id y:l copies:l")
+_WEIGHTED_SQL = """
+    WITH neg AS (
+        SELECT row_id, w, sum(w) OVER (ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - w AS w_before
+        FROM (SELECT row_id, CAST(greatest(floor(1e0 / greatest(chi2, 1e-3) * 1048576e0), 1) AS HUGEINT) AS w FROM pool WHERE y = 0 AND chi2 IS NOT NULL) u
+    ),
+    draws AS (
+        SELECT CAST('0x' || substr(md5('7|' || row_id || '|' || rep), 1, 13) AS HUGEINT) * (SELECT sum(w) FROM neg) // 4503599627370496 AS spot
+        FROM pool, (SELECT unnest(range(1, 4)) AS rep) r WHERE y = 1
+    )
+    SELECT row_id, 0 AS y, count(*) AS copies FROM draws JOIN neg ON spot >= w_before AND spot < w_before + w GROUP BY 1
+    UNION ALL SELECT row_id, 1 AS y, count(*) AS copies FROM pool WHERE y = 1 GROUP BY 1
+"""
+
+
+@check("hard_negative_subsample", "row_id y:l copies:l", _WEIGHTED_SQL, "pool")
 def _(x):
     d = s.weighted_subsample(x.pool, "y", "row_id", s.hard_weight("chi2"), 3, seed=7)
     return d.groupBy("row_id", "y").agg(F.count(F.lit(1)).alias("copies"))
@@ -132,7 +145,7 @@ def _(x):
 @check(
     "hard_negatives_never_weightless",
     "n_weightless:l",
-    "SELECT count(*) - count(*) AS n_weightless FROM pool",
+    f"SELECT count(CASE WHEN p.chi2 IS NULL THEN 1 END) AS n_weightless FROM (SELECT * FROM ({_WEIGHTED_SQL}) d WHERE y = 0) d JOIN pool p USING (row_id)",
     "pool",
 )
 def _(x):

@@ -9,11 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import bin_index, clip, col, count_if, grid_index, ratio, true
 from ..functions.stats import bce, log_occupancy, logit_edges, wilson95
+from ..session import cut_lineage
 from .ordered import exact_percentiles, value_prefix
 
 # Fixed values of the calibration report.
@@ -199,32 +200,45 @@ def soft_calibration_error(table: DataFrame) -> DataFrame:
 # --- discrimination -------------------------------------------------------------------
 
 
+def _on_grid(hist: DataFrame, by: list[str], cell: str, cells: int) -> DataFrame:
+    """``hist`` with a row for every cell of every group; sums are null where there was none."""
+    if by:
+        groups = hist.select(*by).distinct()
+    else:
+        groups = hist.sparkSession.range(1).select()
+    grid = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias(cell))
+    return grid.join(hist, [*by, cell], "left")
+
+
 def grid_curves(
-    df: DataFrame, logit: str, label: str, n: int = GRID_POINTS, span: tuple[float, float] = GRID_LOGIT_RANGE
+    df: DataFrame, logit: str, label: str, n: int = GRID_POINTS, span: tuple[float, float] = GRID_LOGIT_RANGE, by: Sequence[str] = ()
 ) -> DataFrame:
-    """ROC and precision-recall counts at every edge of a fixed log-odds grid."""
-    lo, hi = span
-    hist = df.groupBy(grid_index(logit, lo, hi, n).alias("edge")).agg(
+    """ROC and precision-recall counts at every edge of a fixed log-odds grid, for each group."""
+    by = list(by)
+    hist = df.groupBy(*by, grid_index(logit, *span, n).alias("edge")).agg(
         count_if(true(label)).alias("pos"), count_if(~true(label)).alias("neg")
     )
-    grid = df.sparkSession.range(n + 1).select(F.col("id").cast("int").alias("edge"))
-    full = grid.join(hist, ["edge"], "left").select(
-        "edge", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("neg", F.lit(0)).alias("neg")
-    )
-    # n + 1 rows, fixed by the grid and independent of the data.
-    from pyspark.sql import Window
+    return _curves(hist, by, n, span)
 
-    below = Window.partitionBy(F.lit(0)).orderBy("edge").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(0))
+
+def _curves(hist: DataFrame, by: list[str], n: int, span: tuple[float, float]) -> DataFrame:
+    """Suffix sums of ``pos`` and ``neg`` over the edges of each group: n + 1 rows, independent of the data."""
+    lo, hi = span
+    full = _on_grid(hist, by, "edge", n + 1).select(*by, "edge", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("neg", F.lit(0)).alias("neg"))
+    group = by or [F.lit(0)]
+    above = Window.partitionBy(*group).orderBy(F.col("edge").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*group)
     c = full.select(
+        *by,
         "edge",
-        (F.sum("pos").over(whole) - F.coalesce(F.sum("pos").over(below), F.lit(0))).alias("tp"),
-        (F.sum("neg").over(whole) - F.coalesce(F.sum("neg").over(below), F.lit(0))).alias("fp"),
+        F.sum("pos").over(above).alias("tp"),
+        F.sum("neg").over(above).alias("fp"),
         F.sum("pos").over(whole).alias("n_pos"),
         F.sum("neg").over(whole).alias("n_neg"),
     )
     threshold = F.lit(lo) + F.col("edge") * F.lit((hi - lo) / n)
     return c.select(
+        *by,
         "edge",
         threshold.alias("threshold_logit"),
         "tp",
@@ -245,6 +259,11 @@ def ranking_metrics(df: DataFrame, score: str, label: str, by: Sequence[str] = (
     merged = df.groupBy(*by, score).agg(
         count_if(true(label)).alias("_p"), count_if(~true(label)).alias("_n")
     )
+    return _ranked(merged, score, by)
+
+
+def _ranked(merged: DataFrame, score: str, by: list[str]) -> DataFrame:
+    """:func:`ranking_metrics` of distinct scores with their positives ``_p`` and negatives ``_n``."""
     p = value_prefix(merged, score, {"p": "_p", "n": "_n"}, by=by, descending=True)
     above_n = F.col("n_before")
     auc_part = F.col("_p") * (F.col("n_total") - above_n - F.col("_n")) + F.lit(0.5) * F.col("_p") * F.col("_n")
@@ -266,18 +285,21 @@ def ranking_metrics(df: DataFrame, score: str, label: str, by: Sequence[str] = (
     )
 
 
-def probability_histogram(df: DataFrame, prob: str, label: str, n: int = PROB_HIST_BINS) -> DataFrame:
-    """Count, probability sum and label sum per equal-width bin (all bins present)."""
+def probability_histogram(df: DataFrame, prob: str, label: str, n: int = PROB_HIST_BINS, by: Sequence[str] = ()) -> DataFrame:
+    """Count, probability sum and label sum per equal-width bin (all bins present), for each group."""
+    by = list(by)
     p = clip(prob, 0.0, 1.0)
-    sums = df.groupBy(grid_index(prob, 0.0, 1.0, n).alias("bin")).agg(
+    sums = df.groupBy(*by, grid_index(prob, 0.0, 1.0, n).alias("bin")).agg(
         F.count(F.lit(1)).alias("count"),
         F.sum(p).alias("sum_prob"),
         F.sum(col(label).cast("long")).alias("sum_label"),
     )
-    grid = df.sparkSession.range(n).select(F.col("id").cast("int").alias("bin"))
+    return _histogram(sums, by, n)
+
+
+def _histogram(sums: DataFrame, by: list[str], n: int) -> DataFrame:
     zero = {"count": 0, "sum_prob": 0.0, "sum_label": 0}
-    j = grid.join(sums, ["bin"], "left")
-    return j.select("bin", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in zero.items()])
+    return _on_grid(sums, by, "bin", n).select(*by, "bin", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in zero.items()])
 
 
 def rebin(hist: DataFrame, fine: int, coarse: int, min_count: int = MIN_BIN_COUNT) -> DataFrame:
@@ -307,15 +329,59 @@ def rebin(hist: DataFrame, fine: int, coarse: int, min_count: int = MIN_BIN_COUN
 # --- audits -----------------------------------------------------------------------------
 
 
-def unpivot_scores(df: DataFrame, estimators: Sequence[str], strata: Mapping[str, Column | str], label: str):
-    """One row per (row, estimator, stratum family) for a single grouped pass."""
+BY = ["estimator", "family", "stratum"]
+
+
+def _by_estimator(df: DataFrame, estimators: Sequence[str], strata: Mapping[str, Column | str], label: str) -> tuple[DataFrame, list[str]]:
+    """One row per row and estimator (``pred``, ``label``), with the stratum of each family in a column of its own."""
     scores = [v for e in estimators for v in (F.lit(e), F.col(e).cast("double"))]
-    groups = [v for n, c in strata.items() for v in (F.lit(n), col(c).cast("string"))]
+    columns = [f"_s{k}" for k in range(len(strata))]
     named = df.select(
-        F.col(label).alias("label"), *[F.col(e) for e in estimators], F.stack(F.lit(len(strata)), *groups).alias("family", "stratum")
-    ).where(F.col("stratum").isNotNull())
-    return named.select(
-        "label", "family", "stratum", F.stack(F.lit(len(estimators)), *scores).alias("estimator", "pred")
+        F.col(label).cast("double").alias("label"),
+        *[F.col(e) for e in estimators],
+        *[col(c).cast("string").alias(n) for n, c in zip(columns, strata.values(), strict=True)],
+    )
+    return named.select("label", *columns, F.stack(F.lit(len(estimators)), *scores).alias("estimator", "pred")), columns
+
+
+def _rolled_up(cells: DataFrame, columns: list[str], strata: Mapping[str, Column | str], keys: list[str], sums: list[str]) -> DataFrame:
+    """Sums of merged cells per estimator, family, stratum and ``keys``: rows are repeated for each family only here."""
+    families = [v for n, c in zip(strata, columns, strict=True) for v in (F.lit(n), F.col(c))]
+    each = cells.select("estimator", *keys, *sums, F.stack(F.lit(len(columns)), *families).alias("family", "stratum"))
+    return each.where(F.col("stratum").isNotNull()).groupBy(*BY, *keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def stratified_cells(df: DataFrame, estimators: Sequence[str], strata: Mapping[str, Column | str], label: str) -> DataFrame:
+    """Sums per estimator, family, stratum and bin of every binned metric, from one pass over the rows.
+
+    ``main`` is the bin of the calibration error, ``decision`` and ``threshold`` those of the regions (null outside).
+    Rows are merged by all strata and bins at once; the merged cells, not the rows, are then given to each family.
+    """
+    long, columns = _by_estimator(df, estimators, strata, label)
+    bins = {"main": bin_index("pred", logit_edges(30)[1:-1])}
+    for name, (lo, hi) in {"decision": DECISION_REGION, "threshold": THRESHOLD_REGION}.items():
+        bins[name] = F.when((F.col("pred") >= lo) & (F.col("pred") <= hi), bin_index("pred", logit_edges(10, lo, hi)[1:-1]))
+    merged = long.groupBy("estimator", *columns, *[b.cast("int").alias(n) for n, b in bins.items()]).agg(
+        F.count(F.lit(1)).alias("count"), F.sum("label").alias("sum_label"), F.sum("pred").alias("sum_pred")
+    )
+    return _rolled_up(merged, columns, strata, list(bins), ["count", "sum_label", "sum_pred"])
+
+
+def _region_of_cells(cells: DataFrame, bins: str, rows: str, error: str) -> DataFrame:
+    """As :func:`region_error`, from cells."""
+    sums = cells.where(F.col(bins).isNotNull()).groupBy(*BY, bins).agg(*[F.sum(c).alias(c) for c in ("count", "sum_label", "sum_pred")])
+    agg = sums.groupBy(*BY).agg(F.sum("count").alias(rows), F.sum(F.abs(F.col("sum_label") - F.col("sum_pred"))).alias("_g"))
+    return agg.select(*BY, rows, F.when(F.col(rows) >= MIN_BIN_COUNT, F.col("_g") / F.col(rows)).alias(error))
+
+
+def _main_of_cells(cells: DataFrame, min_count: int = MIN_BIN_COUNT) -> DataFrame:
+    """As :func:`calibration_errors`, from cells: n_rows, ece, mce."""
+    sums = cells.groupBy(*BY, "main").agg(*[F.sum(c).alias(c) for c in ("count", "sum_label", "sum_pred")])
+    gap = F.abs(F.col("sum_label") / F.col("count") - F.col("sum_pred") / F.col("count"))
+    return sums.withColumn("_gap", gap).groupBy(*BY).agg(
+        F.sum("count").alias("n_rows"),
+        (F.sum(F.col("_gap") * F.col("count")) / F.sum("count")).alias("ece"),
+        F.coalesce(F.max(F.when(F.col("count") >= min_count, F.col("_gap"))), F.lit(0.0)).alias("mce"),
     )
 
 
@@ -330,16 +396,11 @@ def stratified_audit(
 
     Strata below ``min_rows`` are listed with NULL metrics.
     """
-    by = ["estimator", "family", "stratum"]
-    long = unpivot_scores(df, estimators, strata, label)
-    main = calibration_errors(long, "pred", "label", by=by).select(*by, "n_rows", "ece", "mce")
-    region = region_error(long, "pred", "label", by=by).select(
-        *by, F.col("n_rows").alias("dr_n_rows"), "dr_ece"
-    )
-    j = main.join(region, by, "left")
+    cells = cut_lineage(stratified_cells(df, estimators, strata, label), "cells")
+    j = _main_of_cells(cells).join(_region_of_cells(cells, "decision", "dr_n_rows", "dr_ece"), BY, "left")
     ok = F.col("n_rows") >= min_rows
     return j.select(
-        *by,
+        *BY,
         "n_rows",
         *[F.when(ok, F.col(c)).alias(c) for c in ("ece", "mce", "dr_ece")],
         F.coalesce("dr_n_rows", F.lit(0)).alias("dr_n_rows"),
@@ -347,6 +408,44 @@ def stratified_audit(
     )
 
 
+def stratified_bundles(df: DataFrame, estimators: Sequence[str], strata: Mapping[str, Column | str], label: str) -> DataFrame:
+    """Discrimination and calibration scalars per estimator and stratum (compare :func:`metric_bundle`)."""
+    cells = cut_lineage(stratified_cells(df, estimators, strata, label), "cells")
+    long, columns = _by_estimator(df, estimators, strata, label)
+    scores = long.groupBy("estimator", *columns, "pred").agg(F.sum("label").cast("long").alias("_p"), F.count(F.lit(1)).alias("_c"))
+    merged = _rolled_up(scores, columns, strata, ["pred"], ["_p", "_c"]).withColumn("_n", F.col("_c") - F.col("_p"))
+    out = _ranked(merged, "pred", BY).join(_main_of_cells(cells), BY)
+    out = out.join(_region_of_cells(cells, "decision", "dr_n_rows", "dr_ece"), BY, "left")
+    out = out.join(_region_of_cells(cells, "threshold", "threshold_n_rows", "threshold_ece"), BY, "left")
+    return out.withColumn("base_rate", F.col("n_pos") / F.col("n_rows"))
+
+
+def stratified_curves(
+    df: DataFrame,
+    estimators: Sequence[str],
+    strata: Mapping[str, Column | str],
+    label: str,
+    n: int = GRID_POINTS,
+    span: tuple[float, float] = GRID_LOGIT_RANGE,
+) -> DataFrame:
+    """:func:`grid_curves` per estimator and stratum; the estimators are log-odds."""
+    long, columns = _by_estimator(df, estimators, strata, label)
+    merged = long.groupBy("estimator", *columns, grid_index("pred", *span, n).alias("edge")).agg(
+        F.sum("label").cast("long").alias("pos"), F.count(F.lit(1)).alias("all")
+    )
+    hist = _rolled_up(merged, columns, strata, ["edge"], ["pos", "all"])
+    return _curves(hist.select(*BY, "edge", "pos", (F.col("all") - F.col("pos")).alias("neg")), BY, n, span)
+
+
+def stratified_histograms(df: DataFrame, estimators: Sequence[str], strata: Mapping[str, Column | str], label: str, n: int = PROB_HIST_BINS) -> DataFrame:
+    """:func:`probability_histogram` per estimator and stratum."""
+    long, columns = _by_estimator(df, estimators, strata, label)
+    merged = long.groupBy("estimator", *columns, grid_index("pred", 0.0, 1.0, n).alias("bin")).agg(
+        F.count(F.lit(1)).alias("count"), F.sum(clip("pred", 0.0, 1.0)).alias("sum_prob"), F.sum("label").cast("long").alias("sum_label")
+    )
+    return _histogram(_rolled_up(merged, columns, strata, ["bin"], ["count", "sum_prob", "sum_label"]), BY, n)
+
+
 def audit_verdicts(audit: DataFrame, chosen: str, baseline: str, wider: str | None = None) -> DataFrame:
     """One row of pass/fail verdicts from a stratified audit with an ``all`` family."""
     whole = F.col("family") == "all"

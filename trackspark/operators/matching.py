@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import beside, count_if, finite, ratio, true
 from ..functions.strata import double_majority
-from .ordered import first_n
+from ..session import cut_lineage
+from .ordered import bucket_count, first_n, range_boundaries, with_bucket
 from .truth import mode_by
 
 TRACK = ("event_id", "track_nr")
@@ -384,34 +385,38 @@ def join_diagnosis(
 
 
 def nearest_residuals(cand: DataFrame, accepted: DataFrame, keys) -> DataFrame:
-    """Per key the smallest |r − a| and |r + a| over candidates r and accepted values a.
+    """Per key the smallest |r − a| and |r + a| over candidates r and accepted values a."""
+    minus = nearest_value(cand, "residual_l0", accepted, "res_l0", keys, "d_minus")
+    plus = nearest_value(cand, "residual_l0", accepted.withColumn("res_l0", -F.col("res_l0")), "res_l0", keys, "d_plus")
+    return minus.join(plus, list(keys), "inner")
 
-    Sorting both sides of a key together, the nearest value is the last one before
-    or the first one after, so no pairs are formed. The order runs over the whole
-    key, hence the sort key is (key, value) and neighbours come from a window on
-    the key; hot keys are first reduced to distinct values.
-    """
-    from pyspark.sql import Window
-
-    def side(df: DataFrame, col: str, sign: int, tag: int) -> DataFrame:
-        d = df.where(finite(col)).select(*keys, (F.col(col) * sign).alias("_x")).distinct()
-        return d.withColumn("_tag", F.lit(tag))
-
-    def best(sign: int, out: str) -> DataFrame:
-        both = side(cand, "residual_l0", 1, 0).unionByName(side(accepted, "res_l0", sign, 1))
-        w = Window.partitionBy(*keys).orderBy("_x", "_tag")
-        back = w.rowsBetween(Window.unboundedPreceding, -1)
-        # The rows after, in reverse: a frame that grows from its end would be read anew for each row.
-        ahead = Window.partitionBy(*keys).orderBy(F.col("_x").desc(), F.col("_tag").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        other = F.when(F.col("_tag") == 1, F.col("_x"))
-        near = F.least(
-            F.col("_x") - F.last(other, ignorenulls=True).over(back),
-            F.last(other, ignorenulls=True).over(ahead) - F.col("_x"),
-        )
-        d = both.withColumn("_d", F.when(F.col("_tag") == 0, near)).where(F.col("_d").isNotNull())
-        return d.groupBy(*keys).agg(F.min("_d").alias(out))
 
-    return best(1, "d_minus").join(best(-1, "d_plus"), list(keys), "inner")
+def nearest_value(left: DataFrame, x: str, right: DataFrame, y: str, keys: Sequence[str], out: str, buckets: int | None = None) -> DataFrame:
+    """Per key the least distance between the values ``x`` of ``left`` and ``y`` of ``right`` (an as-of join both ways).
+
+    With both sides of a key in one order, the nearest value is the last one before or the first one after, so no
+    pairs are formed. The order is cut into range buckets inside each key, so that a hot key is many tasks; values
+    of other buckets come from a table with one row per key and bucket. Missing and non-finite values are left out.
+    """
+    keys = list(keys)
+
+    def side(df: DataFrame, value: str, tag: int) -> DataFrame:
+        return df.where(finite(value)).select(*keys, F.col(value).cast("double").alias("_x"), F.lit(tag).alias("_tag")).distinct()
+
+    both = cut_lineage(side(left, x, 0).unionByName(side(right, y, 1)), "asof")
+    b = with_bucket(both, "_x", range_boundaries(both, "_x", buckets or bucket_count(both)))
+    there = F.when(F.col("_tag") == 1, F.col("_x"))
+    ends = b.groupBy(*keys, "_bucket").agg(F.min(there).alias("_lo"), F.max(there).alias("_hi"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    edges = ends.select(*keys, "_bucket", F.max("_hi").over(earlier).alias("_below"), F.min("_lo").over(later).alias("_above"))
+    back = Window.partitionBy(*keys, "_bucket").orderBy("_x", "_tag").rowsBetween(Window.unboundedPreceding, -1)
+    # The rows after, in reverse: a frame that grows from its end would be read anew for each row.
+    ahead = Window.partitionBy(*keys, "_bucket").orderBy(F.col("_x").desc(), F.col("_tag").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = b.withColumns({"_before": F.last(there, ignorenulls=True).over(back), "_after": F.last(there, ignorenulls=True).over(ahead)})
+    j = inside.where("_tag = 0").join(edges, [*keys, "_bucket"])
+    near = F.least(F.col("_x") - F.coalesce("_before", "_below"), F.coalesce("_after", "_above") - F.col("_x"))
+    return j.withColumn("_d", near).where(F.col("_d").isNotNull()).groupBy(*keys).agg(F.min("_d").alias(out))
 
 
 def key_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,6 +7,9 @@ is built without knowing a count beforehand.
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from ..functions.expr import beside, col, count_if, finite
 from ..session import cut_lineage
 from .ordered import bucket_count, range_boundaries, row_index, value_prefix, with_bucket
 
+#: Weights count in such parts; sums of them are exact, up to 2^63 in all.
+UNITS, EXACT = 1 << 20, "decimal(30,0)"
 CHI2_FLOOR = 1e-3
 _SCALE = float(2**52)
 
@@ -63,49 +68,53 @@ def weighted_subsample(
 ) -> DataFrame:
     """As :func:`uniform_subsample`, negatives drawn in proportion to ``weight``.
 
-    Each negative owns an interval of the cumulative weight; a draw belongs to the
+    Each negative owns an interval of the cumulative weight, in units of 1/``UNITS`` (one at least), so that sums and
+    borders are exact integers in any order of adding. A draw belongs to the
     interval that holds it. Range buckets of the cumulative weight (even in rows)
     are cut again into equal slices of weight (even in draws), so neither a heavy
     row nor a crowd of light ones can fill one task.
     """
-    pos, neg = df.where(F.col(label) == 1), df.where(F.col(label) == 0).withColumn("_w", weight)
-    live = neg.where(F.col("_w") > 0)
+    units = F.greatest(F.floor(F.col("_wd") * F.lit(float(UNITS))), F.lit(1)).cast(EXACT)
+    pos, neg = df.where(F.col(label) == 1), df.where(F.col(label) == 0).withColumn("_wd", weight)
+    live = neg.where(F.col("_wd") > 0).withColumn("_w", units).drop("_wd")
     total = live.agg(F.sum("_w").alias("w")).first().w
     if not total:
         return uniform_subsample(df, label, row_id, per_pos, seed)
-    # A power of two: then s/slices·slices is exactly s, and a cut lands in its own slice.
+    total = int(total)
     slices = 1 << (16 * bucket_count(df)).bit_length()
+    width = -(-total // slices)
     # The running count is a unique row number even where row ids collide; written once,
     # because rows of equal id may be numbered differently by a second evaluation.
     spans = value_prefix(live, row_id, {"w": "_w", "i": F.lit(1)}).withColumnRenamed("i_before", "_index")
     spans = cut_lineage(spans.drop("_bucket"), "spans")
-    lo = F.least(F.col("w_before") / total, F.lit(1.0))
-    hi = F.least((F.col("w_before") + F.col("_w")) / total, F.lit(1.0))
-    placed = spans.select("_index", lo.alias("_lo"), hi.alias("_hi"))
-    bounds = range_boundaries(placed, "_lo", bucket_count(df))
-    ends = with_bucket(with_bucket(placed, "_lo", bounds, "_b0"), "_hi", bounds, "_b1")
-    cell = lambda c: F.least(F.floor(F.col(c) * slices), F.lit(slices - 1))
-    cuts = F.array(*[F.lit(b) for b in bounds]).cast("array<double>")
+    placed = spans.select("_index", F.col("w_before").cast(EXACT).alias("_lo"), (F.col("w_before") + F.col("_w") - 1).cast(EXACT).alias("_hi"))
+    cuts = sorted({Decimal(math.ceil(b)) for b in range_boundaries(placed, "_lo", bucket_count(df))})
+    borders = F.array(*[F.lit(c).cast(EXACT) for c in cuts]).cast(f"array<{EXACT}>")
+
+    def with_cells(d: DataFrame, at: str, bucket: str) -> DataFrame:
+        """Number of borders at or below a place: the double's guess, corrected by the exact border on either side."""
+        guess = with_bucket(d, at, [float(c) for c in cuts], bucket)
+        under = F.col(at) < F.element_at(borders, F.col(bucket))
+        over = F.col(at) >= F.element_at(borders, F.col(bucket) + 1)
+        right = F.when((F.col(bucket) > 0) & under, F.col(bucket) - 1).when((F.col(bucket) < len(cuts)) & over, F.col(bucket) + 1)
+        return guess.withColumn(bucket, F.coalesce(right, F.col(bucket)))
+
+    ends = with_cells(with_cells(placed, "_lo", "_b0"), "_hi", "_b1")
+    # Whole division: a decimal quotient would be rounded, possibly up to the next border.
+    cell = lambda c: F.expr(f"{c} DIV CAST({width} AS DECIMAL(20,0))")
     # One entry per bucket or slice the interval starts or passes through.
+    inner = F.when(F.col("_b1") > F.col("_b0"), F.transform(F.sequence(F.col("_b0") + 1, F.col("_b1")), lambda i: F.element_at(borders, i)))
+    slice_cuts = F.transform(F.sequence(cell("_lo"), cell("_hi")), lambda k: (k * F.lit(Decimal(width))).cast(EXACT))
     starts = ends.select(
         F.col("_index").alias("_owner"),
         "_lo",
-        F.explode(
-            F.array_union(
-                F.transform(F.sequence(cell("_lo"), cell("_hi")), lambda s: s / F.lit(float(slices))),
-                F.when(
-                    F.col("_b1") > F.col("_b0"),
-                    F.transform(
-                        F.sequence(F.col("_b0") + 1, F.col("_b1")), lambda i: F.element_at(cuts, i)
-                    ),
-                ).otherwise(F.array().cast("array<double>")),
-            )
-        ).alias("_cut"),
+        F.explode(F.array_union(slice_cuts, F.coalesce(inner, F.array().cast(f"array<{EXACT}>")))).alias("_cut"),
     ).select("_owner", F.greatest("_lo", "_cut").alias("_at"))
-    draws = _draws(pos, row_id, per_pos, seed).select(F.lit(None).cast("long").alias("_owner"), F.col("_u").alias("_at"))
+    # A draw is a whole number below 2^52; its place is the same share of the total.
+    place = F.expr(f"(CAST(_u * {2.0**52!r}D AS DECIMAL(16,0)) * CAST({total} AS DECIMAL(20,0))) DIV CAST({2**52} AS DECIMAL(16,0))").cast(EXACT)
+    draws = _draws(pos, row_id, per_pos, seed).select(F.lit(None).cast("long").alias("_owner"), place.alias("_at"))
     events = starts.select(F.col("_owner").cast("long").alias("_owner"), "_at").withColumn("_draw", F.lit(0))
-    both = events.unionByName(draws.withColumn("_draw", F.lit(1)))
-    keyed = with_bucket(both, "_at", bounds, "_b").withColumn("_s", cell("_at"))
+    keyed = with_cells(events.unionByName(draws.withColumn("_draw", F.lit(1))), "_at", "_b").withColumn("_s", cell("_at"))
     w = Window.partitionBy("_b", "_s").orderBy("_at", "_draw", "_owner").rowsBetween(Window.unboundedPreceding, 0)
     picked = (
         keyed.withColumn("_hit", F.last("_owner", ignorenulls=True).over(w))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import matching as k
 from ..operators import pareto as p
+from ..session import scratch_path
+from ..sources import scans
 from .registry import check
 from .views import view
 
@@ -265,6 +267,26 @@ def _(x):
     return k.sweep_rows(runs, x.timing)
 
 
+@check(
+    "sweep_rows_from_event_times",
+    "run_id efficiency:d fake_rate:d gate_calls:l value_calls:l gate_time_frac:d value_time_frac:d runtime_per_event_s:d",
+    """SELECT run_id, round(efficiency * 100, 4) AS efficiency, round(fake_rate * 100, 4) AS fake_rate, coalesce(g, 0) AS gate_calls, 0 AS value_calls,
+              gi / (gi + gf + vi + ms) AS gate_time_frac, vi / (gi + gf + vi + ms) AS value_time_frac, wall_seconds / n AS runtime_per_event_s
+       FROM points LEFT JOIN (SELECT run_id, sum(gate_inference_calls) AS g, sum(gate_inference_ns) AS gi, sum(gate_feature_ns) AS gf, sum(value_inference_ns) AS vi,
+                                     sum(meas_selection_ns) AS ms, count(*) AS n FROM timing GROUP BY 1) t USING (run_id)""",
+    "points timing",
+)
+def _(x):
+    # A file per run, as runs leave them; value_inference_calls is written as text that is no number.
+    path = scratch_path(x.spark, "event-times")
+    event = F.monotonically_increasing_id().alias("event")
+    t = x.timing.select("run_id", event, "gate_inference_calls", F.lit("n/a").alias("value_inference_calls"), "gate_inference_ns", "gate_feature_ns", "value_inference_ns", "meas_selection_ns")
+    t.withColumnRenamed("run_id", "run").repartition("run").write.partitionBy("run").option("header", True).csv(path)
+    times = scans.read_event_times(x.spark, f"{path}/*/*.csv", r"run=(\d+)/[^/]*$").withColumn("run_id", F.col("run_id").cast("long"))
+    runs = x.points.withColumns({"duplicate_rate": F.lit(None).cast("double"), "events": F.lit(None).cast("long")})
+    return k.sweep_rows(runs, times)
+
+
 @check(
     "selection_join_diagnosis",
     "n_cand_states:l n_accepted_states:l n_overlap:l same_sign_within_0_01:d same_sign_within_0_1:d opposite_sign_within_0_01:d opposite_sign_within_0_1:d",

@@ -320,6 +320,20 @@ def _(x):
     return soft.agg(F.count(F.lit(1)).alias("n")).select(F.explode(names).alias("r")).select("r.*")
 
 
+@check(
+    "soft_label_likelihood",
+    "weight:d loss:d g_logit:d g_occ:d g_bias:d",
+    """SELECT count(*) AS weight, avg(ln(1e0 + exp(z)) - target * z) AS loss, avg((1e0 / (1e0 + exp(-z)) - target) * logit) AS g_logit,
+              avg((1e0 / (1e0 + exp(-z)) - target) * n_window) AS g_occ, avg(1e0 / (1e0 + exp(-z)) - target) AS g_bias
+       FROM (SELECT *, 4e-1 * logit - 5e-2 * n_window + 1e-1 AS z FROM scores WHERE target IS NOT NULL) a""",
+    "scores",
+)
+def _(x):
+    # Two weighted rows for each soft target say the same as the target itself.
+    d = x.scores.select("logit", F.col("n_window").cast("double").alias("occ"), "target")
+    return m.logit_likelihood(s.soft_label_rows(d, "target"), ["logit", "occ"], [0.4, -0.05], 0.1, weight="weight")
+
+
 # --- traces ----------------------------------------------------------------------------------------------
 
 

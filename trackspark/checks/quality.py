@@ -263,3 +263,60 @@ def _(x):
     )
     d = d.toDF("sensor", "rho", "chi2_delta")
     return q.correlation_summary(d, ["sensor"])
+
+
+_TILTED = """
+  SELECT state_theta AS dens, S01 / sqrt(S00 * S11) AS rho, chi2_inc - (residual_l0 * residual_l0 / S00 + residual_l1 * residual_l1 / S11) AS delta
+  FROM cand WHERE cand_hit_id >= 0 AND NOT is_1d"""
+_QUINTILES = f"""
+  SELECT q.quintile, e[q.quintile + 1] AS geom_lo, e[q.quintile + 2] AS geom_hi, coalesce(n, 0) AS n, mean_delta, median_delta
+  FROM (SELECT unnest(range(5)) AS quintile) q, (SELECT quantile_cont(dens, [0, 0.2, 0.4, 0.6, 0.8, 1]) AS e FROM ({_TILTED}) d) edges
+  LEFT JOIN (
+    SELECT CAST(dens >= e[2] AS INT) + CAST(dens >= e[3] AS INT) + CAST(dens >= e[4] AS INT) + CAST(dens >= e[5] AS INT) AS quintile,
+           count(*) AS n, avg(delta) AS mean_delta, median(delta) AS median_delta
+    FROM ({_TILTED}) d, (SELECT quantile_cont(dens, [0, 0.2, 0.4, 0.6, 0.8, 1]) AS e FROM ({_TILTED}) f) edges GROUP BY 1) s ON s.quintile = q.quintile"""
+
+
+def _tilted(x):
+    from ..functions.geometry import chi2_full_and_diagonal, correlation
+
+    return x.cand.where("cand_hit_id >= 0 AND NOT is_1d").select(
+        F.col("state_theta").alias("dens"),
+        correlation("S00", "S01", "S11").alias("rho"),
+        chi2_full_and_diagonal("residual_l0", "residual_l1", "S00", "S01", "S11")["chi2_delta"].alias("delta"),
+    )
+
+
+@check("correlation_by_density_quintile", "quintile:l geom_lo:d geom_hi:d n:l mean_delta:d median_delta:d", _QUINTILES, "cand")
+def _(x):
+    return q.density_quintiles(_tilted(x), "dens", "delta")
+
+
+@check(
+    "correlation_verdict",
+    "spread:d rho_median_abs:d rank_correlation:d safe:b",
+    f"""SELECT *, coalesce(spread < 0.1 AND rho_median_abs < 0.2 AND (rank_correlation IS NULL OR abs(rank_correlation) < 0.05), false) AS safe
+        FROM (SELECT max(mean_delta) - min(mean_delta) AS spread FROM ({_QUINTILES}) a), (SELECT median(abs(rho)) AS rho_median_abs FROM ({_TILTED}) b),
+             (SELECT CASE WHEN count(*) > 10 THEN corr(ra, rb) END AS rank_correlation FROM (
+                SELECT rank() OVER (ORDER BY dens) + (count(*) OVER (PARTITION BY dens) - 1) / 2e0 AS ra,
+                       rank() OVER (ORDER BY delta) + (count(*) OVER (PARTITION BY delta) - 1) / 2e0 AS rb FROM ({_TILTED}) t
+                WHERE dens IS NOT NULL AND delta IS NOT NULL) r) k""",
+    "cand",
+)
+def _(x):
+    return q.correlation_verdict(_tilted(x), "dens", "delta")
+
+
+@check(
+    "first_row_by_key",
+    "event_id seed_id step_k cand_hit_id chi2_inc:d",
+    """SELECT event_id, seed_id, step_k, cand_hit_id, chi2_inc FROM (
+         SELECT *, row_number() OVER (PARTITION BY event_id, seed_id ORDER BY chi2_inc DESC NULLS LAST, step_k, cand_hit_id) AS rn FROM cand) a WHERE rn = 1""",
+    "cand",
+)
+def _(x):
+    from ..operators.ordered import first_by_key
+
+    worst = (-F.col("chi2_inc")).isNull(), -F.col("chi2_inc")
+    slim = x.cand.select("event_id", "seed_id", "step_k", "cand_hit_id", "chi2_inc")
+    return first_by_key(slim, ["event_id", "seed_id"], [*worst, "step_k", "cand_hit_id"])

@@ -297,6 +297,85 @@ def _(x):
     return scans.hit_keys(s, F.col("pid") != 0)
 
 
+_UNPACKED = [("vertex_primary", 48, 0xFFF), ("vertex_secondary", 32, 0xFFFF), ("particle", 16, 0xFFFF), ("generation", 8, 0xFF), ("sub_particle", 0, 0xFF)]
+
+
+def _parts(pid: str, prefix: str = "") -> list:
+    """The barcode parts of a packed id."""
+    return [F.expr(f"CAST(shiftright({pid}, {shift}) & {mask} AS BIGINT)").alias(prefix + name) for name, shift, mask in _UNPACKED]
+
+
+def _event_wise(rows, event: str, names: list[str]):
+    """Arrays per event and block, as the writers of nested tables leave them."""
+    blocks = rows.withColumn("_block", F.pmod(F.hash(*names), F.lit(8))).groupBy(event, "_block").agg(F.collect_list(F.struct(*names)).alias("_s"))
+    return blocks.select(event, *[F.col(f"_s.{n}").alias(n) for n in names])
+
+
+def _nested_particles(x):
+    names = [n for n, _, _ in _UNPACKED]
+    return _event_wise(x.particles.select("event_id", *_parts("particle_id"), "pt"), "event_id", [*names, "pt"])
+
+
+def _nested_tracks(x):
+    majority = [f"{scans.MAJORITY_PREFIX}{n}" for n, _, _ in _UNPACKED]
+    rows = x.tracks.select(
+        F.col("event_id").alias("event_nr"),
+        F.col("track_class").alias("trackClassification"),
+        F.when(F.col("track_nr") % 5 == 0, F.lit(float("inf"))).otherwise(F.col("track_pt") * 10).alias("t_pT"),
+        F.col("n_majority_hits").alias("nMajorityHits"),
+        *_parts("majority_pid", scans.MAJORITY_PREFIX),
+    )
+    return _event_wise(rows, "event_nr", ["trackClassification", "t_pT", "nMajorityHits", *majority])
+
+
+@check("particle_scan", "event_id particle_id:l pt:d", "SELECT event_id, particle_id, pt FROM particles", "particles")
+def _(x):
+    path = scratch_path(x.spark, "particles")
+    _nested_particles(x).write.parquet(path)
+    return scans.particle_table(x.spark.read.parquet(path))
+
+
+@check(
+    "track_summary_scan",
+    "event_id track_class:l track_pt:d n_majority:l majority_pid:l",
+    """SELECT event_id, track_class, CASE WHEN track_nr % 5 <> 0 THEN track_pt * 10 END AS track_pt, n_majority_hits AS n_majority, majority_pid FROM tracks""",
+    "tracks",
+)
+def _(x):
+    path = scratch_path(x.spark, "tracksummary")
+    _nested_tracks(x).write.parquet(path)
+    return scans.track_summary(x.spark.read.parquet(path))
+
+
+_FROM_TRACKS = "(SELECT DISTINCT event_id, majority_pid AS particle_id, true AS m FROM tracks WHERE track_class IN (1, 2)) t USING (event_id, particle_id)"
+
+
+@check(
+    "matching_without_details",
+    "event_id particle_id:l matched:b origin",
+    f"SELECT event_id, particle_id, coalesce(m, false) AS matched, 'tracks' AS origin FROM particles LEFT JOIN {_FROM_TRACKS}",
+    "particles tracks",
+)
+def _(x):
+    details = scans.read_optional(x.spark, scratch_path(x.spark, "absent"))
+    return scans.matching_flags(scans.particle_table(_nested_particles(x)), details, scans.track_summary(_nested_tracks(x)))
+
+
+@check(
+    "matching_with_details",
+    "event_id particle_id:l matched:b origin",
+    "SELECT event_id, particle_id, particle_id % 7 <> 0 AND particle_id % 3 = 1 AS matched, 'details' AS origin FROM particles",
+    "particles tracks",
+)
+def _(x):
+    path = scratch_path(x.spark, "matchingdetails")
+    listed = x.particles.where("particle_id % 7 <> 0")
+    rows = listed.select(F.col("event_id").alias("event_nr"), *_parts("particle_id", scans.MATCH_PREFIX), (F.col("particle_id") % 3 == 1).cast("int").alias("matched"))
+    rows.write.parquet(path)
+    details = scans.read_optional(x.spark, path)
+    return scans.matching_flags(scans.particle_table(_nested_particles(x)), details, scans.track_summary(_nested_tracks(x)))
+
+
 # --- logs, timings, sweeps ----------------------------------------------------------------------------
 
 view("logs")(

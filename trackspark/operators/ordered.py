@@ -173,6 +173,17 @@ def best_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], v
     return df.groupBy(*keys).agg(F.min_by(col(value), F.struct(*order)).alias(out))
 
 
+def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """One whole row per key: the first in ``order``, which must be total for the result to be one.
+
+    An aggregation: each task sends on one row per key, however many a key has. Null keys are one key.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    ranks = F.struct(*[col(o).alias(f"o{i}") for i, o in enumerate(order)])
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), ranks).alias("_row"))
+    return first.select(*[F.col(c) if c in keys else F.col("_row").getField(c).alias(c) for c in df.columns])
+
+
 # --- value-ordered prefix sums -------------------------------------------------
 
 

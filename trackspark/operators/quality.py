@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import beside, count_if, finite, ratio, true
+from ..functions.expr import beside, bin_index, count_if, finite, ratio, true
 from ..functions.strata import PASSIVE_VOLUMES, SENSOR_CLASS, SENSOR_CLASS_NAMES, member
 from .ordered import exact_percentiles, first_n, needs_chunks, running, shifted
 from .truth import mode_by
@@ -420,3 +420,39 @@ def correlation_summary(df: DataFrame, by: Sequence[str]) -> DataFrame:
         )
     n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("rho")).alias("mean_abs_rho"))
     return n.join(parts[0], by, "left").join(parts[1], by, "left")
+
+
+def density_quintiles(df: DataFrame, density: str = "geometric_density", delta: str = "chi2_delta") -> DataFrame:
+    """Per quintile of the density: its limits, rows, mean and median of ``delta``.
+
+    Edges are exact quantiles, each nudged above the one before; rows without a density go to the last quintile,
+    as a comparison with NaN leaves them there. Quintiles without rows are listed with NULL metrics.
+    """
+    from .calibration import quantile_edges
+
+    edges = quantile_edges(df, density, 5, nudge=1e-9)
+    placed = df.withColumn("quintile", F.coalesce(bin_index(density, edges[1:-1]).cast("int"), F.lit(4)))
+    sums = placed.groupBy("quintile").agg(F.count(F.lit(1)).alias("n"), F.avg(delta).alias("mean_delta"))
+    median = exact_percentiles(placed, delta, [0.5], by=["quintile"]).select("quintile", F.col("value").alias("median_delta"))
+    limits = df.sparkSession.createDataFrame([(i, float(edges[i]), float(edges[i + 1])) for i in range(5)], "quintile int, geom_lo double, geom_hi double")
+    j = limits.join(sums, ["quintile"], "left").join(median, ["quintile"], "left")
+    return j.select("quintile", "geom_lo", "geom_hi", F.coalesce("n", F.lit(0)).alias("n"), "mean_delta", "median_delta")
+
+
+# Limits below which the diagonal approximation is safe.
+SAFE_SPREAD, SAFE_RHO, SAFE_RANK = 0.1, 0.2, 0.05
+RANKED_ROWS = 10
+
+
+def correlation_verdict(df: DataFrame, density: str = "geometric_density", delta: str = "chi2_delta", rho: str = "rho") -> DataFrame:
+    """One row: spread of the quintiles' mean deltas, median of |rho|, rank correlation, and whether all are small enough."""
+    from .calibration import rank_correlation
+
+    q = density_quintiles(df, density, delta).agg((F.max("mean_delta") - F.min("mean_delta")).alias("spread"))
+    m = exact_percentiles(df.select(F.abs(rho).alias("_r")), "_r", [0.5]).agg(F.max("value").alias("rho_median_abs"))
+    r = rank_correlation(df, density, delta)
+    ranked = r.select(F.when(F.col("n") > RANKED_ROWS, F.col("spearman")).alias("rank_correlation"))
+    v = beside(beside(q, m), ranked)
+    small = F.col("rank_correlation").isNull() | (F.abs("rank_correlation") < SAFE_RANK)
+    safe = F.coalesce((F.col("spread") < SAFE_SPREAD) & (F.col("rho_median_abs") < SAFE_RHO) & small, F.lit(False))
+    return v.withColumn("safe", safe)

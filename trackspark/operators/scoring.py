@@ -195,6 +195,22 @@ def fit_logit(
     return best[1], best[2], report
 
 
+def logit_likelihood(df: DataFrame, features: Sequence[str], weights: Sequence[float], bias: float, label: str = "label", weight: str | None = None) -> DataFrame:
+    """One row: summed weight, mean loss and mean gradient of a logistic model at the given parameters."""
+    from ..functions.stats import bce_with_logits, sigmoid
+
+    z = linear_logit(features, weights, bias)
+    y, w = F.col(label).cast("double"), F.col(weight).cast("double") if weight else F.lit(1.0)
+    mean = lambda e: F.sum(w * e) / F.sum(w)
+    miss = sigmoid(z) - y
+    return df.agg(
+        F.sum(w).alias("weight"),
+        mean(bce_with_logits(z, y)).alias("loss"),
+        *[mean(miss * F.col(f)).alias(f"g_{f}") for f in features],
+        mean(miss).alias("g_bias"),
+    )
+
+
 def gate_choice_quality(rows: DataFrame, accepted: str, by: str = "step_k", keys=STATE) -> DataFrame:
     """Best accepted chi2 against the best available one, summarised per step."""
     from .ordered import exact_percentiles

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -364,3 +365,100 @@ def point_of_name(name: Column | str, pattern: str, group: int) -> Column:
     """Parameter written into a run name, with ``p`` for the decimal point."""
     c = F.col(name) if isinstance(name, str) else name
     return F.replace(F.nullif(F.regexp_extract(c, pattern, group), F.lit("")), F.lit("p"), F.lit(".")).try_cast("double")
+
+
+# --- per-event timings ---------------------------------------------------------------------
+
+# Columns of the per-event timing files.
+EVENT_TIMES = {
+    "event": "long",
+    "n_seeds": "long",
+    "n_tracks": "long",
+    "gate_inference_ns": "double",
+    "gate_inference_calls": "long",
+    "gate_feature_ns": "double",
+    "gate_feature_calls": "long",
+    "value_inference_ns": "double",
+    "value_inference_calls": "long",
+    "meas_selection_ns": "double",
+    "meas_selection_calls": "long",
+}
+
+
+def read_event_times(spark: SparkSession, path: str, run_pattern: str = r"([^/]+)/[^/]*$") -> DataFrame:
+    """One row per run and event from timing files; ``run_id`` is taken from each file's path.
+
+    Absent columns and unparsable values are NULL; lines without any value are left out.
+    """
+    run = F.regexp_extract(F.col("file"), run_pattern, 1)
+    cols = [csv_field(n, "string").try_cast(kind).alias(n) for n, kind in EVENT_TIMES.items()]
+    rows = nan_to_null(csv_rows(spark, path, ",").select(run.alias("run_id"), *cols))
+    return rows.where(F.coalesce(*EVENT_TIMES).isNotNull())
+
+
+# --- particles, tracks and their matching ---------------------------------------------------
+
+# The five parts of a particle's barcode, and how each table names them.
+BARCODE = ("vertex_primary", "vertex_secondary", "particle", "generation", "sub_particle")
+MATCH_PREFIX, MAJORITY_PREFIX = "particle_id_", "majorityParticleId_"
+
+
+def _barcode(element: str, prefix: str = "") -> Column:
+    return encode_particle(*[F.col(f"{element}.{prefix}{part}") if element else F.col(f"{prefix}{part}") for part in BARCODE])
+
+
+def particle_table(nested: DataFrame) -> DataFrame:
+    """event_id, packed ``particle_id`` and pt of the particles of event-wise arrays.
+
+    Of a barcode that an event lists twice the last one counts, as files are read in order.
+    """
+    arrays = F.arrays_zip(*[F.col(c) for c in (*BARCODE, "pt")])
+    t = nested.select(F.col("event_id").cast("long").alias("event_id"), F.posexplode(arrays).alias("_pos", "_e"))
+    flat = t.select("event_id", _barcode("_e").alias("particle_id"), F.col("_e.pt").cast("double").alias("pt"), "_pos")
+    last = flat.groupBy("event_id", "particle_id").agg(F.max_by(F.struct("pt"), "_pos").alias("_p"))
+    return nan_to_null(last.select("event_id", "particle_id", F.col("_p.pt").alias("pt")))
+
+
+def track_summary(nested: DataFrame) -> DataFrame:
+    """event_id, track_class, track_pt, n_majority and packed ``majority_pid`` of the tracks of event-wise arrays; infinite pt is NULL."""
+    parts = [f"{MAJORITY_PREFIX}{p}" for p in BARCODE]
+    arrays = F.arrays_zip(*[F.col(c) for c in ("trackClassification", "t_pT", "nMajorityHits", *parts)])
+    t = nested.select(F.col("event_nr").cast("long").alias("event_id"), F.explode(arrays).alias("_e"))
+    pt = F.col("_e.t_pT").cast("double")
+    return nan_to_null(
+        t.select(
+            "event_id",
+            F.col("_e.trackClassification").cast("int").alias("track_class"),
+            F.when(F.abs(pt) < float("inf"), pt).alias("track_pt"),
+            F.col("_e.nMajorityHits").cast("long").alias("n_majority"),
+            _barcode("_e", MAJORITY_PREFIX).alias("majority_pid"),
+        )
+    )
+
+
+def read_optional(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None where nothing is stored at ``path``; any other failure is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def matching_flags(particles: DataFrame, details: DataFrame | None, tracks: DataFrame) -> DataFrame:
+    """``particles`` with ``matched`` and where it comes from.
+
+    ``details`` is the finder's own table of particles (barcode parts and ``matched``), which older runs lack: then a
+    particle is matched if a matched or duplicate track has it as majority. A particle that ``details`` does not list is
+    not matched; one listed more than once is matched if any row says so.
+    """
+    from ..operators.matching import matched_from_tracks
+
+    if details is None:
+        return matched_from_tracks(particles, tracks).withColumn("origin", F.lit("tracks"))
+    key = _barcode("", MATCH_PREFIX)
+    flags = details.select(F.col("event_nr").cast("long").alias("event_id"), key.alias("particle_id"), F.col("matched").cast("boolean").alias("_m"))
+    flags = flags.groupBy("event_id", "particle_id").agg(F.bool_or("_m").alias("matched"))
+    j = particles.join(flags, ["event_id", "particle_id"], "left")
+    return j.withColumns({"matched": F.coalesce("matched", F.lit(False)), "origin": F.lit("details")})

@@ -27,8 +27,8 @@ WIDTH = 2.0
 #: Cells beyond this distance from the middle count as the last one.
 FARTHEST = 4
 #: The number of probes is fitted on this many vectors, to this recall.
-SAMPLE, SAMPLE_QUERIES, TARGET = 4096, 256, 0.97
-#: Vectors and queries of a bucket that meet in one task.
+SAMPLE, SAMPLE_QUERIES, TARGET = 4096, 256, 0.94
+#: Vectors and queries that meet in one task: those of neighbouring buckets, or a part of a bucket's.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
 
 
@@ -97,6 +97,10 @@ class Held:
         tables = [sorted((c, n) for u, c, n in counted if u == t) for t in range(TABLES)]
         return Held([np.array([c for c, _ in x], np.int64) for x in tables], [np.array([n for _, n in x], np.int64) for x in tables])
 
+    def groups(self) -> list[np.ndarray]:
+        """For each table, the group of each bucket: neighbours that hold about BLOCK_ROWS vectors together."""
+        return [(np.cumsum(n) - n) // BLOCK_ROWS for n in self.rows]
+
 
 def fit_probes(hasher: Hasher, held: Held, sample: np.ndarray, k: int) -> int:
     """Fewest probes in each table with which the sample's queries find ``TARGET`` of their nearest; all buckets find all."""
@@ -134,7 +138,8 @@ def _hash_rows(hasher: Hasher):
 
 
 def _probe_rows(hasher: Hasher, held: Held, probes: int, need: int):
-    """(t, bucket, rep, v) rows of queries, one for each bucket they visit: ``probes`` in each table, more in one until they hold ``need`` vectors."""
+    """(t, g, rep, v, buckets) rows of queries, one for each group of buckets they visit: ``probes`` buckets in each table, more in one until they hold ``need`` vectors."""
+    groups = held.groups()
 
     def run(frames):
         for df in frames:
@@ -147,37 +152,60 @@ def _probe_rows(hasher: Hasher, held: Held, probes: int, need: int):
                 for t, order in enumerate(visits):
                     each = np.where(first == t, np.maximum(probes, full[t]), probes)
                     row, col = np.nonzero(np.arange(order.shape[1]) < each[:, None])
-                    yield pd.DataFrame({"t": t, "bucket": held.codes[t][order[row, col]], "rep": part["rep"].to_numpy()[row], "v": part["v"].to_numpy()[row]})
+                    bucket = order[row, col]
+                    # The vector goes once to each group, with the list of its buckets there.
+                    turn = np.lexsort((bucket, groups[t][bucket], row))
+                    row, bucket = row[turn], bucket[turn]
+                    group = groups[t][bucket]
+                    cuts = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(group) != 0))))
+                    lists = np.split(held.codes[t][bucket], cuts[1:])
+                    at = row[cuts]
+                    yield pd.DataFrame({"t": t, "g": group[cuts], "rep": part["rep"].to_numpy()[at], "v": part["v"].to_numpy()[at], "buckets": lists})
 
     return run
 
 
+def _best_of(x: np.ndarray, rep: np.ndarray, q: np.ndarray, q_rep: np.ndarray, k: int) -> pd.DataFrame:
+    """The k + 1 best of vectors for each query, by the exact product."""
+    near = q @ x.T
+    row, col = np.indices(near.shape)
+    if near.shape[1] > k + 1:
+        # Products may differ in their last bits by the shape of a block: those level with the last are kept until they are exact.
+        least = -np.partition(-near, k, axis=1)[:, k : k + 1]
+        row, col = np.nonzero(near >= least - 1e-9 * np.maximum(1.0, np.abs(least)))
+    row, col = row.ravel(), col.ravel()
+    exact = (q[row] * x[col]).sum(axis=1)
+    order = np.lexsort((rep[col], -exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) <= k
+    return pd.DataFrame({"q": q_rep[row[first]], "rep": rep[col[first]], "score": exact[first]})
+
+
 def _rank_block(k: int):
-    """The k + 1 best vectors of a block for each of its queries, by the exact product."""
+    """The k + 1 best vectors of a block for each of its queries, over the buckets that the query visits."""
 
     def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"q": [], "rep": [], "score": []}).astype({"q": "int64", "rep": "int64", "score": "float64"})
         if index.empty or queries.empty:
-            return pd.DataFrame({"q": [], "rep": [], "score": []}).astype({"q": "int64", "rep": "int64", "score": "float64"})
-        x, rep = _matrix(index["v"]), index["rep"].to_numpy()
-        out = []
-        for a in range(0, len(queries), 256):
-            part = queries.iloc[a : a + 256]
-            q = _matrix(part["v"])
-            near = q @ x.T
-            row, col = np.indices(near.shape)
-            if near.shape[1] > k + 1:
-                # Products may differ in their last bits by the shape of a block: those level with the last are kept until they are exact.
-                least = -np.partition(-near, k, axis=1)[:, k : k + 1]
-                keep = near >= least - 1e-9 * np.maximum(1.0, np.abs(least))
-                row, col = np.nonzero(keep)
-            row, col = row.ravel(), col.ravel()
-            exact = (q[row] * x[col]).sum(axis=1)
-            order = np.lexsort((rep[col], -exact, row))
-            row, col, exact = row[order], col[order], exact[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            first = place <= k
-            out.append(pd.DataFrame({"q": part["rep"].to_numpy()[row[first]], "rep": rep[col[first]], "score": exact[first]}))
-        return pd.concat(out)
+            return none
+        index = index.sort_values(["bucket", "rep"], kind="stable")
+        x, rep, code = _matrix(index["v"]), index["rep"].to_numpy(), index["bucket"].to_numpy()
+        q, q_rep = _matrix(queries["v"]), queries["rep"].to_numpy()
+        asked = np.repeat(np.arange(len(queries)), [len(b) for b in queries["buckets"]])
+        bucket = np.concatenate(queries["buckets"].to_list())
+        turn = np.argsort(bucket, kind="stable")
+        asked, bucket = asked[turn], bucket[turn]
+        out = [none]
+        for c in np.unique(code):
+            a, b = np.searchsorted(code, [c, c + 1])
+            m, n = np.searchsorted(bucket, [c, c + 1])
+            for s in range(m, n, 256):
+                who = asked[s : min(n, s + 256)]
+                out.append(_best_of(x[a:b], rep[a:b], q[who], q_rep[who], k))
+        found = pd.concat(out)
+        # A block sends on no more than its best.
+        found = found.sort_values(["q", "score", "rep"], ascending=[True, False, True], kind="stable")
+        return found[found.groupby("q").cumcount() <= k]
 
     return run
 
@@ -191,18 +219,21 @@ def _search(classes: DataFrame, queries: DataFrame, hasher: Hasher, k: int) -> D
     sample = drawn(classes, SAMPLE, "v").select("v").collect()
     probes = fit_probes(hasher, held, np.array([s.v for s in sample]), k)
     need = min(k + 1, int(held.rows[0].sum()))
-    asked = cut_lineage(queries.select("rep", "v").mapInPandas(_probe_rows(hasher, held, probes, need), kind), "ann-probes")
-    # A bucket of many vectors or queries is cut into blocks that meet each other. Its size is one row
-    # of a table bounded by the number of cells, so it may go everywhere.
-    size = index.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("n_i"))
-    load = asked.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("n_q"))
-    blocks = F.broadcast(size.join(load, ["t", "bucket"]))
+    asked = cut_lineage(queries.select("rep", "v").mapInPandas(_probe_rows(hasher, held, probes, need), "t int, g long, rep long, v array<double>, buckets array<long>"), "ann-probes")
+    # A group of more vectors than a block, one large bucket, is cut into blocks, and so are its queries. The groups of
+    # buckets are bounded by the number of cells, so they may go everywhere.
+    spark, found = classes.sparkSession, []
+    for t, (codes, rows, groups) in enumerate(zip(held.codes, held.rows, held.groups(), strict=True)):
+        size = np.bincount(groups, rows).astype(np.int64)
+        found += [(t, int(c), int(g), int(-(-size[g] // BLOCK_ROWS))) for c, g in zip(codes, groups, strict=True)]
+    blocks = spark.createDataFrame(found, "t int, bucket long, g long, n_i int")
+    parts = max(1, -(-queries.count() // BLOCK_QUERIES))
     own_i = F.pmod(F.xxhash64("rep"), F.col("n_i")).cast("int")
-    own_q = F.pmod(F.xxhash64("rep"), F.col("n_q")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.join(blocks, ["t", "bucket"]).select("t", "bucket", own_i.alias("bi"), every("n_q").alias("bq"), "rep", "v")
-    right = asked.join(blocks, ["t", "bucket"]).select("t", "bucket", every("n_i").alias("bi"), own_q.alias("bq"), "rep", "v")
-    keys = ["t", "bucket", "bi", "bq"]
+    own_q = F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int")
+    left = index.join(F.broadcast(blocks), ["t", "bucket"]).select("t", "g", own_i.alias("bi"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("bq"), "bucket", "rep", "v")
+    whole = F.broadcast(blocks.select("t", "g", "n_i").distinct())
+    right = asked.join(whole, ["t", "g"]).select("t", "g", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)).alias("bi"), own_q.alias("bq"), "rep", "v", "buckets")
+    keys = ["t", "g", "bi", "bq"]
     fn = _rank_block(k)
     ranked = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda i, q: fn(i, q), "q long, rep long, score double")
     merged = ranked.distinct()  # the same pair, found in two tables, has the same exact score

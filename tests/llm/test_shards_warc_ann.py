@@ -180,6 +180,18 @@ def test_ties_of_equal_vectors_go_to_the_smaller_id(spark):
     assert hits == {0: [1, 2, 3, 4, 5], 200: [0, 1, 2, 3, 4]}
 
 
+def test_long_pages_get_parts_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BATCH_BYTES", 1 << 20)
+    sizes = [10, 70_000, 70_000, 1_500_000, 20_000_000, 20_000_001] + [200] * 40
+    pages = spark.createDataFrame([(i, f"http://p/{i}", chr(97 + i % 26) * n, "") for i, n in enumerate(sizes)], PAGE).coalesce(1)
+    warc.write_warc(pages, str(tmp_path / "w"))
+    assert len(list((tmp_path / "w").glob("*.gz"))) >= 5  # one each of the three lower sizes, two of the highest
+    found = warc.captures(warc.read_records(spark, str(tmp_path / "w"))).select("payload_bytes", warc.page_of(F.col("metadata")).alias("page")).collect()
+    assert {r.page: r.payload_bytes for r in found} == dict(enumerate(sizes))
+    slim = warc.captures(warc.without_payloads(warc.read_records(spark, str(tmp_path / "w"))), with_payload=False)
+    assert sorted(r.payload_bytes for r in slim.collect()) == sorted(sizes)
+
+
 def toxic_case(n=900, seed=2):
     rnd = random.Random(seed)
     vocab = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 8))) for _ in range(300)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import ann, decontaminate, model_queries, packing, sharding, simhash, suffix_dedup, token_store, toxicity, url_filter, warc
-from .common import cut_lineage, table
+from .common import cut_lineage, discard, table
 
 RULES = [
     ("com", "/", "allow"),
@@ -133,9 +133,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    found = warc.captures(warc.read_records(spark, path))
+    records = warc.without_payloads(warc.read_records(spark, path))
+    found = warc.captures(records, with_payload=False)
     rows = found.select("record_id", warc.page_of(F.col("metadata")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
     stored = cut_lineage(rows, "captures")
+    discard(records)
     first = stored.filter("record_type = 'response'").select(F.col("record_id").alias("r_id"), F.col("page_id").alias("r_page"))
     linked = stored.join(first, F.col("refers_to") == F.col("r_id"), "left")
     return linked.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("r_page").alias("refers_to"))

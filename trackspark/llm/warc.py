@@ -11,17 +11,22 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, discard, map_batches, numbered
+from .common import cut_lineage, discard, numbered
 
 #: Payloads below this many bytes are never replaced by a reference.
 LEAST_REVISIT = 100
-#: Records in an archive part; a reader holds one part's compressed bytes at a time.
-PART_RECORDS = 6000
+#: Records in an archive part by the bytes of their html: a reader holds one part's compressed bytes at a time,
+#: so long pages share parts of their own. Beyond the last size each page has a part.
+PART_RECORDS = {1 << 16: 6000, 1 << 20: 384, 1 << 24: 24}
+PAGE_RECORDS = 3
+#: Records and payload bytes that a reader passes on together.
+BATCH_RECORDS, BATCH_BYTES = 2000, 32 << 20
 #: Groups of equal payloads that every executor may hold (about 120 bytes each).
 FEW = 200_000
 DATE = "2024-01-01T00:00:00Z"
@@ -51,7 +56,7 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     least 100 bytes long, those with the smallest page_id are responses, the others
     revisit the first of them; rows without an id come last. Repeated rows with the
     smallest id are responses each. Line breaks in a url are percent-encoded; a null
-    url is an empty target. Other columns are not read. An empty table gives an archive
+    url is an empty target. Very long pages get archive parts of their own. Other columns are not read. An empty table gives an archive
     without records.
     """
     digest = F.sha2(F.coalesce(F.col(html), F.lit("")), 256)
@@ -84,8 +89,14 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     )
     about = F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n"))
     metadata = _record("metadata", name("metadata", number), target, "application/warc-fields", about, ("WARC-Concurrent-To", main))
-    records = led.select(F.explode(F.array(request, F.when(is_response, response).otherwise(revisit), metadata)).alias("value"))
-    records.write.mode("overwrite").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", PART_RECORDS).text(path)
+    limits = [*PART_RECORDS, None]
+    fits = reduce(lambda rest, k: F.when(F.octet_length("html") <= limits[k], k).otherwise(rest), reversed(range(len(limits) - 1)), F.lit(len(limits) - 1))
+    there = sorted(r.k for r in rows.select(fits.alias("k")).distinct().collect()) or [0]  # at most four
+    for n, k in enumerate(there):
+        part = led.filter(fits == k) if len(there) > 1 else led
+        records = part.select(F.explode(F.array(request, F.when(is_response, response).otherwise(revisit), metadata)).alias("value"))
+        writer = records.write.mode("append" if n else "overwrite").option("lineSep", END).option("compression", "gzip")
+        writer.option("maxRecordsPerFile", PART_RECORDS.get(limits[k], PAGE_RECORDS)).text(path)
     discard(rows)
 
 
@@ -158,17 +169,37 @@ def parse_records(raw: bytes) -> Iterator[tuple]:
         )
 
 
-def _parse(batch: pa.RecordBatch) -> pa.RecordBatch:
-    found = [r for raw in batch.column(0) for r in parse_records(raw.as_buffer().to_pybytes())]
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of parts in batches of bounded size, however much a part unpacks to."""
     kinds = [pa.string()] * 8 + [pa.binary(), pa.int64(), pa.string()]
-    cols = list(zip(*found, strict=True)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in RECORD.split(", ")])
+    names = [c.split()[0] for c in RECORD.split(", ")]
+
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
+
+    for part in batches:
+        for raw in part.column(0):
+            held, size = [], 0
+            for record in parse_records(raw.as_buffer().to_pybytes()):
+                held.append(record)
+                size += record[9]
+                if len(held) >= BATCH_RECORDS or size >= BATCH_BYTES:
+                    yield batch(held)
+                    held, size = [], 0
+            if held:
+                yield batch(held)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """All records of the archive parts below ``path``, one part after the other in a task."""
     parts = spark.read.format("binaryFile").load(path).select("content")
-    return map_batches(parts, _parse, RECORD)
+    return parts.mapInArrow(_parsed, RECORD)
+
+
+def without_payloads(records: DataFrame) -> DataFrame:
+    """``records`` stored once without the blocks of responses: enough for :func:`captures` ``with_payload=False``, which reads them three times."""
+    main = F.col("type").isin("response", "revisit")
+    return cut_lineage(records.withColumn("block", F.when(~main, F.col("block"))), "records")
 
 
 def captures(records: DataFrame, with_payload: bool = True) -> DataFrame:

@@ -103,3 +103,24 @@ def test_row_index_is_a_permutation(spark):
 def test_average_rank_shares_ties(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (5.0,)], "x double")
     assert {r.x: r["rank"] for r in o.average_rank(df, "x").collect()} == {1.0: 1.0, 2.0: 2.5, 5.0: 4.0}
+
+
+def test_running_sums_are_the_same_bits_at_every_width(spark):
+    r = random.Random(4)
+    data = [(0, k, s, r.choice([None, r.uniform(-1e6, 1e6), r.uniform(-1e-6, 1e-6)])) for k in range(3) for s in r.sample(range(900), 300)]
+    df = spark.createDataFrame(data, "event_id long, seed_id long, step_k long, v double")
+
+    def sums(width, parts):
+        got = o.running(df.repartition(parts), ["event_id", "seed_id"], "step_k", sums={"s": "v"}, width=width)
+        assert dict(got.dtypes)["s"] == "double"
+        return {(x.seed_id, x.step_k): x.s.hex() for x in got.collect()}
+
+    assert sums(o.CHUNK_WIDTH, 3) == sums(50, 7) == sums(7, 1)
+
+
+def test_first_by_key_takes_whole_rows(spark):
+    data = [(1, 3, None, "a"), (1, 2, 5, "b"), (1, 2, 4, "c"), (None, 9, 1, "d"), (None, 8, None, None), (2, None, 7, "e")]
+    df = spark.createDataFrame(data, "k long, o long, v long, `t x` string")
+    got = {tuple(x) for x in o.first_by_key(df.repartition(5), ["k"], ["o", "v"]).collect()}
+    assert got == {(1, 2, 4, "c"), (None, 8, None, None), (2, None, 7, "e")}
+    assert o.first_by_key(df, ["k"], ["o", "v"]).columns == df.columns

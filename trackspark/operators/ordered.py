@@ -24,6 +24,8 @@ from ..functions.expr import col
 from ..session import cut_lineage
 
 CHUNK_WIDTH = 65_536
+#: Floating-point values are added in this type, and their sums in the other; a sum of two of those keeps its places.
+FIXED, FIXED_SUM = "decimal(27,14)", "decimal(37,14)"
 
 
 def needs_chunks(df: DataFrame, order: str, width: int = CHUNK_WIDTH) -> bool:
@@ -60,9 +62,14 @@ def running(
 
     ``order`` must be an integer that is unique within a group. With
     ``inclusive=False`` the frame ends before the current row; ``descending``
-    runs it from the end of the group.
+    runs it from the end of the group. Floating-point values are added as
+    ``FIXED`` numbers, whose sums are exact: results are the same bits for every ``width``, chunked or not.
+    A value that is infinite or does not fit is an error.
     """
     sums, mins, lasts = dict(sums or {}), dict(mins or {}), dict(lasts or {})
+    floating = [n for n, e in sums.items() if df.select(col(e).alias(n)).schema[0].dataType.simpleString() in ("float", "double")]
+    sums |= {n: col(sums[n]).cast(FIXED) for n in floating}
+    as_double = {n: F.col(n).cast("double") for n in floating}
     keys = list(keys)
     direction = F.col(order).desc() if descending else F.col(order).asc()
     end = 0 if inclusive else -1
@@ -81,7 +88,7 @@ def running(
     if chunked is None:
         chunked = needs_chunks(df, order, width)
     if not chunked:
-        return df.withColumns(local(keys))
+        return df.withColumns(local(keys)).withColumns(as_double)
 
     chunk = "_chunk"
     # Read twice below (rows and chunk totals): written once instead of computed twice.
@@ -106,11 +113,12 @@ def running(
         *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts],
     )
     joined = out.join(carry, _same(out, carry, [*keys, chunk]), "left")
-    combined = {n: F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums}
+    kept_type = lambda n, c: c.cast(FIXED_SUM) if n in floating else c
+    combined = {n: kept_type(n, F.col(n)) + kept_type(n, F.coalesce(F.col(f"_c_{n}"), F.lit(0))) for n in sums}
     combined |= {n: F.least(F.col(n), F.col(f"_c_{n}")) for n in mins}
     combined |= {n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in lasts}
     kept = [out[c].alias(c) if c not in combined else combined[c].alias(c) for c in out.columns if c != chunk]
-    return joined.select(*kept)
+    return joined.select(*kept).withColumns(as_double)
 
 
 def shifted(

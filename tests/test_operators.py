@@ -435,7 +435,7 @@ def test_pareto_blocks_give_the_same_front(spark, monkeypatch):
     df = spark.createDataFrame([(i, r.random(), r.random(), r.random()) for i in range(400)], "id long, a double, b double, c double")
     obj = [("a", "min"), ("b", "min"), ("c", "min")]
     whole = {x.id for x in pareto.pareto_front(df, obj).collect()}
-    monkeypatch.setattr(pareto, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(pareto, "bucket_count", lambda df: 3)
     assert {x.id for x in pareto.pareto_front(df, obj).collect()} == whole
 
 

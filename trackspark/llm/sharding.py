@@ -21,7 +21,7 @@ PROBES = 256
 TOLERANCE = 1 / 4096
 #: A group of equal texts is cut only where leaving it whole would miss by more than this share.
 GROUP_TOLERANCE = 1 / 64
-#: Bytes of text in a partition of the exchange.
+#: Most bytes of text in a partition of the exchange; there are as many partitions as the session shuffles to, at least.
 PART_BYTES = 64 << 20
 
 
@@ -139,7 +139,8 @@ def shard_rows(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text:
     keys = cut_lineage(rows.select(k1.alias("k1"), k2.alias("k2"), size.alias("bytes")), "shard-keys")
     cuts = splitters(keys, shards)
     total = int(keys.agg(F.sum("bytes")).first()[0] or 0)
-    parts = max(1, -(-total // (shards * PART_BYTES)))
+    wanted = max(-(-total // PART_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = -(-wanted // shards)
     discard(keys)
     body = rows.drop("shard", "slot")
     row, at, part = (fresh_name(body, n) for n in ("k_row", "k_at", "k_part"))

@@ -124,3 +124,31 @@ def test_first_by_key_takes_whole_rows(spark):
     got = {tuple(x) for x in o.first_by_key(df.repartition(5), ["k"], ["o", "v"]).collect()}
     assert got == {(1, 2, 4, "c"), (None, 8, None, None), (2, None, 7, "e")}
     assert o.first_by_key(df, ["k"], ["o", "v"]).columns == df.columns
+
+
+@pytest.mark.parametrize("width", [o.CHUNK_WIDTH, 50])
+def test_rows_with_null_keys_are_one_group(spark, width):
+    data = [(None, s, s % 3) for s in range(0, 400, 2)] + [(1, s, 1) for s in range(300)]
+    df = spark.createDataFrame(data, "k long, step_k long, v long").repartition(6)
+    got = o.shifted(o.running(df, ["k"], "step_k", sums={"s": "v"}, width=width), ["k"], "step_k", {"n": "v"}, width=width)
+    seen = {(r.k, r.step_k): (r.s, r.n) for r in got.collect()}
+    for key in (None, 1):
+        rows = [(s, v) for k, s, v in data if k == key]
+        for i, (s, _) in enumerate(rows):
+            assert seen[key, s] == (sum(v for _, v in rows[: i + 1]), rows[i + 1][1] if i + 1 < len(rows) else None)
+
+
+def test_running_plans_without_jobs_and_short_groups_take_one_shuffle(spark, tmp_path):
+    data, df = _frame(spark)
+    df.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    spark.sparkContext.setJobGroup("planning", "no job may start")
+    keys = ["event_id", "seed_id"]
+    passes = o.passes_chunk(df, "step_k")
+    s = o.running(o.in_chunks(df, keys, "step_k"), keys, "step_k", sums={"s": "v"}, passes=passes)
+    s = o.running(s, keys, "step_k", lasts={"l": F.when(F.col("v") > 0, F.col("s"))}, descending=True, passes=passes)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(s.collect()) == len(data)
+    final = s._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Join" not in final and final.count("Exchange hashpartitioning") == 1

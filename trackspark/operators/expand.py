@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import col, count_if, finite, true
 from ..functions.geometry import half_width, in_box, in_radius
 from ..session import cut_lineage
-from .ordered import CHUNK_WIDTH, needs_chunks, running
+from .ordered import CHUNK, CHUNK_WIDTH, in_chunks, passes_chunk, running
 
 # Meaning of ``action_taken``.
 ACTION_CANDIDATE = 0
@@ -284,7 +284,8 @@ def branch_history(
     hit = (F.col("n_window") > 0) if hit is None else hit
     hole = ~hit if hole is None else hole
     s = states.withColumns({"_hit": true(hit).cast("long"), "_hole": true(hole).cast("long")})
-    chunked = needs_chunks(s, order, width)
+    passes = passes_chunk(states, order, width)
+    s = in_chunks(s, keys, order, width)
     s = running(
         s,
         keys,
@@ -292,7 +293,7 @@ def branch_history(
         sums={"n_hits": "_hit", "n_holes": "_hole"},
         inclusive=False,
         width=width,
-        chunked=chunked,
+        passes=passes,
     )
     # Holes counted up to the last hit; the difference is the current run of holes.
     s = running(
@@ -302,11 +303,11 @@ def branch_history(
         lasts={"_at_hit": F.when(F.col("_hit") == 1, F.col("n_holes"))},
         inclusive=False,
         width=width,
-        chunked=chunked,
+        passes=passes,
     )
     return s.withColumn(
         "n_seq_holes", F.col("n_holes") - F.coalesce(F.col("_at_hit"), F.lit(0))
-    ).drop("_hit", "_hole", "_at_hit")
+    ).drop("_hit", "_hole", "_at_hit", CHUNK)
 
 
 def window_counts(rows: DataFrame, keys, flag: Column, out: str) -> DataFrame:

@@ -22,7 +22,7 @@ from ..functions.strata import (
     pt_index,
     sensor_class,
 )
-from .ordered import CHUNK_WIDTH, exact_percentiles, first_n, needs_chunks, running
+from .ordered import CHUNK, CHUNK_WIDTH, exact_percentiles, first_n, in_chunks, passes_chunk, running
 
 BRANCH = ("event_id", "seed_id", "branch_id")
 SEED = ("event_id", "seed_id")
@@ -200,7 +200,8 @@ def emulate(
     s = states.select(*SEED, "step_k", "state_theta", "volume_id", "state_qop")
     s = s.join(per_step, [*SEED, "step_k"], "left")
     hole = (is_sensor("volume_id") & F.col("_n").isNull()).cast("long")
-    s = running(s.withColumn("_hole", hole), SEED, "step_k", sums={"_holes": "_hole"}, width=width)
+    passes = passes_chunk(states, "step_k", width)
+    s = running(s.withColumn("_hole", hole), SEED, "step_k", sums={"_holes": "_hole"}, width=width, passes=passes)
     inside = F.col("_holes") <= point.max_holes
     g = s.groupBy(*SEED).agg(
         F.min(F.when(~inside, F.col("step_k"))).alias("cutoff_step"),
@@ -266,7 +267,7 @@ def module_failure(rows: DataFrame, density_edges: Sequence[float] = (2.0, 5.0,
 def cumulative_material(rows: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
     """Material up to each state, every surface charged once whatever its number of candidates."""
     s = rows.groupBy(*STATE).agg(F.max(F.coalesce("pathInX0_interval", F.lit(0.0))).alias("_x"))
-    return running(s, BRANCH, "step_k", sums={"cum_x0": "_x"}, width=width).drop("_x")
+    return running(s, BRANCH, "step_k", sums={"cum_x0": "_x"}, width=width, passes=passes_chunk(rows, "step_k", width)).drop("_x")
 
 
 def true_hit_distances(rows: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
@@ -479,15 +480,16 @@ def hole_counter_mismatch(states: DataFrame, passive: Sequence[int], width: int
     dead = F.col("volume_id").isin(list(passive))
     s = states.withColumns({"_all": (~hit).cast("long"), "_sens": (~hit & ~dead).cast("long")})
     sums = {"nh_all": "_all", "nh_sensor": "_sens"}
-    chunked = needs_chunks(s, "step_k", width)
-    s = running(s, BRANCH, "step_k", sums=sums, inclusive=False, width=width, chunked=chunked)
+    passes = passes_chunk(states, "step_k", width)
+    s = in_chunks(s, BRANCH, "step_k", width)
+    s = running(s, BRANCH, "step_k", sums=sums, inclusive=False, width=width, passes=passes)
     marks = {
         "_a": F.when(hit, F.col("nh_all")),
         # A passive surface with a candidate count is still no hit under this rule.
         "_b": F.when(hit & ~dead, F.col("nh_sensor")),
         "_c": F.when((hit & ~dead) | dead, F.col("nh_sensor")),
     }
-    s = running(s, BRANCH, "step_k", lasts=marks, inclusive=False, width=width, chunked=chunked)
+    s = running(s, BRANCH, "step_k", lasts=marks, inclusive=False, width=width, passes=passes)
     zero = F.lit(0)
     return s.withColumns(
         {
@@ -496,7 +498,7 @@ def hole_counter_mismatch(states: DataFrame, passive: Sequence[int], width: int
             "seq_reset": F.col("nh_sensor") - F.coalesce("_c", zero),
             "d_holes": F.col("nh_all") - F.col("nh_sensor"),
         }
-    ).drop("_all", "_sens", "_a", "_b", "_c")
+    ).drop("_all", "_sens", "_a", "_b", "_c", CHUNK)
 
 
 # --- event bootstrap ---------------------------------------------------------------------

@@ -3,10 +3,11 @@
 Two tools:
 
 * :func:`running` / :func:`shifted` — per-group running values and neighbours.
-  Groups are branches, whose order column is a small non-negative integer, so a
-  plain window suffices; a probe on the order column (pushed down to Parquet
-  statistics) detects longer groups, which are split into chunks of ``width``
-  steps and stitched together through one row per chunk.
+  The integer order column cuts every group into chunks of ``width`` steps; rows
+  are shuffled by group and chunk, and one row per chunk carries the values of
+  earlier chunks over. There is one plan for every length of group. Its carry
+  side is filtered by a scalar subquery (does any group pass its first chunk?)
+  and stays empty otherwise, when adaptive execution drops the join to it.
 * :func:`value_prefix` — running totals over a value-ordered table across the
   whole cluster, by range buckets with literal boundaries.
 """
@@ -15,6 +16,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -28,14 +31,27 @@ CHUNK_WIDTH = 65_536
 FIXED, FIXED_SUM = "decimal(27,14)", "decimal(37,14)"
 
 
-def needs_chunks(df: DataFrame, order: str, width: int = CHUNK_WIDTH) -> bool:
-    """Is any step outside the first chunk? Reads the order column only.
+#: Number of a row's chunk, kept from one call to the next by :func:`in_chunks`.
+CHUNK = "_chunk"
 
-    Probe a table before windows are added to it (the filter does not pass through
-    a window) and hand the answer to several :func:`running` calls as ``chunked``.
+
+def passes_chunk(df: DataFrame, order: str, width: int = CHUNK_WIDTH) -> Column:
+    """Is any step outside the first chunk? A scalar subquery over the order column, answered when the plan runs.
+
+    Take it from a table before it is grouped or joined and hand it to the calls on what comes of it.
+    """
+    outside = F.coalesce(F.max((F.col(order) >= width) | (F.col(order) < 0)), F.lit(False))
+    return df.agg(outside.alias("outside")).scalar()
+
+
+def in_chunks(df: DataFrame, keys: Sequence[str], order: str, width: int = CHUNK_WIDTH) -> DataFrame:
+    """``df`` with the chunk of each row: calls in a row then share one shuffle. Drop ``CHUNK`` after the last.
+
+    Rows with a null key are one group and one chunk, so the carry can be joined
+    by plain equality, which keeps the rows where the windows have put them.
     """
-    o = F.col(order)
-    return not df.where((o >= width) | (o < 0)).select(order).isEmpty()
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    return df.withColumn(CHUNK, F.when(known, F.floor(F.col(order) / F.lit(width))).otherwise(F.lit(0)).cast("long"))
 
 
 def _same(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> Column:
@@ -45,6 +61,12 @@ def _same(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> Column:
     return cond
 
 
+def _ready(df: DataFrame, keys: Sequence[str], order: str, width: int, passes: Column | None) -> tuple[DataFrame, Column, bool]:
+    passes = passes_chunk(df, order, width) if passes is None else passes
+    given = CHUNK in df.columns
+    return (df if given else in_chunks(df, keys, order, width)), passes, given
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -56,15 +78,16 @@ def running(
     inclusive: bool = True,
     descending: bool = False,
     width: int = CHUNK_WIDTH,
-    chunked: bool | None = None,
+    passes: Column | None = None,
 ) -> DataFrame:
     """Add running sums (0 on an empty frame), minima and last non-null values.
 
     ``order`` must be an integer that is unique within a group. With
     ``inclusive=False`` the frame ends before the current row; ``descending``
     runs it from the end of the group. Floating-point values are added as
-    ``FIXED`` numbers, whose sums are exact: results are the same bits for every ``width``, chunked or not.
-    A value that is infinite or does not fit is an error.
+    ``FIXED`` numbers, whose sums are exact: results are the same bits for every ``width``.
+    A value that is infinite or does not fit is an error. ``passes`` is :func:`passes_chunk`
+    of ``df`` or of a table it came from. A chunk column of ``df`` is used and kept.
     """
     sums, mins, lasts = dict(sums or {}), dict(mins or {}), dict(lasts or {})
     floating = [n for n, e in sums.items() if df.select(col(e).alias(n)).schema[0].dataType.simpleString() in ("float", "double")]
@@ -74,26 +97,12 @@ def running(
     direction = F.col(order).desc() if descending else F.col(order).asc()
     end = 0 if inclusive else -1
 
-    def local(partition: list[str]) -> dict[str, Column]:
-        w = (
-            Window.partitionBy(*partition)
-            .orderBy(direction)
-            .rowsBetween(Window.unboundedPreceding, end)
-        )
-        cols = {n: F.coalesce(F.sum(col(e)).over(w), F.lit(0)) for n, e in sums.items()}
-        cols |= {n: F.min(col(e)).over(w) for n, e in mins.items()}
-        cols |= {n: F.last(col(e), ignorenulls=True).over(w) for n, e in lasts.items()}
-        return cols
-
-    if chunked is None:
-        chunked = needs_chunks(df, order, width)
-    if not chunked:
-        return df.withColumns(local(keys)).withColumns(as_double)
-
-    chunk = "_chunk"
-    # Read twice below (rows and chunk totals): written once instead of computed twice.
-    df = cut_lineage(df.withColumn(chunk, F.floor(F.col(order) / F.lit(width)).cast("long")), "chunks")
-    out = df.withColumns(local([*keys, chunk]))
+    df, passes, keep_chunk = _ready(df, keys, order, width, passes)
+    w = Window.partitionBy(*keys, CHUNK).orderBy(direction).rowsBetween(Window.unboundedPreceding, end)
+    local = {n: F.coalesce(F.sum(col(e)).over(w), F.lit(0)) for n, e in sums.items()}
+    local |= {n: F.min(col(e)).over(w) for n, e in mins.items()}
+    local |= {n: F.last(col(e), ignorenulls=True).over(w) for n, e in lasts.items()}
+    out = df.withColumns(local)
     aggs = [F.sum(col(e)).alias(f"_t_{n}") for n, e in sums.items()]
     aggs += [F.min(col(e)).alias(f"_t_{n}") for n, e in mins.items()]
     pick = F.min_by if descending else F.max_by
@@ -101,23 +110,23 @@ def running(
         aggs.append(pick(col(e), F.when(col(e).isNotNull(), F.col(order))).alias(f"_t_{n}"))
     before = (
         Window.partitionBy(*keys)
-        .orderBy(F.col(chunk).desc() if descending else F.col(chunk).asc())
+        .orderBy(F.col(CHUNK).desc() if descending else F.col(CHUNK).asc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    totals = df.groupBy(*keys, chunk).agg(*aggs)
+    totals = df.where(passes).groupBy(*keys, CHUNK).agg(*aggs)
     carry = totals.select(
         *keys,
-        chunk,
+        CHUNK,
         *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums],
         *[F.min(f"_t_{n}").over(before).alias(f"_c_{n}") for n in mins],
         *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts],
     )
-    joined = out.join(carry, _same(out, carry, [*keys, chunk]), "left")
+    joined = out.join(carry, reduce(and_, [out[k] == carry[k] for k in (*keys, CHUNK)]), "left")
     kept_type = lambda n, c: c.cast(FIXED_SUM) if n in floating else c
     combined = {n: kept_type(n, F.col(n)) + kept_type(n, F.coalesce(F.col(f"_c_{n}"), F.lit(0))) for n in sums}
     combined |= {n: F.least(F.col(n), F.col(f"_c_{n}")) for n in mins}
     combined |= {n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in lasts}
-    kept = [out[c].alias(c) if c not in combined else combined[c].alias(c) for c in out.columns if c != chunk]
+    kept = [combined.get(c, out[c]).alias(c) for c in out.columns if keep_chunk or c != CHUNK]
     return joined.select(*kept).withColumns(as_double)
 
 
@@ -129,41 +138,28 @@ def shifted(
     *,
     forward: bool = True,
     width: int = CHUNK_WIDTH,
-    chunked: bool | None = None,
+    passes: Column | None = None,
 ) -> DataFrame:
     """Add each value of the next (``forward``) or previous row of the group."""
     keys = list(keys)
-    if chunked is None:
-        chunked = needs_chunks(df, order, width)
-    if not chunked:
-        w = Window.partitionBy(*keys).orderBy(order)
-        step = F.lead if forward else F.lag
-        return df.withColumns({n: step(col(e)).over(w) for n, e in values.items()})
-
-    chunk = "_chunk"
-    # Read twice below (rows and chunk totals): written once instead of computed twice.
-    df = cut_lineage(df.withColumn(chunk, F.floor(F.col(order) / F.lit(width)).cast("long")), "chunks")
-    w = Window.partitionBy(*keys, chunk).orderBy(order)
-    edge = Window.partitionBy(*keys).orderBy(chunk)
+    df, passes, keep_chunk = _ready(df, keys, order, width, passes)
+    w = Window.partitionBy(*keys, CHUNK).orderBy(order)
+    edge = Window.partitionBy(*keys).orderBy(CHUNK)
     step = F.lead if forward else F.lag
     out = df.withColumns({n: step(col(e)).over(w) for n, e in values.items()}).withColumn(
         "_inner", step(F.lit(True)).over(w)
     )
     pick = F.min_by if forward else F.max_by
-    ends = df.groupBy(*keys, chunk).agg(
+    ends = df.where(passes).groupBy(*keys, CHUNK).agg(
         *[pick(col(e), F.col(order)).alias(f"_t_{n}") for n, e in values.items()]
     )
     carry = ends.select(
-        *keys, chunk, *[step(f"_t_{n}").over(edge).alias(f"_c_{n}") for n in values]
+        *keys, CHUNK, *[step(f"_t_{n}").over(edge).alias(f"_c_{n}") for n in values]
     )
-    joined = out.join(carry, _same(out, carry, [*keys, chunk]), "left")
+    joined = out.join(carry, reduce(and_, [out[k] == carry[k] for k in (*keys, CHUNK)]), "left")
     pickup = {n: F.when(F.col("_inner"), F.col(n)).otherwise(F.col(f"_c_{n}")) for n in values}
-    kept = [
-        pickup[c].alias(c) if c in pickup else out[c].alias(c)
-        for c in out.columns
-        if c not in (chunk, "_inner")
-    ]
-    return joined.select(*kept)
+    dropped = ("_inner",) if keep_chunk else ("_inner", CHUNK)
+    return joined.select(*[pickup.get(c, out[c]).alias(c) for c in out.columns if c not in dropped])
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:

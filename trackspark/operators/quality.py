@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import beside, bin_index, count_if, finite, ratio, true
 from ..functions.strata import PASSIVE_VOLUMES, SENSOR_CLASS, SENSOR_CLASS_NAMES, member
-from .ordered import exact_percentiles, first_n, needs_chunks, running, shifted
+from .ordered import exact_percentiles, first_n, in_chunks, passes_chunk, running, shifted
 from .truth import mode_by
 
 SEED = ("event_id", "seed_id")
@@ -101,9 +101,9 @@ def volume_presence(rows: DataFrame) -> DataFrame:
 
 def history_consistency(states: DataFrame) -> DataFrame:
     """States whose hit + hole counters differ from their position or fall (one row)."""
-    chunked = needs_chunks(states, "step_k")
-    s = running(states, SEED, "step_k", sums={"_pos": F.lit(1)}, inclusive=False, chunked=chunked)
-    s = shifted(s, SEED, "step_k", {"_prev": "n_hits"}, forward=False, chunked=chunked)
+    passes = passes_chunk(states, "step_k")
+    s = running(in_chunks(states, SEED, "step_k"), SEED, "step_k", sums={"_pos": F.lit(1)}, inclusive=False, passes=passes)
+    s = shifted(s, SEED, "step_k", {"_prev": "n_hits"}, forward=False, passes=passes)
     return s.agg(
         F.count(F.lit(1)).alias("n_states"),
         count_if(F.col("n_hits") + F.col("n_holes") != F.col("_pos")).alias("n_bad_total"),

@@ -6,14 +6,14 @@ step_k``; several events may share a table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import beside, clip, count_if, finite, true
 from ..functions.geometry import chi2_log_odds, pseudorapidity
 from ..functions.strata import is_hit, member, selected_outcome
 from ..session import cut_lineage
-from .ordered import CHUNK_WIDTH, exact_percentiles, first_n, needs_chunks, running, shifted
+from .ordered import CHUNK, CHUNK_WIDTH, exact_percentiles, first_n, in_chunks, passes_chunk, running, shifted
 
 BRANCH = ("event_id", "seed_id", "branch_id")
 STATE = (*BRANCH, "step_k")
@@ -44,17 +44,18 @@ def past_counts(rows: DataFrame, keys=("event_id", "seed_id"), width: int = CHUN
         .groupBy(*keys, "step_k")
         .agg(F.max(correct).alias("_c"), F.max(wrong).alias("_w"))
     )
-    out = running(states, keys, "step_k", sums={"n_correct": "_c", "n_wrong": "_w"}, width=width)
+    passes = passes_chunk(rows, "step_k", width)
+    out = running(states, keys, "step_k", sums={"n_correct": "_c", "n_wrong": "_w"}, width=width, passes=passes)
     return out.drop("_c", "_w")
 
 
 def future_counts(
-    steps: DataFrame, flag: str, out: str, keys=BRANCH, width: int = CHUNK_WIDTH, chunked: bool | None = None
+    steps: DataFrame, flag: str, out: str, keys=BRANCH, width: int = CHUNK_WIDTH, passes: Column | None = None
 ) -> DataFrame:
     """Flagged states strictly after each state."""
     s = steps.withColumn("_f", true(flag).cast("long"))
     return running(
-        s, keys, "step_k", sums={out: "_f"}, inclusive=False, descending=True, width=width, chunked=chunked
+        s, keys, "step_k", sums={out: "_f"}, inclusive=False, descending=True, width=width, passes=passes
     ).drop("_f")
 
 
@@ -65,16 +66,17 @@ def logged_targets(steps: DataFrame, totals: DataFrame, width: int = CHUNK_WIDTH
     """
     t = totals.select("event_id", F.col("particle_id").alias("branch_majority_pid"), "n_total")
     s = steps.withColumn("_m", true("maj_hit_on_surface").cast("long"))
-    chunked = needs_chunks(s, "step_k", width)
+    passes = passes_chunk(steps, "step_k", width)
+    s = in_chunks(s, BRANCH, "step_k", width)
     s = running(
         s,
         BRANCH,
         "step_k",
         sums={"n_correct": "sel_correct", "n_wrong": "sel_wrong", "_seen": "_m"},
         width=width,
-        chunked=chunked,
+        passes=passes,
     )
-    s = future_counts(s, "maj_hit_on_surface", "n_findable_t2", width=width, chunked=chunked)
+    s = future_counts(s, "maj_hit_on_surface", "n_findable_t2", width=width, passes=passes)
     s = s.join(t, ["event_id", "branch_majority_pid"], "left")
     left = F.col("n_total") - F.col("_seen")
     s = s.withColumn("n_findable_t1", F.when(left.isNotNull(), F.greatest(left, F.lit(0))))
@@ -91,7 +93,7 @@ def logged_targets(steps: DataFrame, totals: DataFrame, width: int = CHUNK_WIDTH
     return s.withColumns({"completeness": comp, "purity": pure, "vstar_t2": t2, "vstar_t1": t1}).withColumn(
         "tier_invariant_violated",
         F.coalesce(F.col("vstar_t1") < F.col("vstar_t2") - 1e-12, F.lit(False)),
-    ).drop("_m", "_seen")
+    ).drop("_m", "_seen", CHUNK)
 
 
 def valid_targets(targets: DataFrame) -> DataFrame:
@@ -136,6 +138,7 @@ def value_features(rows: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
         },
         mins={"min_gate_logodds": "step_logodds"},
         width=width,
+        passes=passes_chunk(rows, "step_k", width),
     )
     return s.withColumns(
         {
@@ -174,9 +177,8 @@ def classify_states(rows: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
         F.coalesce(F.min(F.when(true("is_ckf_selected"), F.col("cand_hit_id"))), F.lit(-1)).alias("sel_hit"),
         F.coalesce(best.getField("cand_hit_id"), F.lit(-1)).alias("truth_pick"),
     )
-    s = shifted(
-        s, ["event_id", "seed_id"], "step_k", {"_next_sel": "sel_hit", "_next_pick": "truth_pick"}, width=width
-    )
+    following = {"_next_sel": "sel_hit", "_next_pick": "truth_pick"}
+    s = shifted(s, ["event_id", "seed_id"], "step_k", following, width=width, passes=passes_chunk(rows, "step_k", width))
     cls = (
         F.when(F.col("_next_sel").isNull(), F.lit("tip"))
         .when(F.col("_next_sel") == F.col("_next_pick"), F.lit("collapse"))
@@ -307,7 +309,7 @@ def rollout_targets(
         .withColumn("_anchor", F.col("state_class").isin(*ANCHORS))
     )
     s = cut_lineage(s, "rollout")
-    chunked = needs_chunks(s, "step_k", width)
+    passes = passes_chunk(s, "step_k", width)
     why = (
         F.when(count_if(F.col("_anchor") & F.col("n_findable").isNull()) > 0, F.lit("missing_rollout"))
         .when(count_if(F.col("n_correct").isNull()) > 0, F.lit("missing_past"))
@@ -330,13 +332,14 @@ def rollout_targets(
         .agg(F.count(F.lit(1)).alias("n_branches"), F.sum("n_states").alias("n_states"))
     )
     good = s.join(branches.where(F.col("reason").isNull()).select(*keys), keys, "left_semi")
-    good = shifted(good, keys, "step_k", {"_child": "sel_hit"}, width=width, chunked=chunked)
+    good = in_chunks(good, keys, "step_k", width)
+    good = shifted(good, keys, "step_k", {"_child": "sel_hit"}, width=width, passes=passes)
     step = F.when(F.col("_anchor"), F.lit(0)).otherwise(
         F.coalesce((F.col("_child") >= 0).cast("long"), F.lit(0))
     )
-    good = running(good, keys, "step_k", sums={"_sum": step}, descending=True, width=width, chunked=chunked)
+    good = running(good, keys, "step_k", sums={"_sum": step}, descending=True, width=width, passes=passes)
     mark = F.when(F.col("_anchor"), F.col("n_findable") - F.col("_sum"))
-    good = running(good, keys, "step_k", lasts={"_base": mark}, descending=True, width=width, chunked=chunked)
+    good = running(good, keys, "step_k", lasts={"_base": mark}, descending=True, width=width, passes=passes)
     findable = F.col("_base") + F.col("_sum")
     found = F.col("n_correct") + findable
     size = found + F.col("n_wrong")

@@ -638,26 +638,44 @@ def _(x):
 
 @check(
     "decision_log_sink",
-    "event_id n:l n_fields:l",
-    "SELECT event_id, count(*) AS n, 28 AS n_fields FROM cand GROUP BY 1",
+    "event_id seed_id branch_id step_k:l cand_hit_id layer_id:l action_taken:l residual_l0:d pred_l1:d chi2_inc:d n_contrib:l contrib_first:l hash n_fields:l n_wrong:l",
+    """SELECT event_id, seed_id, branch_id, step_k, cand_hit_id, layer_id, CASE WHEN cand_hit_id = -1 THEN 2 WHEN is_ckf_selected THEN 0 ELSE 1 END AS action_taken,
+              CAST(residual_l0 AS REAL) AS residual_l0, CAST(pred_l1 AS REAL) AS pred_l1, CAST(chi2_inc AS REAL) AS chi2_inc,
+              coalesce(len(contrib_pids), -1) AS n_contrib, contrib_pids[1] AS contrib_first, 'abc' AS hash, 28 AS n_fields, 0 AS n_wrong FROM cand""",
     "cand",
 )
 def _(x):
     path = scratch_path(x.spark, "decisions")
-    have = {c: F.col(c) for c in x.cand.columns}
+    action = F.when(F.col("cand_hit_id") == -1, "hole").when(F.col("is_ckf_selected"), "accepted").otherwise("rejected")
+    code = F.coalesce(*[F.when(action == name, F.lit(n)) for name, n in schema.ACTIONS.items()])
+    have = {c: F.col(c) for c in x.cand.columns} | {
+        "action_taken": code,
+        "env_config_hash": F.lit("abc"),
+        "residual": F.array("residual_l0", "residual_l1"),
+        "pred_local": F.array("pred_l0", "pred_l1"),
+    }
     cols = []
     for f in schema.decision_log_schema():
         n = schema.VECTOR_LENGTHS.get(f.name)
-        if n:
-            c = F.array_repeat(F.lit(0.0), n)
-        elif f.name in have and not isinstance(f.dataType, T.ArrayType):
-            c = have[f.name]
-        else:
-            c = F.lit(None)
-        cols.append(c.cast(f.dataType).alias(f.name))
+        blank = F.array_repeat(F.lit(0.0), n) if n else F.lit(None)
+        cols.append(have.get(f.name, blank).cast(f.dataType).alias(f.name))
     x.cand.select(*cols).write.parquet(path)
     d = x.spark.read.parquet(path)
     schema.assert_decision_schema(d)
-    return d.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.lit(len(d.columns)).alias("n_fields"))
+    keys = ["event_id", "seed_id", "branch_id", "step_k", "cand_hit_id"]
+    wrong = schema.decision_violations(d, "abc").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_wrong"))
+    return d.join(wrong, keys, "left").select(
+        *keys,
+        "layer_id",
+        "action_taken",
+        F.col("residual")[0].alias("residual_l0"),
+        F.col("pred_local")[1].alias("pred_l1"),
+        "chi2_inc",
+        F.coalesce(F.size("contrib_pids"), F.lit(-1)).alias("n_contrib"),
+        F.get("contrib_pids", F.lit(0)).alias("contrib_first"),
+        F.col("env_config_hash").alias("hash"),
+        F.lit(len(d.columns)).alias("n_fields"),
+        F.coalesce("n_wrong", F.lit(0)).alias("n_wrong"),
+    )
 
 

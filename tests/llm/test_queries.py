@@ -1,6 +1,8 @@
 """The registered queries without SQL, over whole given tables, against plain Python."""
 
+import hashlib
 import os
+import re
 import zlib
 
 import numpy as np
@@ -94,3 +96,39 @@ def test_op13_against_numpy(spark):
         assert r.n == n and r.deviation == sum(int(d) ** 2 for d in n * x[k] - total)
         assert r.whitened * sign[r.component] == pytest.approx(white[k, c], abs=1e-6)
         assert r.explained == pytest.approx(values[c] / values.sum(), rel=1e-6) and r.identity_error < 1e-4
+
+
+def test_op3_finds_nine_tenths_with_exact_scores(spark):
+    t = pq.read_table(f"{DIR}/embeddings.parquet", columns=["vec_id", "embedding"]).to_pydict()
+    kept = {i: np.array(v, float) for i, v in zip(t["vec_id"], t["embedding"], strict=True) if v is not None and None not in v and np.isfinite(v).all() and np.any(v)}
+    ids, x = np.array(list(kept)), np.array(list(kept.values()))
+    found = {}
+    for r in queries.op3_nearest(spark, DIR).collect():
+        assert r.score == pytest.approx(float(kept[r.query_id] @ kept[r.vec_id]), rel=1e-12, abs=1e-12)
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(found) == {i for i in kept if i % 20 == 0}
+    hits = 0
+    for q, answer in found.items():
+        answer.sort()
+        assert [a[0] for a in answer] == list(range(1, 21)) and len({a[1] for a in answer} - {q}) == 20
+        assert [(-a[2], a[1]) for a in answer] == sorted((-a[2], a[1]) for a in answer)
+        best = sorted((-s, i) for s, i in zip(x @ kept[q], ids, strict=True) if i != q)[:20]
+        hits += len({i for _, i in best} & {a[1] for a in answer})
+    assert hits >= 0.9 * 20 * len(found)
+
+
+def test_op11_base_spans_are_the_patterns(spark, texts):
+    assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    kinds = [("assign", assign, 6, 1), ("access", re.compile(r"AKIA[A-Z0-9]+"), 20, 0), ("hex", re.compile(r"[0-9a-f]+"), 24, 0)]
+    want = set()
+    for i, text in texts.items():
+        spans = []
+        for k, (_, pattern, least, group) in enumerate(kinds):
+            spans += [(m.start(), k, m.end()) for m in pattern.finditer(text or "") if len(m.group(group)) >= least]
+        listed = ",".join(f"{kinds[k][0]}:{a}:{b}" for a, k, b in sorted(spans))
+        counts = [sum(s[1] == k for s in spans) for k in range(3)]
+        want.add((i, *counts, hashlib.sha256(listed.encode()).hexdigest()))
+    rows = model_queries.op11_secret_scan(spark, DIR).collect()
+    assert {(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in rows} == want and len(rows) == len(texts)
+    for r in rows:
+        assert len(r.spans.split(",")) >= r.n_assign + r.n_access + r.n_hex or not r.spans

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.compare import canonical
+from trackspark.checks import views
 
 DIR = "/root/testdata/sf0.001"
 #: Iterative fits, models, tokenizers, fingerprints and searches: compared with brute force in the tests.
@@ -36,3 +37,12 @@ def test_matches_sql(spark, name):
         con.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
     got = entry.queries()[name](spark, DIR).toPandas()
     assert canonical(got) == canonical(con.sql(entry.oracle_sql()[name]).df())
+
+
+def test_candidates_take_one_shuffle_and_store_no_steps(spark):
+    inputs = views.Inputs(spark, DIR)
+    plan = inputs._derive("cand")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
+    inputs.cand  # noqa: B018
+    app = spark.sparkContext.applicationId
+    assert not {(app, DIR, n) for n in ("cand_base", "cand_values")} & set(views._STORED)

@@ -13,11 +13,18 @@ from pyspark.sql.types import StructType
 from ..session import scratch_path
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
+#: Views that one other view reads, once: Spark plans them with it instead of storing them.
+INLINE: set[str] = set()
+#: Column that Spark deals a given table by, for a view that groups within that column all the way.
+DEALT: dict[tuple[str, str], str] = {}
 
 
-def view(name: str, *needs: str):
+def view(name: str, *needs: str, inline: bool = False, **dealt: str):
     def add(text: str) -> None:
         VIEWS[name] = (needs, text)
+        if inline:
+            INLINE.add(name)
+        DEALT.update({(name, table): column for table, column in dealt.items()})
 
     return add
 
@@ -72,7 +79,7 @@ class Inputs:
             raise AttributeError(name)
         key = (self.spark.sparkContext.applicationId, self.dir, name)
         if key not in _STORED:
-            for needed in VIEWS[name][0]:
+            for needed in self._needs(name)[0]:
                 getattr(self, needed)
             path = scratch_path(self.spark, f"view-{name}")
             df = self._derive(name)
@@ -81,19 +88,40 @@ class Inputs:
         path, schema = _STORED[key]
         return self.spark.read.schema(schema).parquet(path)
 
+    def _needs(self, name: str) -> tuple[list[str], list[str]]:
+        """Views to be stored before ``name``, and those planned with it, in order."""
+        stored: list[str] = []
+        planned: list[str] = []
+        for needed in VIEWS[name][0]:
+            if needed in INLINE:
+                below = self._needs(needed)
+                stored += below[0]
+                planned += [*below[1], needed]
+            else:
+                stored.append(needed)
+        return list(dict.fromkeys(stored)), list(dict.fromkeys(planned))
+
     def _derive(self, name: str) -> DataFrame:
         """The view over the given tables and the stored views it needs."""
         app = self.spark.sparkContext.applicationId
-        stored = [f"{n} AS (SELECT * FROM parquet.`{_STORED[app, self.dir, n][0]}`)" for n in VIEWS[name][0]]
-        text = _render(VIEWS[name][1], lambda t: f"parquet.`{self.dir}/{t}.parquet`", "array")
-        return self.spark.sql((f"WITH {', '.join(stored)} " if stored else "") + f"SELECT * FROM ({text}) v")
+        stored, planned = self._needs(name)
+        parts = [f"{n} AS (SELECT * FROM parquet.`{_STORED[app, self.dir, n][0]}`)" for n in stored]
+        parts += [f"{n} AS ({self._text(n)})" for n in planned]
+        return self.spark.sql((f"WITH {', '.join(parts)} " if parts else "") + f"SELECT * FROM ({self._text(name)}) v")
+
+    def _text(self, name: str) -> str:
+        def table(t: str) -> str:
+            rows = f"parquet.`{self.dir}/{t}.parquet`"
+            return f"(SELECT /*+ REPARTITION({DEALT[name, t]}) */ * FROM {rows})" if (name, t) in DEALT else rows
+
+        return _render(VIEWS[name][1], table, "array")
 
 
 # --- candidate rows -----------------------------------------------------------------------
 # Branch = supplier and year, step = month, candidate = part. Lines of large quantity and
 # those on the passive volume are no candidates; a state left without any is a hole.
 
-view("cand_base")(
+view("cand_base", inline=True, lineitem="l_suppkey")(
     """
     SELECT event_id, branch_id, step_k, cand_hit_id, vol, q, d, t, p, rf, n_window
     FROM (
@@ -122,7 +150,7 @@ view("cand_base")(
     """
 )
 
-view("cand_values", "cand_base")(
+view("cand_values", "cand_base", inline=True)(
     """
     SELECT event_id, branch_id, step_k, cand_hit_id, n_window, rf, p,
            CAST(vol AS BIGINT) AS volume_id, 2 + 2 * (step_k % 4) AS layer_id, 1 + branch_id % 9 AS module_id,

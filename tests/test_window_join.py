@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from trackspark.operators import expand
+from trackspark.operators import expand, window_counts
 
 STATES = "event_id long, track_nr long, state_idx long, geometry_id long, pred_l0 double, pred_l1 double, sel_l0 double, sel_l1 double, P00 double, P01 double, P11 double"
 MEAS = "event_id long, geometry_id long, measurement_id long, local0 double, local1 double, var_local0 double, var_local1 double"
@@ -52,3 +52,26 @@ def test_tested_pairs_stay_near_the_result(spark):
     s, m = spark.createDataFrame(states, STATES), spark.createDataFrame(meas, MEAS)
     tested, found = expand.meeting_pairs(s, m, N, RADIUS).count(), expand.window_pairs(s, m, N, RADIUS).count()
     assert tested <= 8 * found and tested < 0.05 * len(states) * len(meas)
+
+
+USABLE = STATES.replace("P00", "S00").replace("P01", "S01").replace("P11", "S11") + ", is_predicted boolean"
+
+
+@pytest.mark.parametrize("block", [16, 1 << 16])
+def test_counts_without_pairs_match_the_pairs(spark, rows, monkeypatch, block):
+    # Equal positions, one hot value, wide states, surfaces without measurements, accepted positions with ties.
+    monkeypatch.setattr(window_counts, "BLOCK", block)
+    monkeypatch.setattr(window_counts, "STATES", 4 * block)
+    r = random.Random(5)
+    meas = [(0, 7, k, r.choice([r.uniform(-10, 10), float(round(r.uniform(-10, 10))), 1.0]), r.uniform(-1, 1), 0.01, r.choice([0.0, 0.02])) for k in range(500)]
+    meas += [(0, 7, 500, None, 0.0, 0.01, 0.02), (0, 7, 501, 1.0, None, 0.01, 0.02), (0, 7, 502, 1.0, None, 0.01, None), (0, 9, 503, 5.0, 5.0, 0.01, 0.02)]
+    near = lambda x: r.choice([None, x, x + 0.5, float("nan")])
+    states = []
+    for k in range(200):
+        x, y = r.choice([round(r.uniform(-10, 10)), r.uniform(-10, 10)]) * 1.0, r.choice([None, r.uniform(-1, 1)])
+        states.append((0, k, 0, r.choice([7, 7, 7, 9, 8]), x, y, near(x), near(0.1), r.choice([0.01, 0.3, 1e4, -1.0]), 0.0, r.choice([0.01, 0.4, None]), True))
+    s, m = spark.createDataFrame(states, USABLE), spark.createDataFrame(meas, MEAS)
+    names = ("track_nr", "n_window", "_sel_id", "_had_meas")
+    got = rows(expand.count_states(s, m, N, 0.6).states, *names)
+    want = rows(expand.expand_states(s, m, N, RADIUS, 0.6).states, *names)
+    assert got == want and sum(g[2] is not None for g in got) > 20

@@ -12,6 +12,7 @@ from ..functions.expr import col, count_if, finite, true
 from ..functions.geometry import half_width, in_box, in_radius
 from ..session import cut_lineage
 from .ordered import CHUNK, CHUNK_WIDTH, in_chunks, passes_chunk, running
+from .window_counts import count_in_windows
 
 # Meaning of ``action_taken``.
 ACTION_CANDIDATE = 0
@@ -41,7 +42,7 @@ class Expansion:
     """
 
     states: DataFrame
-    hits: DataFrame
+    hits: DataFrame | None = None
 
     @property
     def candidates(self) -> DataFrame:
@@ -216,6 +217,21 @@ def expand_states(
     return Expansion(per_state, hits)
 
 
+def count_states(
+    states: DataFrame, measurements: DataFrame, n: float = WINDOW_N, tolerance: float = SELECTED_TOLERANCE
+) -> Expansion:
+    """Usable states with ``n_window`` and the accepted candidate, as :func:`expand_states` gives them, but no pairs.
+
+    For states with their own covariance. History and guards need no more, and pairs grow with
+    the states times the measurements of a surface. Nothing is written: store the states before reading them twice.
+    """
+    usable = _usable(states)
+    found = count_in_windows(usable, measurements, n, tolerance)
+    on_surface = measurements.groupBy(*SURFACE).agg(F.lit(True).alias("_had_meas"))
+    counted = usable.join(found, list(STATE), "left").withColumn("n_window", F.coalesce("n_window", F.lit(0)).cast("long"))
+    return Expansion(counted.join(on_surface, list(SURFACE), "left"))
+
+
 def _candidate_rows(per_state: DataFrame, hits: DataFrame) -> DataFrame:
     cand = per_state.join(hits, list(STATE), "inner").select(
         *[per_state[c] for c in per_state.columns if not c.startswith("_")],

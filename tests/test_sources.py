@@ -198,3 +198,12 @@ def test_no_shared_folder_on_a_cluster():
         shared_dir(Fake("spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Fake("local-cluster[3,2,2000]"))
+
+
+def test_a_line_is_parsed_once_for_all_its_fields(spark, tmp_path):
+    (tmp_path / "run=3").mkdir()
+    (tmp_path / "run=3" / "times.csv").write_text("event,n_seeds,gate_inference_ns,value_inference_calls\n1,4, 2.5,n/a\n2,,nan,7\n")
+    d = scans.read_event_times(spark, str(tmp_path), r"run=(\d+)/[^/]*$")
+    got = {(r.run_id, r.event, r.n_seeds, r.gate_inference_ns, r.value_inference_calls) for r in d.collect()}
+    assert got == {("3", 1, 4, 2.5, None), ("3", 2, None, None, 7)}
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("from_csv(") == 2  # the header and the line

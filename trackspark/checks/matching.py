@@ -281,8 +281,11 @@ def _(x):
     path = scratch_path(x.spark, "event-times")
     event = F.monotonically_increasing_id().alias("event")
     t = x.timing.select("run_id", event, "gate_inference_calls", F.lit("n/a").alias("value_inference_calls"), "gate_inference_ns", "gate_feature_ns", "value_inference_ns", "meas_selection_ns")
-    t.withColumnRenamed("run_id", "run").repartition("run").write.partitionBy("run").option("header", True).csv(path)
-    times = scans.read_event_times(x.spark, f"{path}/*/*.csv", r"run=(\d+)/[^/]*$").withColumn("run_id", F.col("run_id").cast("long"))
+    # Each task commits its own files: the driver would move them one by one.
+    files = t.withColumnRenamed("run_id", "run").repartition("run").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    files.partitionBy("run").option("header", True).csv(path)
+    # The folder, not a pattern, so that the executors list it.
+    times = scans.read_event_times(x.spark, path, r"run=(\d+)/[^/]*$").withColumn("run_id", F.col("run_id").cast("long"))
     runs = x.points.withColumns({"duplicate_rate": F.lit(None).cast("double"), "events": F.lit(None).cast("long")})
     return k.sweep_rows(runs, times)
 

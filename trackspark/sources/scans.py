@@ -81,14 +81,15 @@ def csv_rows(spark: SparkSession, path: str, sep: str = ",", numbered: bool = Fa
     schema = ", ".join(f"c{i} string" for i in range(width))
     options = {"sep": sep, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
 
-    def cells(text: str) -> Column:
-        row = F.from_csv(text, schema, options)
-        return F.array(*[F.trim(row[f"c{i}"]) for i in range(width)])
+    # A generator of one row, so that the text is parsed once and not for every field that is asked for.
+    parsed = lambda text: F.explode(F.array(F.from_csv(text, schema, options)))
+    cells = lambda row: F.array(*[F.trim(F.col(row)[f"c{i}"]) for i in range(width)])
 
     # The header itself has no values, so that no cast meets it in whatever order predicates run.
     body = at != F.col("_first")
-    named = lines.join(heads.select("file", "_first", cells("_head").alias("names")), "file")
-    named = named.withColumn("values", F.when(body, cells("line"))).where(body)
+    heads = heads.select("file", "_first", parsed("_head").alias("_names")).select("file", "_first", cells("_names").alias("names"))
+    named = lines.join(heads, "file").withColumn("_values", parsed(F.when(body, F.col("line")))).where(body)
+    named = named.withColumn("values", cells("_values")).drop("_values")
     if numbered:
         named = _row_numbers(named)
     return named.select("file", "names", "values", *(["row_nr"] if numbered else []))

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from trackspark.operators import expand, window_counts
+from trackspark.plans import expansion
 
 STATES = "event_id long, track_nr long, state_idx long, geometry_id long, pred_l0 double, pred_l1 double, sel_l0 double, sel_l1 double, P00 double, P01 double, P11 double"
 MEAS = "event_id long, geometry_id long, measurement_id long, local0 double, local1 double, var_local0 double, var_local1 double"
@@ -75,3 +76,45 @@ def test_counts_without_pairs_match_the_pairs(spark, rows, monkeypatch, block):
     got = rows(expand.count_states(s, m, N, 0.6).states, *names)
     want = rows(expand.expand_states(s, m, N, RADIUS, 0.6).states, *names)
     assert got == want and sum(g[2] is not None for g in got) > 20
+
+
+@pytest.mark.parametrize("built", [False, True])
+def test_no_table_of_pairs_is_stored(spark, monkeypatch, built):
+    # Every state meets every measurement; what is written must follow the rows.
+    meas = [(0, 7, k, 0.001 * k, 0.0, 0.01, 0.02) for k in range(300)]
+    states = [(0, k, 0, 7, 0.1, 0.0, 0.1, None, 1.0, 0.0, 1.0, True) for k in range(200)]
+    stored = {}
+
+    def kept(df, label="cut", cut=expand.cut_lineage):
+        out = cut(df, label)
+        stored[label] = out.count()
+        return out
+
+    monkeypatch.setattr(expand, "cut_lineage", kept)
+    s = spark.createDataFrame(states, USABLE)
+    predicted = s.selectExpr("event_id", "track_nr", "state_idx", "S00 AS P00", "S01 AS P01", "S11 AS P11") if built else None
+    rows = expand.expand_states(s, spark.createDataFrame(meas, MEAS), N, RADIUS, 0.6, predicted).candidates
+    assert rows.count() == len(states) * len(meas)
+    assert rows.where("is_ckf_selected").select("cand_hit_id").distinct().collect() == [(100,)]
+    assert stored and max(stored.values()) <= 2 * len(states)
+
+
+def test_candidate_table_carries_what_belongs_to_measurements(spark, rows):
+    meas = [(0, 7, k, 0.1 * k, 0.0, 0.01, 0.02) for k in range(6)]
+    states = [(0, 1, 0, 7, 0.1, 0.0, 0.1, None, 0.01, 0.0, 1.0, True, 1, 1, 9.0), (0, 1, 1, 7, 99.0, 0.0, None, None, 0.01, 0.0, 1.0, True, 1, 1, 8.0)]
+    s = spark.createDataFrame(states, USABLE + ", state_primary_pid long, state_n_contribs int, clus_q_tot double")
+    hit_map = spark.createDataFrame([(0, 0, 10), (0, 1, 11), (0, 1, 12), (0, 5, 13)], "event_id long, measurement_id long, hit_id long")
+    simhits = spark.createDataFrame([(0, 10, 3, 7), (0, 11, 5, 7), (0, 12, 4, 7), (0, 13, 4, 7)], "event_id long, hit_id long, particle_id long, geometry_id long")
+    cells = spark.createDataFrame([(0, 1, 2, 2, 4.0), (0, 1, 3, 2, 2.0), (0, 2, 0, 0, 7.0)], "event_id long, measurement_id long, channel0 long, channel1 long, value double")
+    inputs = expansion.ExpansionInputs(s, spark.createDataFrame(meas, MEAS), hit_map, simhits, cells=cells)
+    got = expansion.candidate_table(inputs, N, RADIUS, 0.01, guard=False)
+    assert len(got.columns) == len(set(got.columns))
+    q = {(r.state_idx, r.cand_hit_id): (r.contrib_pids, r.clus_q_tot, r.clus_s_u) for r in got.collect()}
+    assert q == {
+        (0, 0): ([3], 9.0, None), (0, 1): ([4, 5], 6.0, 2.0), (0, 2): ([], 7.0, 1.0), (0, 3): ([], 9.0, None),
+        (0, 4): ([], 9.0, None), (1, -1): ([], 8.0, None),
+    }
+    # Nothing is shuffled once the pairs are made: no exchange above the join on cells.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("_code")].count("Exchange")
+    assert above == 0

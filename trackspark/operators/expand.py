@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import col, count_if, finite, true
 from ..functions.geometry import half_width, in_box, in_radius
 from ..session import cut_lineage
+from .nearest import nearest_in_group
 from .ordered import CHUNK, CHUNK_WIDTH, in_chunks, passes_chunk, running
 from .window_counts import count_in_windows
 
@@ -447,23 +448,10 @@ def nearest_truth(states: DataFrame, truth: DataFrame, keys=STATE) -> DataFrame:
 
     ``truth`` has one row per (event, geometry, particle, measurement).
     """
-    from ..functions.geometry import needed_window
-
-    j = states.join(
-        truth.withColumnRenamed("particle_id", "branch_majority_pid"),
-        ["event_id", "geometry_id", "branch_majority_pid"],
-        "inner",
-    )
-    r0, r1 = F.col("local0") - F.col("pred_l0"), F.col("local1") - F.col("pred_l1")
-    flat = F.coalesce(F.col("var_local1") <= 0, F.lit(True))
-    d = needed_window(r0, r1, "S00", "S11", flat)
-    best = (
-        j.withColumn("d_max", d)
-        .where(F.col("d_max").isNotNull())
-        .groupBy(*keys)
-        .agg(F.min(F.struct("d_max", "measurement_id")).alias("_b"))
-    )
-    return best.select(*keys, F.col("_b.measurement_id").alias("true_hit_id"), F.col("_b.d_max").alias("d_max"))
+    points = truth.withColumnRenamed("particle_id", "branch_majority_pid")
+    points = points.withColumn("is_1d", F.coalesce(F.col("var_local1") <= 0, F.lit(True)))
+    best = nearest_in_group(states, points, ["event_id", "geometry_id", "branch_majority_pid"], list(keys))
+    return best.withColumnRenamed("measurement_id", "true_hit_id").select(*keys, "true_hit_id", "d_max")
 
 
 # --- clusters and sensors --------------------------------------------------------

@@ -207,3 +207,19 @@ def test_a_line_is_parsed_once_for_all_its_fields(spark, tmp_path):
     got = {(r.run_id, r.event, r.n_seeds, r.gate_inference_ns, r.value_inference_calls) for r in d.collect()}
     assert got == {("3", 1, 4, 2.5, None), ("3", 2, None, None, 7)}
     assert d._jdf.queryExecution().optimizedPlan().toString().count("from_csv(") == 2  # the header and the line
+
+
+def test_large_sorts_of_lines_become_several_files(spark, monkeypatch):
+    from trackspark.checks import sources
+    from trackspark.checks.views import Inputs
+
+    monkeypatch.setattr(sources, "LINES", 50)
+    x = Inputs(spark, "/root/testdata/sf0.001")
+    d = x.meas.select("event_id", "measurement_id", "geometry_id", "local0", "local1", "var_local0", "var_local1")
+    split = spark.read.text(sources._csv_by_event(d, x, "cells")).groupBy("_metadata.file_path").count().agg({"count": "max"}).first()[0]
+    assert split < 150 and d.groupBy("event_id").count().agg({"count": "max"}).first()[0] > 600
+    got = scans.read_measurements(spark, sources._csv_by_event(d, x, "measurements", comment=True, without="measurement_id", whole=(2,)))
+    own = d.where("measurement_id % 3 < 2").select("event_id", "measurement_id")
+    places = d.where("measurement_id % 3 = 2").selectExpr("event_id", "row_number() OVER (PARTITION BY event_id ORDER BY measurement_id) - 1L AS measurement_id")
+    want = sorted(map(tuple, own.unionByName(places).collect()))
+    assert sorted(map(tuple, got.select("event_id", "measurement_id").collect())) == want

@@ -18,13 +18,16 @@ KEYS = STATE.replace(",", "")
 
 
 FILES = 3
+#: Lines of a file, about, where the place of a line in its file means nothing. A file is written and sorted by one task.
+LINES = 1 << 20
 
 
-def _csv_by_event(df, x, kind: str, comment: bool = False, without: str | None = None) -> str:
-    """Write ``FILES`` files per event, dealt by the first column, as text lines with a header.
+def _csv_by_event(df, x, kind: str, comment: bool = False, without: str | None = None, whole: tuple[int, ...] = ()) -> str:
+    """Write ``FILES`` sorts of files per event, dealt by the first column, as text lines with a header.
 
     The name of a file carries the event, its lines are sorted by the first column, and
-    each file has its columns in another order. ``without`` is left out of the last.
+    each sort has its columns in another order. ``without`` is left out of the last. A sort of more than ``LINES``
+    lines becomes several files, but for those in ``whole``, whose lines are known by their place.
     """
     path = scratch_path(x.spark, kind)
     cols = [c for c in df.columns if c != "event_id"]
@@ -40,8 +43,14 @@ def _csv_by_event(df, x, kind: str, comment: bool = False, without: str | None =
         return out
 
     line = of_file(lambda names: F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]))
-    name = F.format_string(f"event%09d-{kind}-%d", F.col("event_id").cast("long"), F.col("n"))
-    body = df.withColumn("n", file).select(name.alias("f"), "n", F.lit(1).alias("o"), key.alias("k"), line.alias("value"))
+    event = F.col("event_id").cast("long")
+    name = F.format_string(f"event%09d-{kind}-%d-%d", event, F.col("n"), F.col("part"))
+    body = df.withColumn("n", file).select(event.alias("e"), "n", F.lit(1).alias("o"), key.alias("k"), line.alias("value"))
+    parts = body.groupBy("e", "n").agg(F.ceil(F.count(F.lit(1)) / LINES).alias("parts"))
+    split = F.when(~F.col("n").isin(list(whole)), F.pmod(F.xxhash64("k", "value"), F.col("parts"))).otherwise(0)
+    parts = parts.withColumnsRenamed({"e": "event_id", "n": "sort"})
+    body = body.join(F.broadcast(parts), F.col("e").eqNullSafe(F.col("event_id")) & (F.col("n") == F.col("sort"))).withColumn("part", split)
+    body = body.select(name.alias("f"), "n", "o", "k", "value")
     files = body.select("f", "n").distinct()
     none = F.lit(None).cast("long")
     lines = body.drop("n").union(files.select("f", F.lit(0), none, of_file(lambda names: F.lit(", ".join(names)))))
@@ -102,7 +111,7 @@ def _(x):
         "var_local0",
         "var_local1",
     )
-    return scans.read_measurements(x.spark, _csv_by_event(d, x, "measurements", comment=True, without="measurement_id"))
+    return scans.read_measurements(x.spark, _csv_by_event(d, x, "measurements", comment=True, without="measurement_id", whole=(FILES - 1,)))
 
 
 @check(
@@ -142,7 +151,7 @@ def _(x):
         "tpy",
         "tt",
     )
-    return scans.read_simhits(x.spark, _csv_by_event(d, x, "simhits", comment=True))
+    return scans.read_simhits(x.spark, _csv_by_event(d, x, "simhits", comment=True, whole=tuple(range(FILES))))
 
 
 @check(

@@ -143,7 +143,7 @@ def _(x):
     return t.value_features(x.cand, width=WIDTH)
 
 
-view("classes", "cand")(
+view("classes", "cand", cand="event_id, seed_id")(
     """
     SELECT event_id, seed_id, step_k, n_truth, sel_hit, truth_pick,
            CASE WHEN lead(sel_hit) OVER w IS NULL THEN 'tip'
@@ -273,7 +273,7 @@ def _(x):
 
 
 # Rollout hits: lines of an order stand for the hits found from a start state.
-view("rollout_hits")(
+view("rollout_hits", plain=True)(
     """
     SELECT CAST(year(l_shipdate) AS BIGINT) AS event_id, l_suppkey * 12 + month(l_shipdate) - 1 AS rollout_id,
            CASE WHEN l_quantity > 30 THEN l_partkey ELSE -1 END AS meas_id, l_quantity

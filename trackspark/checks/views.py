@@ -13,18 +13,30 @@ from pyspark.sql.types import StructType
 from ..session import scratch_path
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
-#: Views that one other view reads, once: Spark plans them with it instead of storing them.
+#: Views that one other view reads, once, or that are plain columns of a given table: Spark plans them with their reader.
 INLINE: set[str] = set()
-#: Column that Spark deals a given table by, for a view that groups within that column all the way.
+#: Those of plain columns: never stored, as reading the given table again costs no more.
+PLAIN: set[str] = set()
+#: Columns that Spark deals a stored view by, for a view that groups within those columns all the way.
 DEALT: dict[tuple[str, str], str] = {}
+#: Text that Spark reads for a view instead of the common one: the same for every reader of the view, in fewer or smaller rows.
+SPARK_TEXT: dict[str, str] = {}
+#: Columns of a stored view that follow from its others: not written, computed when it is read. Long rows make slow tasks.
+ON_READ: dict[str, str] = {}
 
 
-def view(name: str, *needs: str, inline: bool = False, **dealt: str):
+def view(name: str, *needs: str, inline: bool = False, plain: bool = False, spark: str | None = None, on_read: str | None = None, **dealt: str):
     def add(text: str) -> None:
         VIEWS[name] = (needs, text)
-        if inline:
+        if inline or plain:
             INLINE.add(name)
-        DEALT.update({(name, table): column for table, column in dealt.items()})
+        if plain:
+            PLAIN.add(name)
+        if spark:
+            SPARK_TEXT[name] = spark
+        if on_read:
+            ON_READ[name] = on_read
+        DEALT.update({(name, needed): columns for needed, columns in dealt.items()})
 
     return add
 
@@ -65,7 +77,7 @@ class Inputs:
     """Views over one folder of tables.
 
     Operators expect stored tables, so each view is written once per application to
-    the shared folder and read from there.
+    the shared folder and read from there; plain columns of a given table are read from that.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -77,16 +89,29 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in VIEWS:
             raise AttributeError(name)
+        if name in PLAIN:
+            return self._derive(name)
         key = (self.spark.sparkContext.applicationId, self.dir, name)
         if key not in _STORED:
             for needed in self._needs(name)[0]:
                 getattr(self, needed)
             path = scratch_path(self.spark, f"view-{name}")
             df = self._derive(name)
-            df.write.parquet(path)
+            if name in ON_READ:
+                computed = self.spark.sql(f"SELECT {ON_READ[name]} FROM {{df}}", df=df).columns
+                df.drop(*computed).write.parquet(path)
+            else:
+                df.write.parquet(path)
             _STORED[key] = (path, df.schema)
         path, schema = _STORED[key]
-        return self.spark.read.schema(schema).parquet(path)
+        if name not in ON_READ:
+            return self.spark.read.schema(schema).parquet(path)
+        return self.spark.sql(f"SELECT {', '.join(schema.names)} FROM ({self._read(name)}) stored")
+
+    def _read(self, name: str, hint: str = "") -> str:
+        path = _STORED[self.spark.sparkContext.applicationId, self.dir, name][0]
+        more = f", {ON_READ[name]}" if name in ON_READ else ""
+        return f"SELECT {hint}*{more} FROM parquet.`{path}`"
 
     def _needs(self, name: str) -> tuple[list[str], list[str]]:
         """Views to be stored before ``name``, and those planned with it, in order."""
@@ -103,25 +128,57 @@ class Inputs:
 
     def _derive(self, name: str) -> DataFrame:
         """The view over the given tables and the stored views it needs."""
-        app = self.spark.sparkContext.applicationId
         stored, planned = self._needs(name)
-        parts = [f"{n} AS (SELECT * FROM parquet.`{_STORED[app, self.dir, n][0]}`)" for n in stored]
+        hint = {n: f"/*+ REPARTITION({DEALT[name, n]}) */ " if (name, n) in DEALT else "" for n in stored}
+        parts = [f"{n} AS ({self._read(n, hint[n])})" for n in stored]
         parts += [f"{n} AS ({self._text(n)})" for n in planned]
         return self.spark.sql((f"WITH {', '.join(parts)} " if parts else "") + f"SELECT * FROM ({self._text(name)}) v")
 
     def _text(self, name: str) -> str:
-        def table(t: str) -> str:
-            rows = f"parquet.`{self.dir}/{t}.parquet`"
-            return f"(SELECT /*+ REPARTITION({DEALT[name, t]}) */ * FROM {rows})" if (name, t) in DEALT else rows
-
-        return _render(VIEWS[name][1], table, "array")
+        return _render(SPARK_TEXT.get(name, VIEWS[name][1]), lambda t: f"parquet.`{self.dir}/{t}.parquet`", "array")
 
 
 # --- candidate rows -----------------------------------------------------------------------
 # Branch = supplier and year, step = month, candidate = part. Lines of large quantity and
 # those on the passive volume are no candidates; a state left without any is a hole.
 
-view("cand_base", inline=True, lineitem="l_suppkey")(
+# Dealt once, by supplier. Of lines that are no candidates only the state counts, and of the flag whether the least
+# is R: without texts the lines merge by hashing, before anything is sorted.
+_VOLUME = """CASE (branch_id + step_k) % 10
+                 WHEN 0 THEN 16 WHEN 1 THEN 17 WHEN 2 THEN 18 WHEN 3 THEN 20 WHEN 4 THEN 23
+                 WHEN 5 THEN 24 WHEN 6 THEN 25 WHEN 7 THEN 28 WHEN 8 THEN 29 ELSE 30 END"""
+_MERGED_LINES = f"""
+    SELECT event_id, branch_id, step_k, cand_hit_id, {_VOLUME} AS vol, q, d, t, p,
+           CASE WHEN flag = 1 THEN 'R' ELSE '' END AS rf, n_window
+    FROM (
+        SELECT *, count(CASE WHEN cand_hit_id >= 0 THEN 1 END) OVER (PARTITION BY event_id, branch_id, step_k) AS n_window
+        FROM (
+            SELECT event_id, branch_id, step_k, cand_hit_id, min(q) AS q, min(d) AS d, min(t) AS t, min(p) AS p, min(flag) AS flag
+            FROM (
+                SELECT /*+ REPARTITION(branch_id) */ event_id, branch_id, step_k, cand_hit_id,
+                       CASE WHEN used THEN l_quantity END AS q, CASE WHEN used THEN l_discount END AS d,
+                       CASE WHEN used THEN l_tax END AS t, CASE WHEN used THEN l_extendedprice END AS p,
+                       CASE WHEN NOT used THEN NULL WHEN l_returnflag < 'R' THEN 0 WHEN l_returnflag = 'R' THEN 1
+                            WHEN l_returnflag > 'R' THEN 2 END AS flag
+                FROM (
+                    SELECT *, coalesce(cand_hit_id >= 0, true) AS used
+                    FROM (
+                        SELECT *, CASE WHEN l_quantity <= 15 AND {_VOLUME} <> 20 THEN l_partkey ELSE -1 END AS cand_hit_id
+                        FROM (
+                            SELECT *, CAST(year(l_shipdate) AS BIGINT) AS event_id, l_suppkey AS branch_id,
+                                   CAST(month(l_shipdate) - 1 AS BIGINT) AS step_k
+                            FROM {{t:lineitem}}
+                        ) a
+                    ) b
+                ) c
+            ) g
+            GROUP BY 1, 2, 3, 4
+        ) h
+    ) e
+    WHERE cand_hit_id >= 0 OR n_window = 0
+    """
+
+view("cand_base", inline=True, spark=_MERGED_LINES)(
     """
     SELECT event_id, branch_id, step_k, cand_hit_id, vol, q, d, t, p, rf, n_window
     FROM (
@@ -165,20 +222,11 @@ view("cand_values", "cand_base", inline=True)(
     """
 )
 
-view("cand", "cand_values")(
-    """
-    SELECT event_id, branch_id AS seed_id, branch_id, step_k, cand_hit_id, n_window, volume_id, layer_id, module_id,
-           residual_l0, residual_l1, s00 AS S00, s01 AS S01, s11 AS S11, chi2_inc,
-           flat AND cand_hit_id >= 0 AS is_1d, volume_id IN (16, 17, 18) AS is_pixel,
+# Columns of a branch, state or hit number alone: Spark computes them when it reads the stored view.
+_OF_BRANCH = """volume_id IN (16, 17, 18) AS is_pixel,
            CASE WHEN branch_id % 17 = 0 THEN -1 ELSE branch_id % 40 END AS branch_majority_pid,
-           branch_id % 17 = 0 AS majority_undefined,
-           CASE WHEN cand_hit_id < 0 OR cand_hit_id % 23 = 0 THEN NULL
-                WHEN cand_hit_id % 5 = 0 THEN {arr}(pid, (pid + 1) % 40)
-                ELSE {arr}(pid) END AS contrib_pids,
-           cand_hit_id >= 0 AND (branch_id + step_k) % 6 <> 0
-             AND row_number() OVER (PARTITION BY event_id, branch_id, step_k ORDER BY chi2_inc, cand_hit_id) = 1
-             AS is_ckf_selected,
-           (branch_id * 7 + step_k * 3) % 4 <> 0 AS majority_true_hit_on_surface,
+           branch_id % 17 = 0 AS majority_undefined"""
+_OF_STATE = """(branch_id * 7 + step_k * 3) % 4 <> 0 AS majority_true_hit_on_surface,
            15e-2 + 28e-1 * ((branch_id * 37 + step_k * 11) % 101) / 101e0 AS state_theta,
            (branch_id % 21 - 10) / 10e0 AS state_qop,
            1e-2 * ((branch_id + step_k * 5) % 7) AS pathInX0_interval,
@@ -189,13 +237,26 @@ view("cand", "cand_values")(
            CASE WHEN branch_id % 4 = 0 THEN NULL ELSE (branch_id % 11) / 10e0 END AS vstar_soft,
            1e-1 * (branch_id % 50) AS pred_l0, 1e-1 * (step_k % 7) AS pred_l1,
            CASE WHEN cand_hit_id >= 0 THEN 1e0 + cand_hit_id % 4 END AS clus_s_u,
-           CASE WHEN cand_hit_id >= 0 THEN 1e0 + cand_hit_id % 3 END AS clus_s_v,
-           CASE WHEN cand_hit_id >= 0 THEN p / 1e3 END AS clus_q_tot,
-           CASE WHEN cand_hit_id >= 0 THEN 1e-1 * (cand_hit_id % 6) END AS clus_sigma_uu,
+           CASE WHEN cand_hit_id >= 0 THEN 1e0 + cand_hit_id % 3 END AS clus_s_v"""
+_OF_HIT = """CASE WHEN cand_hit_id >= 0 THEN 1e-1 * (cand_hit_id % 6) END AS clus_sigma_uu,
            CASE WHEN cand_hit_id >= 0 THEN 5e-2 * (cand_hit_id % 2) END AS clus_sigma_uv,
            CASE WHEN cand_hit_id >= 0 THEN 1e-1 * (cand_hit_id % 7) END AS clus_sigma_vv,
            1e-1 * (branch_id % 9) - 4e-1 AS alpha_u, 1e-1 * (step_k % 5) - 2e-1 AS alpha_v,
-           5e-2 AS pitch_u, CASE WHEN flat THEN NULL ELSE 5e-2 + 1e-3 * volume_id END AS pitch_v,
+           5e-2 AS pitch_u"""
+
+_CAND = f"""
+    SELECT event_id, branch_id AS seed_id, branch_id, step_k, cand_hit_id, n_window, volume_id, layer_id, module_id,
+           residual_l0, residual_l1, s00 AS S00, s01 AS S01, s11 AS S11, chi2_inc,
+           flat AND cand_hit_id >= 0 AS is_1d, {_OF_BRANCH},
+           CASE WHEN cand_hit_id < 0 OR cand_hit_id % 23 = 0 THEN NULL
+                WHEN cand_hit_id % 5 = 0 THEN {{arr}}(pid, (pid + 1) % 40)
+                ELSE {{arr}}(pid) END AS contrib_pids,
+           cand_hit_id >= 0 AND (branch_id + step_k) % 6 <> 0
+             AND row_number() OVER (PARTITION BY event_id, branch_id, step_k ORDER BY chi2_inc, cand_hit_id) = 1
+             AS is_ckf_selected,
+           {_OF_STATE},
+           CASE WHEN cand_hit_id >= 0 THEN p / 1e3 END AS clus_q_tot,
+           {_OF_HIT}, CASE WHEN flat THEN NULL ELSE 5e-2 + 1e-3 * volume_id END AS pitch_v,
            15e-2 AS thickness
     FROM (
         SELECT *,
@@ -206,7 +267,12 @@ view("cand", "cand_values")(
         FROM cand_values
     ) x
     """
-)
+
+view(
+    "cand",
+    "cand_values",
+    on_read=f"branch_id AS seed_id, {_OF_BRANCH}, {_OF_STATE}, {_OF_HIT}",
+)(_CAND)
 
 # Two branches per seed.
 view("fork", "cand")(
@@ -219,7 +285,7 @@ view("fork", "cand")(
 
 # --- simhits, particles --------------------------------------------------------------------
 
-view("simhits")(
+view("simhits", plain=True)(
     """
     SELECT CAST(year(o_orderdate) AS BIGINT) AS event_id, o_orderkey AS hit_id, o_custkey % 40 AS particle_id,
            o_custkey % 7 AS geometry_id, o_totalprice / 2e5 AS tpx, CAST(o_custkey % 13 AS DOUBLE) / 2e1 AS tpy,

@@ -85,6 +85,28 @@ def test_automaton_merges_what_looks_alike():
         assert n == e + sum(c for c, _ in moves.values())
 
 
+@pytest.mark.parametrize("n", [60, 300, 1000])
+def test_rare_states_do_not_blur_the_format(n):
+    for seed in range(5):
+        rng = random.Random(seed)
+        made = secrets.Automaton.learn(["AKIA" + key(rng, string.ascii_uppercase + string.digits, 16) for _ in range(n)])
+        tables = made.tables(strict=True)
+        assert made.moves[0].keys() == {"A"}  # values of few arrivals do not begin anew
+        assert tables.log_likelihood("ZKIA" + "7Q" * 8) == float("-inf")
+
+
+def test_words_and_numbers_are_plain_unseen():
+    rng = random.Random(3)
+    values = {k: [] for k in (*secrets.KINDS, secrets.PLAIN)}
+    values["hex"] = [key(rng, string.digits + "abcdef", 40) for _ in range(300)]
+    values["assign"] = [key(rng, string.ascii_letters + string.digits, 30) for _ in range(300)]
+    for plain in ([], ["".join(rng.choice(["tion", "heit", "ung"]) for _ in range(6)) for _ in range(300)]):
+        formats = secrets.learn_formats({**values, secrets.PLAIN: plain})
+        for token in ("4111111111111111", "9807915762804490", "DIESISTEINLANGESWORT", "Fahrzeugversicherung", "incomprehensibilities"):
+            assert secrets.best_format(token, formats)[1] is None
+        assert secrets.best_format(key(rng, string.digits + "abcdef", 23), formats)[1] == "hex"
+
+
 def test_sample_does_not_depend_on_partitions(spark, texts, monkeypatch):
     monkeypatch.setattr(secrets, "SAMPLE", 50)
     docs = docs_of(spark, texts)

@@ -3,10 +3,12 @@
 Three patterns find credentials (``assign``, ``access``, ``hex``). The values they find are
 labelled credentials. For each kind, and for plain tokens of the same alphabet, a prefix
 tree of sampled values is folded into a probabilistic automaton: states whose ending and
-branching frequencies agree within Hoeffding bounds are merged, with all that follows them.
+branching frequencies agree within Hoeffding bounds are merged, with all that follows them;
+a state that agrees with several joins the one that makes its values likeliest.
 Every other token of a text is a candidate; it is added as a secret of the kind whose automaton
-accepts it and makes it likeliest, if that beats the automaton of plain tokens, which accepts all, by more than
-the odds of ``PRIOR``.
+accepts it and makes it likeliest, if that beats a plain token by more than the odds of ``PRIOR``:
+the automaton of plain tokens, which accepts all, and for words and numbers also a uniform draw of
+letters or digits, as the sample need not hold any.
 
 The fit takes at most ``SAMPLE`` distinct values of a kind, those of smallest digest over
 all documents, of at most ``VALUE_CHARS`` characters; kinds with fewer than ``LEAST`` values
@@ -44,6 +46,8 @@ PLAIN = "plain"
 #: Candidates: runs of the value alphabet that neither begin nor end in punctuation.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-][A-Za-z0-9+/_.=-]{14,}[A-Za-z0-9+/_=-]")
 ALPHABET = 67
+#: Words and numbers, and the number of symbols each draws from.
+UNIFORM = ((re.compile(r"[0-9]+"), 10), (re.compile(r"[A-Z]+|[A-Za-z][a-z]+"), 26))
 
 SAMPLE, VALUE_CHARS, LEAST = 1000, 256, 20
 #: Confidence of the merge test, counts added to each symbol, odds that a candidate is a secret.
@@ -103,19 +107,19 @@ class Automaton:
         self.ends[state] += 1
 
     def _merge_all(self, alpha: float) -> None:
-        """Settled states in order of discovery; each border state joins the first settled one it agrees with, or settles."""
+        """Border states by falling arrivals; each joins the likeliest settled one it agrees with, or settles."""
         settled = [0]
         while border := min(
-            ((symbols, p, s) for p in settled for s, (_, q) in self.moves[p].items() if q not in settled for symbols in [(settled.index(p), s)]),
+            ((symbols, p, s) for p in settled for s, (_, q) in self.moves[p].items() if q not in settled for symbols in [(-self.arrivals[q], settled.index(p), s)]),
             default=None,
         ):
             _, parent, symbol = border
             state = self.moves[parent][symbol][1]
-            for other in settled:
-                if self._agree(other, state, alpha):
-                    self.moves[parent][symbol][1] = other
-                    self._fold(other, state)
-                    break
+            # A state with few arrivals agrees with most, as nothing tells them apart; equals go to the state before it.
+            if agreeing := [other for other in settled if self._agree(other, state, alpha)]:
+                other = max(agreeing, key=lambda p: (self._fit(p, state), p == parent)) if len(agreeing) > 1 else agreeing[0]
+                self.moves[parent][symbol][1] = other
+                self._fold(other, state)
             else:
                 settled.append(state)
         self._renumber(settled)
@@ -141,6 +145,22 @@ class Automaton:
                     pairs.append((x[1], y[1]))
         return True
 
+    def _fit(self, into: int, tree: int) -> float:
+        """Log likelihood of the values below a border state if they began in ``into``; what it has not seen is drawn from the alphabet."""
+        total = 0.0
+        pairs: list[tuple[int | None, int]] = [(into, tree)]
+        while pairs:
+            p, q = pairs.pop()
+            moves = {} if p is None else self.moves[p]
+            if p is None:
+                total -= self.arrivals[q] * math.log(ALPHABET + 1)
+            else:
+                whole = math.log(self.arrivals[p] + SMOOTH * (ALPHABET + 1))
+                total += self.ends[q] * (math.log(self.ends[p] + SMOOTH) - whole)
+                total += sum(count * (math.log((moves[c][0] if c in moves else 0) + SMOOTH) - whole) for c, (count, _) in self.moves[q].items())
+            pairs += [(moves[c][1] if c in moves else None, below) for c, (_, below) in self.moves[q].items()]
+        return total
+
     def _fold(self, into: int, tree: int) -> None:
         """Add the counts of a border state, which is still the root of a tree, and of all below it."""
         pairs = [(into, tree)]
@@ -244,13 +264,20 @@ def learn_formats(values: dict[str, list[str]]) -> dict[str, Tables]:
     return {kind: Automaton.learn(v).tables(strict=kind != PLAIN) for kind, v in values.items() if kind == PLAIN or len(v) >= LEAST}
 
 
+def plain_likelihood(token: str, formats: dict[str, Tables]) -> float:
+    """Log likelihood as a plain token: by its automaton, or as a uniform draw if it is a word or a number."""
+    learned = formats[PLAIN].log_likelihood(token)
+    size = next((n for pattern, n in UNIFORM if pattern.fullmatch(token)), None)
+    return max(learned, -(len(token) + 1) * math.log(size + 1)) if size else learned
+
+
 def best_format(token: str, formats: dict[str, Tables]) -> tuple[float, str | None]:
     """Log odds of the likeliest kind against plain tokens, and the kind if they are in favour."""
     rated = [(formats[kind].log_likelihood(token), kind) for kind in KINDS if kind in formats]
     if not rated:
         return -math.inf, None
     score, kind = max(rated, key=lambda r: r[0])
-    odds = score - formats[PLAIN].log_likelihood(token) + math.log(PRIOR)
+    odds = score - plain_likelihood(token, formats) + math.log(PRIOR)
     return odds, kind if odds > 0 else None
 
 

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
-from helpers import components, crc, fingerprint, repeats
+from helpers import components, crc, docs_of, fingerprint, repeats
 
 from trackspark.llm import model_queries, queries
 
@@ -78,6 +78,15 @@ def test_op10_removes_what_repeats(spark, texts):
     assert sorted(map(tuple, got)) == [(i, *r) for i, r in zip(texts, repeats(texts.values()), strict=True)]
 
 
+@pytest.mark.parametrize("size, removed", [(399, 0), (400, 400)])
+def test_op10_counts_bytes_not_words(spark, tmp_path, size, removed):
+    passage = " ".join(f"word{k}" for k in range(70))[: size - 1] + "."
+    assert len(passage) == size and len(passage.split()) > 50
+    docs_of(spark, [f"a{passage}b", f"c{passage}d", "other text " * 3]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_suffix_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed) for r in got] == [(size + 2, removed), (size + 2, removed), (33, 0)]
+
+
 def test_op13_against_numpy(spark):
     t = pq.read_table(f"{DIR}/embeddings.parquet", columns=["vec_id", "embedding"]).to_pydict()
     kept = {i: v for i, v in zip(t["vec_id"], t["embedding"], strict=True) if v is not None and None not in v and np.isfinite(v).all()}

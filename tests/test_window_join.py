@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from trackspark.checks import registry
 from trackspark.operators import expand, window_counts
 from trackspark.plans import expansion
 
@@ -186,3 +188,16 @@ def test_no_measurements_and_no_reach(spark, rows):
     assert rows(expand.expand_states(s, m, N, 0.0).candidates, *names) == [(0, -1, 2), (1, 5, 0), (2, 7, 0)]
     assert rows(expand.expand_states(s, m.limit(0), N, 0.0).candidates, *names) == [(0, -1, 1), (1, -1, 1), (2, -1, 1)]
     assert expand.expand_states(s.limit(0), m, N, 0.0).candidates.count() == 0
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    # Halves go away from zero, those of the product: Spark's own round takes those of the decimal.
+    r = random.Random(4)
+    values = [r.choice([1, -1]) * x for x in [r.uniform(0, 10.0 ** r.randrange(-7, 13)) for _ in range(3000)]]
+    values += [(2 * k + 1) / 2e6 * sign for k in range(3000) for sign in (1, -1)] + [0.0, -0.0, 5e-7, 1e-7, 1e15, 2.0**60]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", registry._rounded(F.col("x")))
+    con = duckdb.connect()
+    for x, y in got.collect():
+        assert y == con.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchall()[0][0], x
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),)], "x double").select(registry._rounded(F.col("x"))).collect()
+    assert odd[0][0] is None and odd[1][0] != odd[1][0] and odd[2][0] == float("inf")
